@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
 from clickloom.schemas import BASE62_ALPHABET
 
+ZERO = BASE62_ALPHABET[0]
 # 62^11 > 2^63, so every BIGINT has at most 11 digits.
 DIGITS = 11
+PAIR = 62 * 62
 
 
 def encode(number: Column) -> Column:
-    """Token of a non-negative BIGINT; NULL for a negative one."""
+    """Token of a non-negative BIGINT; NULL for a negative one.
+
+    Two digits per step, from a table of all pairs; small numbers, the usual
+    case, take two or four steps instead of six.
+    """
     number = number.cast("bigint")
-    digits = [
-        F.substr(
-            F.lit(BASE62_ALPHABET),
-            (_div(number, 62**power) % 62 + 1).cast("int"),
-            F.lit(1),
-        )
-        for power in range(DIGITS - 1, -1, -1)
-    ]
-    significant = F.ltrim(F.concat(*digits), F.lit(BASE62_ALPHABET[0]))
-    token = F.when(significant == "", F.lit(BASE62_ALPHABET[0])).otherwise(significant)
-    return F.when(number >= 0, token)
+    pairs = F.split(F.lit(" ".join(a + b for a in BASE62_ALPHABET for b in BASE62_ALPHABET)), " ")
+
+    def padded(steps: int) -> Column:
+        places = [_div(number, PAIR**p) if p else number for p in range(steps - 1, -1, -1)]
+        return F.concat(*[F.get(pairs, (place % PAIR).cast("int")) for place in places])
+
+    wide = F.when(number < PAIR**2, padded(2)).when(number < PAIR**4, padded(4)).otherwise(padded(6))
+    return F.when(number > 0, F.ltrim(wide, F.lit(ZERO))).when(number == 0, F.lit(ZERO))
 
 
 def is_valid(token: Column) -> Column:
@@ -39,17 +43,17 @@ def decode(token: Column) -> Column:
     Leading zeros are insignificant, so tokens are padded to a fixed width and
     decoded as a sum of digit * 62^place without a loop.
     """
-    significant = F.ltrim(token, F.lit(BASE62_ALPHABET[0]))
-    padded = F.lpad(significant, DIGITS, BASE62_ALPHABET[0])
-    terms = [
-        F.try_multiply(
-            (F.instr(F.lit(BASE62_ALPHABET), F.substr(padded, F.lit(i + 1), F.lit(1))) - 1).cast("bigint"),
-            F.lit(62 ** (DIGITS - 1 - i)).cast("bigint"),
-        )
-        for i in range(DIGITS)
+    significant = F.ltrim(token, F.lit(ZERO))
+    padded = F.when(
+        is_valid(token) & (F.length(significant) <= DIGITS), F.lpad(significant, DIGITS, ZERO)
+    )
+    by_code = F.array(*[F.lit(BASE62_ALPHABET.find(chr(code))).cast("bigint") for code in range(128)])
+    digits = [
+        F.get(by_code, F.ascii(F.substr(padded, F.lit(i + 1), F.lit(1)))) for i in range(DIGITS)
     ]
-    total = reduce(F.try_add, terms)
-    return F.when(is_valid(token) & (F.length(significant) <= DIGITS), total)
+    # Only the first digit can take the sum over BIGINT.
+    rest = reduce(add, [d * F.lit(62 ** (DIGITS - 1 - i)) for i, d in enumerate(digits) if i])
+    return F.try_add(F.try_multiply(digits[0], F.lit(62 ** (DIGITS - 1))), rest)
 
 
 def _div(number: Column, divisor: int) -> Column:

@@ -6,32 +6,34 @@ from pyspark.sql import Column, functions as F
 
 from clickloom.schemas import BLOOM_SALTS, COUNTRIES, LOCAL_ADDRESSES, LOCAL_COUNTRY
 
-CHUNK_CHARS = 8
-CHUNK_VALUES = 2**32
+# 15 hex digits are 60 bits: the most that fits a BIGINT next to a product.
+PIECE_CHARS = 15
 
 
 def hex_mod(digest: Column, n_chars: int, modulus: int) -> Column:
     """``int(digest, 16) mod modulus`` in BIGINT arithmetic.
 
-    Reads the digest in 32-bit pieces, so every intermediate value stays below
-    ``modulus * 2^32`` and fits for any modulus under 2^31.
+    Reads the digest in pieces; with a modulus under 2^31 every intermediate
+    value stays below 2^62 + 2^60.
     """
     if not 0 < modulus < 2**31:
         raise ValueError("modulus must be between 1 and 2^31 - 1")
-    carry = F.lit(CHUNK_VALUES % modulus).cast("bigint")
-    rest = F.lit(0).cast("bigint")
-    for start in range(1, n_chars, CHUNK_CHARS):
-        piece = F.conv(F.substr(digest, F.lit(start), F.lit(CHUNK_CHARS)), 16, 10).cast("bigint")
-        rest = (rest * carry + piece) % F.lit(modulus).cast("bigint")
+    rest = None
+    for start in range(0, n_chars, PIECE_CHARS):
+        width = min(PIECE_CHARS, n_chars - start)
+        piece = F.conv(F.substr(digest, F.lit(start + 1), F.lit(width)), 16, 10).cast("bigint")
+        if rest is not None:
+            piece = rest * F.lit(16**width % modulus).cast("bigint") + piece
+        rest = piece % F.lit(modulus).cast("bigint")
     return rest
 
 
 def country_of(ip: Column) -> Column:
     """Country code of an address; absent and local addresses are ``LCL``."""
     local = ip.isNull() | (ip == "") | ip.isin(*LOCAL_ADDRESSES)
-    slot = hex_mod(F.md5(ip.cast("binary")), 32, len(COUNTRIES)).cast("int") + 1
+    slot = hex_mod(F.md5(ip.cast("binary")), 32, len(COUNTRIES)).cast("int")
     names = F.array(*[F.lit(name) for name in COUNTRIES])
-    return F.when(local, F.lit(LOCAL_COUNTRY)).otherwise(F.element_at(names, slot))
+    return F.when(local, F.lit(LOCAL_COUNTRY)).otherwise(F.get(names, slot))
 
 
 def bloom_offsets(value: Column, bits: int) -> list[Column]:

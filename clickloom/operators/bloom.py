@@ -45,30 +45,44 @@ def set_bits(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.sum(F.bitmap_count("bits")).alias("bits_set"))
 
 
-def _bit(bitmap: Column, offset: Column) -> Column:
-    """Bit ``offset`` of the bucket it falls in; an absent bucket is all zeros."""
-    place = offset % BUCKET_BITS
-    byte = F.substr(bitmap, (F.call_function("div", place, F.lit(8)) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.coalesce(F.getbit(value, (place % 8).cast("int")), F.lit(0)) == 1
+def _words(bitmap: Column) -> Column:
+    """A bucket as 32-bit words, so that testing a bit is integer arithmetic."""
+    word = F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKET_BITS // 32 - 1)),
+        lambda i: F.conv(F.hex(F.substr(bitmap, i * 4 + 1, F.lit(4))), 16, 10).cast("bigint"),
+    )
+    return word
+
+
+def _bit(words: Column, offset: Column) -> Column:
+    """Bit ``offset`` of the bucket it falls in; an absent bucket is all zeros.
+
+    A bitmap keeps its bits from the lowest of the first byte upwards, a word
+    has its first byte highest.
+    """
+    place = (offset % BUCKET_BITS).cast("int")
+    word = F.get(words, F.call_function("div", place, F.lit(32)).cast("int"))
+    shift = F.lit(24) - F.call_function("div", place % 32, F.lit(8)).cast("int") * 8 + place % 8
+    return F.coalesce(F.getbit(word, shift), F.lit(0)) == 1
 
 
 def probe(tokens: DataFrame, buckets: DataFrame, bits: int = BLOOM_BITS, token_col: str = "short_token") -> DataFrame:
     """Add ``maybe``: False means the token was certainly never added.
 
-    One lookup per salt. The filter holds at most ``bits / 8`` bytes, so up to
-    64 MiB it is broadcast and rows are not shuffled; a larger one is joined by
-    bucket, over which the hash spreads rows evenly.
+    One lookup per salt. The filter holds at most ``bits / 4`` bytes as words,
+    so up to 64 MiB it is broadcast and rows are not shuffled; a larger one is
+    joined by bucket, over which the hash spreads rows evenly.
     """
-    small = ceil(bits / 8) <= BROADCAST_BYTES
+    small = ceil(bits / 4) <= BROADCAST_BYTES
     found = offsets(tokens, bits, token_col)
     names = [name for name in found.columns if name not in tokens.columns]
+    words = buckets.select("bucket", _words(F.col("bits")).alias("words"))
     maybe = F.lit(True)
     for name in names:
-        side = buckets.select(F.col("bucket").alias(f"_bucket_{name}"), F.col("bits").alias(f"_bits_{name}"))
+        side = words.select(F.col("bucket").alias(f"_bucket_{name}"), F.col("words").alias(f"_words_{name}"))
         on = F.bitmap_bucket_number(F.col(name) + 1) == F.col(f"_bucket_{name}")
         found = found.join(F.broadcast(side) if small else side, on, "left")
-        maybe = maybe & _bit(F.col(f"_bits_{name}"), F.col(name))
+        maybe = maybe & _bit(F.col(f"_words_{name}"), F.col(name))
     return found.withColumn("maybe", maybe).select(*tokens.columns, "maybe")
 
 

@@ -29,10 +29,7 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     An absent key is an error; an explicit null is a value.
     """
     kinds = {key: f"_type_{key}" for key in KEYS}
-    # A generator output is a plain column to the optimizer: without it, a filter
-    # on ``reason`` is pushed down with the parse copied into every use.
-    parsed = bodies.select("*", F.inline(F.array(F.struct(J.parse_body(F.col("body")).alias("_v")))))
-    typed = parsed.withColumns(
+    typed = bodies.withColumn("_v", J.parse_body(F.col("body"))).withColumns(
         {name: J.type_at(F.col("_v"), key) for key, name in kinds.items()}
     )
     read = typed.withColumns(
@@ -59,12 +56,16 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
         .when(~is_text_or_null("short_token"), F.lit("token_not_text"))
         .when(~is_text_or_null("user_agent"), F.lit("agent_not_text"))
     )
-    return read.withColumns(
-        {
-            "reason": reason,
-            **{key: J.text_at(F.col("_v"), key) for key in KEYS if key != "timestamp"},
-        }
-    ).select(*bodies.columns, "short_token", "epoch", "ip_address", "user_agent", "reason")
+    event = F.struct(
+        *[
+            F.col("epoch") if key == "timestamp" else J.text_at(F.col("_v"), key).alias(key)
+            for key in KEYS
+        ],
+        reason.alias("reason"),
+    )
+    # Generator outputs are plain columns to the optimizer. Otherwise a filter on
+    # ``reason`` is pushed down with the parse copied into each of its uses.
+    return read.select(*bodies.columns, F.inline(F.array(event)))
 
 
 def good_events(parsed: DataFrame) -> DataFrame:

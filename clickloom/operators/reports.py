@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.timeutil import days_before, instant, utc_day
 from clickloom.schemas import REPORT_DAYS
@@ -107,69 +107,52 @@ def link_report(links: DataFrame, clicks: DataFrame, as_of: str | datetime | dat
     )
 
 
-def _parts(rollup: DataFrame, keys: list[str]) -> DataFrame:
-    """Regroup a rollup by day, by country and in total, in one pass.
+def _days_and_countries(rollup: DataFrame) -> DataFrame:
+    """Each rollup row twice: as clicks of its recent day and as clicks of its country.
 
-    ``part`` is ``day``, ``country`` or ``total``. The grouping sets expand the
-    rollup, never the clicks. NULL is a country of its own.
+    ``part`` is ``day`` or ``country`` and ``label`` the value. Expanding by a
+    generator keeps the rows' partitioning.
     """
-    names = ", ".join(keys)
-    sets = ", ".join(f"({', '.join([*keys, *extra])})" for extra in (["day"], ["country"], []))
-    grouped = rollup.sparkSession.sql(
-        f"""
-        SELECT {names + ',' if keys else ''} day, country,
-               CASE WHEN grouping(day) = 0 THEN 'day'
-                    WHEN grouping(country) = 0 THEN 'country'
-                    ELSE 'total' END AS part,
-               coalesce(sum(clicks), 0) AS clicks,
-               coalesce(sum(recent_clicks), 0) AS recent_clicks
-        FROM {{rollup}}
-        GROUP BY GROUPING SETS ({sets})
-        """,
-        rollup=rollup,
+    day = F.struct(
+        F.lit("day").alias("part"),
+        F.date_format("day", "yyyy-MM-dd").alias("label"),
+        F.col("recent_clicks").alias("n"),
+    )
+    country = F.struct(F.lit("country").alias("part"), F.col("country").alias("label"), F.col("clicks").alias("n"))
+    return rollup.select("*", F.inline(F.array(day, country))).filter(
+        (F.col("part") == "country") | (F.col("n") > 0)
     )
-    return grouped.filter((F.col("part") != "day") | (F.col("recent_clicks") > 0))
 
 
 def _packed() -> list[Column]:
-    part = F.col("part")
-    days = F.collect_list(
-        F.when(
-            part == "day",
-            F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), F.col("recent_clicks").alias("clicks")),
-        )
-    )
-    countries = F.collect_list(
-        F.when(part == "country", F.struct(F.col("country"), F.col("clicks")))
-    )
+    """Arrays from (part, label, n) rows; sorting needs no comparator as counts are negated."""
+    is_day = F.col("part") == "day"
+    days = F.sort_array(F.collect_list(F.when(is_day, F.struct(F.col("label").alias("date"), F.col("n").alias("clicks")))))
+    ranked = F.sort_array(F.collect_list(F.when(~is_day, F.struct((-F.col("n")).alias("less"), F.col("label")))))
+    countries = F.transform(ranked, lambda c: F.struct(c["label"].alias("country"), (-c["less"]).alias("clicks")))
     return [
-        F.coalesce(F.sum(F.when(part == "total", F.col("clicks"))), F.lit(0)).alias("total_clicks"),
-        F.array_sort(days).alias("clicks_over_time"),
-        F.array_sort(countries, _most_clicks_first).alias("geo_distribution"),
+        F.coalesce(F.sum(F.when(~is_day, F.col("n"))), F.lit(0)).alias("total_clicks"),
+        days.alias("clicks_over_time"),
+        countries.alias("geo_distribution"),
     ]
 
 
-def _most_clicks_first(left: Column, right: Column) -> Column:
-    return (
-        F.when(left["clicks"] > right["clicks"], -1)
-        .when(left["clicks"] < right["clicks"], 1)
-        .when(left["country"].isNull() & right["country"].isNull(), 0)
-        .when(left["country"].isNull(), -1)
-        .when(right["country"].isNull(), 1)
-        .when(left["country"] < right["country"], -1)
-        .when(left["country"] > right["country"], 1)
-        .otherwise(0)
-    )
-
-
 def link_report_nested(links: DataFrame, clicks: DataFrame, as_of: str | datetime | date,
                        days: int = REPORT_DAYS) -> DataFrame:
     """One document per link: totals, daily array (ascending), country array (most first).
 
-    Arrays are packed from counts: at most one entry per day of the horizon and
-    one per country.
+    The rollup is shuffled by link once; regrouping by day and by country, the
+    packing and the join then stay within that partitioning. A link's rollup has
+    at most one row per day and country, however many clicks it has.
     """
-    per_link = _parts(click_rollup(clicks, as_of, days), ["short_token"]).groupBy("short_token").agg(*_packed())
+    cells = click_rollup(clicks, as_of, days).repartition("short_token")
+    per_link = (
+        _days_and_countries(cells)
+        .groupBy("short_token", "part", "label")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("short_token")
+        .agg(*_packed())
+    )
     empty_days = F.array().cast("array<struct<date:string,clicks:bigint>>")
     empty_geo = F.array().cast("array<struct<country:string,clicks:bigint>>")
     return links.join(per_link, "short_token", "left").select(
@@ -188,16 +171,34 @@ def link_report_one(links: DataFrame, clicks: DataFrame, token: str, as_of: str
 
 
 def report_grouping_sets(clicks: DataFrame, as_of: str | datetime | date, days: int = REPORT_DAYS) -> DataFrame:
-    """Total, daily and country counts over all links as one table."""
-    return _parts(click_rollup(clicks, as_of, days, per_link=False), [])
+    """Total, daily and country counts over all links as one table.
+
+    ``part`` tells the rows apart (NULL is a country of its own). The grouping
+    sets expand the small rollup, never the clicks.
+    """
+    rollup = click_rollup(clicks, as_of, days, per_link=False)
+    grouped = rollup.sparkSession.sql(
+        """
+        SELECT day, country,
+               CASE WHEN grouping(day) = 0 THEN 'day'
+                    WHEN grouping(country) = 0 THEN 'country'
+                    ELSE 'total' END AS part,
+               coalesce(sum(clicks), 0) AS clicks,
+               coalesce(sum(recent_clicks), 0) AS recent_clicks
+        FROM {rollup}
+        GROUP BY GROUPING SETS ((day), (country), ())
+        """,
+        rollup=rollup,
+    )
+    return grouped.filter((F.col("part") != "day") | (F.col("recent_clicks") > 0))
 
 
 def global_report(links: DataFrame, clicks: DataFrame, as_of: str | datetime | date,
                   days: int = REPORT_DAYS) -> DataFrame:
     """One document over all links, from a single scan of the clicks."""
-    spark = links.sparkSession
-    packed = report_grouping_sets(clicks, as_of, days).agg(*_packed())
-    return spark.sql(
+    cells = click_rollup(clicks, as_of, days, per_link=False)
+    packed = _days_and_countries(cells).groupBy("part", "label").agg(F.sum("n").alias("n")).agg(*_packed())
+    return links.sparkSession.sql(
         """
         SELECT (SELECT count(id) FROM {links}) AS total_urls,
                total_clicks, clicks_over_time, geo_distribution

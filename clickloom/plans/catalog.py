@@ -20,7 +20,7 @@ BASE_URL = "http://localhost:8000/"
 ONE_TOKEN = "f"
 SPARSE_LIMIT, SPARSE_WINDOW = 5, 3 * 86_400
 HOT_LIMIT, HOT_WINDOW = 10, 6 * 3_600
-HOT_SPLIT = 500
+HOT_SPLIT = 2_000
 SMALL_BLOOM = 4_000
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600

@@ -20,13 +20,29 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+# Settings the jobs rely on for speed or exactness, changeable at run time.
+RUNTIME = {
+    # The JVM never compiles a method over 8,000 bytes; wide expressions run
+    # faster split into small methods than in one interpreted stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A JSON object with a repeated key keeps the last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to an existing session."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "clickloom", extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = dict(DEFAULTS)
+    settings = {**DEFAULTS, **RUNTIME}
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(extra or {})
