@@ -69,6 +69,7 @@ def _bit(words: Column, offset: Column) -> Column:
 def probe(tokens: DataFrame, buckets: DataFrame, bits: int = BLOOM_BITS, token_col: str = "short_token") -> DataFrame:
     """Add ``maybe``: False means the token was certainly never added.
 
+    ``buckets`` should be a stored table, as it is read once per salt.
     One lookup per salt. The filter holds at most ``bits / 4`` bytes as words,
     so up to 64 MiB it is broadcast and rows are not shuffled; a larger one is
     joined by bucket, over which the hash spreads rows evenly.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickloom.operators import bloom, charts, clicks as C, limiter, links as L, metrics as M, reports as R
 from clickloom.operators import registration, resolve as V
-from clickloom.session import scratch_path
+from clickloom.session import materialize, scratch_path
 from clickloom.sources import queue, tables, testdata as D
 from clickloom.streaming import ingest, rollup
 
@@ -259,12 +259,13 @@ def timeline_from_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
     requests = D.requests(spark, sf).select("request_id", "short_token")
-    return bloom.probe(requests, bloom.build(D.links(spark, sf)))
+    return bloom.probe(requests, materialize(bloom.build(D.links(spark, sf)), "bloom"))
 
 
 def bloom_fpr(spark: SparkSession, sf: str) -> DataFrame:
     links = D.links(spark, sf)
-    probed = bloom.probe(D.requests(spark, sf).select("short_token"), bloom.build(links, SMALL_BLOOM), SMALL_BLOOM)
+    stored = materialize(bloom.build(links, SMALL_BLOOM), "bloom")
+    probed = bloom.probe(D.requests(spark, sf).select("short_token"), stored, SMALL_BLOOM)
     return bloom.false_positives(probed, links)
 
 
