@@ -16,8 +16,8 @@ a partition. Larger clients are split by time, exactly:
    the k-th instants that each recorded one alone would lead to, because the
    step "next instant at or after a + window, and after the last accepted" is
    monotone; so the tables answer for every possible log;
-3. ``_entry_logs`` walks these small tables per client and finds the real log
-   at each chunk's start;
+3. ``_entry_logs`` walks these tables per client, one chunk at a time, and finds
+   the real log at each chunk's start;
 4. each chunk is decided on its own from that log.
 """
 
