@@ -54,6 +54,17 @@ def split(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
     return [(int(at[a]), slice(int(a), int(b))) for a, b in zip(starts, np.append(edges, len(keys)))]
 
 
+def pack(data: bytes | np.ndarray) -> bytes:
+    """Compressed, with the size before it."""
+    data = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(value: pa.Scalar, kind=np.uint8) -> np.ndarray:
+    raw = value.as_py()
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd"), kind)
+
+
 def blobs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 

@@ -26,7 +26,7 @@ GRAM = 16
 #: An anchor that more documents hold is dealt out by its single strings.
 HOT_DOCS = 20_000
 #: Bytes of text that a part sorts at once.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 
 U64 = np.uint64
 _PLACE = U64((1 << 22) - 1)
@@ -161,13 +161,13 @@ def _pieces(length: int, parts: int):
                 keys[of] = key1[s:e]
                 out["part"].append(int(part[s]))
                 out["chunk"].append(chunk)
-                out["text"].append(b"".join(seen))
-                out["sizes"].append(np.array([len(x) for x in seen], np.uint16).tobytes())
+                out["text"].append(X.pack(b"".join(seen)))
+                out["sizes"].append(X.pack(np.array([len(x) for x in seen], np.uint16)))
                 out["keys"].append(keys.tobytes())
-                out["least"].append(least.tobytes())
-                out["of"].append(np.where(here > least[of], ~of, of).astype(np.int32).tobytes())
-                out["doc"].append(doc1[s:e].astype(np.int32).tobytes())
-                out["start"].append(a1[s:e].astype(np.int32).tobytes())
+                out["least"].append(X.pack(least))
+                out["of"].append(X.pack(np.where(here > least[of], ~of, of).astype(np.int32)))
+                out["doc"].append(X.pack(doc1[s:e].astype(np.int32)))
+                out["start"].append(X.pack(a1[s:e].astype(np.int32)))
         return pa.table(out, _PIECES)
 
     return send
@@ -185,12 +185,12 @@ def _ids(docs: pa.Table) -> np.ndarray:
 def _matches(length: int):
     def match(table: pa.Table) -> pa.Table:
         """Sort the pieces of a part and answer each chunk with the spans that smaller documents have too."""
-        sizes = [X.unblob(v, np.uint16).astype(np.int64) for v in table["sizes"]]
+        sizes = [X.unpack(v, np.uint16).astype(np.int64) for v in table["sizes"]]
         owner = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
         size = np.concatenate(sizes)
         key = np.concatenate([X.unblob(v, U64) for v in table["keys"]])
-        least = np.concatenate([X.unblob(v, np.int64) for v in table["least"]])
-        text = np.concatenate([X.unblob(v, np.uint8) for v in table["text"]])
+        least = np.concatenate([X.unpack(v, np.int64) for v in table["least"]])
+        text = np.concatenate([X.unpack(v) for v in table["text"]])
         at = np.cumsum(size) - size
         starts = size - length + 1
         answer_at = np.cumsum(starts) - starts
@@ -212,7 +212,7 @@ def _matches(length: int):
         first = np.searchsorted(owner, np.arange(len(sizes)))
         rows = {"chunk": [], "doc": [], "start": [], "stop": []}
         for i in range(len(sizes)):
-            of, doc, start = (X.unblob(table[c][i], np.int32) for c in ("of", "doc", "start"))
+            of, doc, start = (X.unpack(table[c][i], np.int32) for c in ("of", "doc", "start"))
             later = of < 0
             piece = np.where(later, ~of, of) + first[i]
             whole = np.flatnonzero(later)
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DO
     asked = by_chunk.applyInArrow(_questions(length, parts), "part int, chunk int, keys binary, docs binary")
     states = asked.groupBy("part").applyInArrow(_answers(hot_docs), "chunk int, part int, state binary")
     sent = by_chunk.cogroup(states.groupBy("chunk")).applyInArrow(
-        _pieces(length, parts),
+        _pieces(length, 2 * parts),
         "part int, chunk int, text binary, sizes binary, keys binary, least binary, of binary, doc binary, start binary")
     spans = sent.groupBy("part").applyInArrow(_matches(length), "chunk int, doc binary, start binary, stop binary")
     return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; longer documents are cut between words.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 U64 = np.uint64
 
