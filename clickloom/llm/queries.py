@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import suffix_dedup
+from clickloom.llm import ngram_join, suffix_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    found = ngram_join.near_duplicates(_table(spark, sf, "documents"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_suffix_dedup]
+    found = [op1_ngram_jaccard, op7_suffix_dedup]
     return {f.__name__: f for f in found}
