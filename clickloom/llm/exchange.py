@@ -71,3 +71,12 @@ def blobs(arrays: list[np.ndarray]) -> pa.Array:
 
 def unblob(value: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(value.as_py(), kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising hashes by their differences, byte by byte."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(value: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(value).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)

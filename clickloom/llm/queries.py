@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontaminate, ngram_join, suffix_dedup
+from clickloom.llm import decontaminate, language_model, ngram_join, suffix_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,11 +23,15 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.scores(_table(spark, sf, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op7_suffix_dedup]
+    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op7_suffix_dedup]
     return {f.__name__: f for f in found}
