@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontaminate, language_model, ngram_join, suffix_dedup
+from clickloom.llm import decontaminate, language_id, language_model, ngram_join, suffix_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op7_suffix_dedup]
+    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op7_suffix_dedup, op10_language_id]
     return {f.__name__: f for f in found}
