@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontaminate, language_id, language_model, ngram_join, suffix_dedup
+from clickloom.llm import decontaminate, language_id, language_model, ngram_join, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.scores(_table(spark, sf, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -37,5 +41,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op7_suffix_dedup, op10_language_id]
+    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op10_language_id]
     return {f.__name__: f for f in found}
