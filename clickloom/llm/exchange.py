@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 CHUNK_BYTES = 4 << 20
-PART_BYTES = 24 << 20
+PART_BYTES = 10 << 20
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -26,7 +26,7 @@ GRAM = 16
 #: An anchor that more documents hold is dealt out by its single strings.
 HOT_DOCS = 20_000
 #: Bytes of text that a part sorts at once.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 U64 = np.uint64
 _PLACE = U64((1 << 22) - 1)
