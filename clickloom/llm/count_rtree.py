@@ -23,7 +23,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         self.order = _pack(points, sizes)
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []  # of (largest counts, least size, largest size), from the leaves up
         high, least, most = self.points, self.sizes, self.sizes
         while len(least) > 1:
@@ -38,7 +38,6 @@ class CountTree:
         group; a box allows as much as its largest counts.
         """
         nodes = np.zeros(1, np.int64)
-        point = point.astype(np.int32)
         for high, least, most in reversed(self.levels):
             nodes = nodes[nodes < len(least)]
             bound = np.minimum(high[nodes], point).sum(axis=1)

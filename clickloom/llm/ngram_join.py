@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,8 +29,8 @@ from clickloom.llm.textbytes import SPACED, buffers, mix, shingle_set
 from clickloom.session import materialize
 
 WORDS, NUM, DEN = 5, 4, 5
-#: Coordinates of the coarse count vectors.
-GROUPS = 64
+#: Coordinates of the count vectors under the trees: a power of two about as large as the set, within these.
+LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
 
@@ -45,8 +44,22 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles).sum(keepdims=True) + U64(len(shingles))).view(np.int64)[0])
 
 
-def counts(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> U64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def counts(shingles: np.ndarray, groups: int = LEAST_GROUPS) -> np.ndarray:
+    """How many n-grams fall into each group; neighbouring groups add up to those of half as many."""
+    return np.bincount((shingles >> U64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def _point(shingles: np.ndarray) -> bytes:
+    found = counts(shingles, min(max(1 << len(shingles).bit_length(), LEAST_GROUPS), MOST_GROUPS))
+    kind = np.uint8 if found.max() < 256 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + found.astype(kind).tobytes()
+
+
+def _points(values: list[bytes]) -> np.ndarray:
+    """Vectors of one length, that of the shortest."""
+    found = [np.frombuffer(v[1:], np.uint8 if v[0] == 1 else np.uint32) for v in values]
+    groups = min(map(len, found))
+    return np.stack([f.reshape(groups, -1).sum(axis=1, dtype=np.uint32) for f in found])
 
 
 def _most_apart(total: int, num: int, den: int) -> int:
@@ -153,6 +166,7 @@ def _verify(words: int, num: int, den: int):
         """The pairs whose sets, built anew from the texts, are similar enough."""
         linked = ([], [])
 
+
         def sets(table, column, text):
             for lo in range(0, len(table), 256):
                 part = table.slice(lo, 256)
@@ -180,26 +194,33 @@ def _vectors(words: int):
         for batch in batches:
             data, offsets = buffers(batch["text"])
             hashes, at = SPACED.hashes(data, offsets)
-            found = [counts(shingle_set(hashes[at[i] : at[i + 1]], words)) for i in range(len(batch))]
+            found = [_point(shingle_set(hashes[at[i] : at[i + 1]], words)) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays(
-                [batch["set_id"], batch["n_shingles"], pa.array([c.tobytes() for c in found], pa.binary())], names=["set_id", "n_shingles", "point"])
+                [batch["set_id"], batch["n_shingles"], pa.array(found, pa.binary())], names=["set_id", "n_shingles", "point"])
 
     return read
 
 
 def _tree_search(num: int, den: int):
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a block's members and its askers, of different components, that the bound leaves."""
-        inside = group[group.role == 0]
-        tree = CountTree(np.stack([np.frombuffer(p, np.uint32) for p in inside.point]), inside.n_shingles.to_numpy()) if len(inside) else None
-        out = ([], [])
-        names, comps = inside.set_id.to_numpy(), inside.component.to_numpy()
-        for name, size, comp, point in group.loc[group.role == 1, ["set_id", "n_shingles", "component", "point"]].itertuples(index=False) if tree else ():
-            hit = tree.search(np.frombuffer(point, np.uint32), int(size), num, den)
-            hit = hit[comps[hit] != comp]
-            out[0].extend(np.minimum(names[hit], name).tolist())
-            out[1].extend(np.maximum(names[hit], name).tolist())
-        return pd.DataFrame({"a": pd.Series(out[0], dtype="int64"), "b": pd.Series(out[1], dtype="int64")}).drop_duplicates()
+    def search(table: pa.Table) -> pa.Table:
+        """Pairs of each block's members and its askers, of different components, that the bound leaves."""
+        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
+        block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
+        edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
+        role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
+        point = table["point"].to_pylist()
+        pairs = set()
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
+            ask = lo + int(np.searchsorted(role[lo:hi], 1))
+            if lo < ask < hi:
+                points = _points(point[lo:hi])
+                tree = CountTree(points[: ask - lo], sizes[lo:ask])
+                for k in range(ask, hi):
+                    hit = lo + tree.search(points[k - lo], int(sizes[k]), num, den)
+                    for other in names[hit[comps[hit] != comps[k]]].tolist():
+                        pairs.add((min(other, int(names[k])), max(other, int(names[k]))))
+        a, b = zip(*sorted(pairs)) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return search
 
@@ -260,7 +281,8 @@ class _Join:
         asked = asking.select("bucket", "i", "j").distinct()
         columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"]
         both = inside.join(asked, ["bucket", "i", "j"], "left_semi").select(columns).union(asking.select(columns))
-        found = both.groupBy("bucket", "i", "j").applyInPandas(_tree_search(self.num, self.den), "a bigint, b bigint")
+        both = both.withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * self.parts)))
+        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den), "a bigint, b bigint")
         return materialize(found.distinct(), "rest")
 
     def run(self) -> DataFrame:
