@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontaminate, language_id, language_model, ngram_join, suffix_dedup, toxicity
+from clickloom.llm import cross_polytope, decontaminate, language_id, language_model, ngram_join, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,10 +36,15 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings")
+    return cross_polytope.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(_table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op10_language_id]
+    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op9_nearest, op10_language_id]
     return {f.__name__: f for f in found}
