@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from clickloom.llm.textbytes import _stream
 from clickloom.session import materialize
 
-TABLES, PROBES = 10, 10
+TABLES, PROBES = 12, 12
 NEIGHBOURS = 10
 #: Rows of a bucket ranked at once, and queries put to them at once.
 ROWS, ASKERS = 4096, 256

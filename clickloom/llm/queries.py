@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import cross_polytope, decontaminate, language_id, language_model, ngram_join, suffix_dedup, toxicity
+from clickloom.llm import cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents")).drop("copies")
+
+
 def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.scores(_table(spark, sf, "documents"))
 
@@ -46,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op9_nearest, op10_language_id]
+    found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op9_nearest, op10_language_id]
     return {f.__name__: f for f in found}
