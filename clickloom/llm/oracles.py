@@ -62,6 +62,23 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, CAST((SE
 FROM scored GROUP BY 1, 2
 """
 
+_ESCAPED = "text"
+for _plain, _safe in [("\\", "\\\\"), ("<|", "<\\|"), ("<s>", "<\\s>"), ("</s>", "<\\/s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"),
+                      ("<<SYS>>", "<\\<SYS>>"), ("<</SYS>>", "<\\</SYS>>")]:
+    _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_safe}')"
+OP8 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+packed AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learned,
+    sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPED}) + length('<|im_end|>') + 1) AS formatted
+  FROM turns GROUP BY 1)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(formatted AS BIGINT) AS formatted_chars FROM packed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op4_lm_scores": OP4}
+    return {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op4_lm_scores": OP4, "op8_chat_format": OP8}

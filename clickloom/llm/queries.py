@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, suffix_dedup, toxicity
+from clickloom.llm import chat, cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    extra = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    extra = spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.formatted_digests(chat.records(rows.union(extra)))
+
+
 def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings")
     return cross_polytope.search(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -50,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op9_nearest, op10_language_id]
+    found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op8_chat_format, op9_nearest, op10_language_id]
     return {f.__name__: f for f in found}
