@@ -62,6 +62,15 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, CAST((SE
 FROM scored GROUP BY 1, 2
 """
 
+_BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', (instr('0123456789abcdef', c) - 1) * 4 + 1, 4)), '')"
+_BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j: CAST(substr({_BITS}, CAST(i * 5 + j + 1 AS INT), 1) AS INT) << CAST(4 - j AS INT)))::INT, 1)), '')"""
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages WHERE page_id IS NOT NULL)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM p
+"""
+
 _ESCAPED = "text"
 for _plain, _safe in [("\\", "\\\\"), ("<|", "<\\|"), ("<s>", "<\\s>"), ("</s>", "<\\/s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"),
                       ("<<SYS>>", "<\\<SYS>>"), ("<</SYS>>", "<\\</SYS>>")]:
@@ -81,4 +90,4 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learned) AS loss_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op4_lm_scores": OP4, "op8_chat_format": OP8}
+    return {"op1_ngram_jaccard": OP1, "op2_decontaminate": OP2, "op4_lm_scores": OP4, "op5_warc": OP5, "op8_chat_format": OP8}

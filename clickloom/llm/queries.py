@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, suffix_dedup, toxicity
+from clickloom.llm import chat, cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, suffix_dedup, toxicity, warc
+from clickloom.session import scratch_path
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op4_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.scores(_table(spark, sf, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive(_table(spark, sf, "pages"), scratch_path(spark, "warc"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -57,5 +62,5 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op6_toxicity, op7_suffix_dedup, op8_chat_format, op9_nearest, op10_language_id]
+    found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op5_warc, op6_toxicity, op7_suffix_dedup, op8_chat_format, op9_nearest, op10_language_id]
     return {f.__name__: f for f in found}
