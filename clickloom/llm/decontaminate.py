@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from clickloom.llm.textbytes import ALNUM, buffers
 
 WINDOW = 13
+#: A document is contaminated if one word in so many, or more, is hit.
+ONE_IN = 20
 #: Words of benchmark items in one automaton, which is what is broadcast; more items make more passes.
 BLOCK_WORDS = 500_000
 
@@ -132,26 +134,32 @@ def _build(texts: list[str | None], names: list, window: int) -> tuple[Automaton
     return Automaton(items, names, window), known, least
 
 
+def _hits(automaton: Automaton, known: np.ndarray, least: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Which words of the texts are hit, where each text's words start, and the items found in each."""
+    hashes, at = ALNUM.hashes(*buffers(texts))
+    code = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    inside = known[code] == hashes if len(known) else np.zeros(len(hashes), bool)
+    # Only runs of known words as long as the shortest window can hold one.
+    begins = np.zeros(len(hashes) + 1, bool)
+    begins[at] = True
+    before, after = np.append(False, inside[:-1])[: len(inside)], np.append(inside[1:], False)[: len(inside)]
+    starts = np.flatnonzero(inside & (~before | begins[:-1]))
+    stops = np.flatnonzero(inside & (~after | begins[1:])) + 1
+    long = stops - starts >= least
+    hit = np.zeros(len(hashes), bool)
+    items: list[set] = [set() for _ in range(len(texts))]
+    doc = np.searchsorted(at, starts[long], "right") - 1
+    for i, a, b in zip(doc.tolist(), starts[long].tolist(), stops[long].tolist()):
+        automaton.read(code[a:b].tolist(), hit, a, items[i])
+    return hit, at, items
+
+
 def _reader(automaton: Automaton, known: np.ndarray, least: int):
     def read(batches):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                hashes, at = ALNUM.hashes(*buffers(part["text"]))
-                code = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                inside = known[code] == hashes if len(known) else np.zeros(len(hashes), bool)
-                # Only runs of known words as long as the shortest window can hold one.
-                begins = np.zeros(len(hashes) + 1, bool)
-                begins[at] = True
-                before, after = np.append(False, inside[:-1])[: len(inside)], np.append(inside[1:], False)[: len(inside)]
-                starts = np.flatnonzero(inside & (~before | begins[:-1]))
-                stops = np.flatnonzero(inside & (~after | begins[1:])) + 1
-                long = stops - starts >= least
-                hit = np.zeros(len(hashes), bool)
-                items: list[set] = [set() for _ in range(len(part))]
-                doc = np.searchsorted(at, starts[long], "right") - 1
-                for i, a, b in zip(doc.tolist(), starts[long].tolist(), stops[long].tolist()):
-                    automaton.read(code[a:b].tolist(), hit, a, items[i])
+                hit, at, items = _hits(automaton, known, least, part["text"])
                 spans = []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
@@ -187,6 +195,18 @@ def _joined(batches):
         ], names=["times", "text_id", "doc_id", "n_words", "spans", "items"])
 
 
+def _automata(benchmark: DataFrame, window: int, block_words: int):
+    """Broadcasts of the automata of all blocks of items."""
+    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    # A word needs a byte and a gap, so half the bytes bound the words.
+    size = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(size / 2 / block_words))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = dealt.filter(F.col("block") == block).select("item", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(_build([r["text"] for r in rows], [r["item"] for r in rows], window))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """What of each document is in a benchmark item.
 
@@ -204,20 +224,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     has a bounded size (an item of more words is a block of its own); each
     block is one pass over the documents, and the passes are joined per document.
     """
-    spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    # A word needs a byte and a gap, so octets bound words.
-    size = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / 2 / block_words))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     own = docs.select(F.xxhash64("text").alias("text_id"), "doc_id", "text")
-    passes = None
-    for block in range(blocks):
-        rows = dealt.filter(F.col("block") == block).select("item", "text").collect()
-        automaton = _build([r["text"] for r in rows], [r["item"] for r in rows], window)
-        shared = spark.sparkContext.broadcast(automaton)
+    passes, blocks = None, 0
+    for shared in _automata(benchmark, window, block_words):
         found = own.mapInArrow(_shared_reader(shared), _FOUND)
-        passes = found if passes is None else passes.union(found)
+        passes, blocks = found if passes is None else passes.union(found), blocks + 1
     if blocks > 1:
         # Equal rows have equal findings, so a set of them has one per block.
         passes = passes.groupBy("text_id", "doc_id", "n_words").agg(
@@ -228,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return passes.select(
         "doc_id", "n_words", "spans", hits.alias("n_hit"), "items", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((hits > 0) & (20 * hits >= F.col("n_words"))).alias("contaminated"),
+        ((hits > 0) & (ONE_IN * hits >= F.col("n_words"))).alias("contaminated"),
     )
 
 
@@ -237,3 +248,55 @@ def _shared_reader(shared):
         yield from _reader(*shared.value)(batches)
 
     return read
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, cut_below: float | None = None,
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of whose words one in ``one_in`` or more is hit.
+
+    With ``cut_below``, a row over this but under that share stays, and
+    its hit spans are cut out of ``text`` instead (``n_chars`` follows, if there
+    is one). Rows with fewer hits stay as they are. The hits of all blocks of
+    items count together (see ``contamination``). Moves no row.
+    """
+    automata = list(_automata(benchmark, window, block_words))
+
+    def clean(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                hit = None
+                for shared in automata:
+                    found, at, _ = _hits(*shared.value, part["text"])
+                    hit = found if hit is None else hit | found
+                total = np.concatenate([[0], np.cumsum(hit)])
+                n_hit, n_words = total[at[1:]] - total[at[:-1]], np.diff(at)
+                over = (n_hit > 0) & (one_in * n_hit >= n_words)
+                cut = over & (n_hit < cut_below * n_words) if cut_below is not None else np.zeros(len(part), bool)
+                if cut.any():
+                    part = _cut(part, hit, at, np.flatnonzero(cut))
+                yield part.filter(pa.array(~over | cut))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _cut(part: pa.RecordBatch, hit: np.ndarray, at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """The batch with the hit words of some rows, and what stands between them, taken out."""
+    texts = part["text"].to_pylist()
+    for i in rows.tolist():
+        raw = texts[i].encode()
+        starts, ends = ALNUM.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[at[i] : at[i + 1]].view(np.int8), [0]])))
+        out, done = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            out.append(raw[done : starts[a]])
+            done = int(ends[b - 1])
+        texts[i] = b"".join([*out, raw[done:]]).decode()
+    part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+    if "n_chars" in part.schema.names:
+        field = part.schema.field("n_chars")
+        sizes = [None if t is None else len(t) for t in texts]
+        old = part["n_chars"].to_pylist()
+        changed = set(rows.tolist())
+        part = part.set_column(part.schema.get_field_index("n_chars"), field, pa.array([s if i in changed else o for i, (s, o) in enumerate(zip(sizes, old))], field.type))
+    return part

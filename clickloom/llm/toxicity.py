@@ -406,3 +406,16 @@ def score(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, sample
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, landmarks, sample))
     own = docs.select("doc_id", "text", (_remainder() == HELD_OUT).alias("held_out"))
     return own.mapInArrow(_score(shared), "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted toxic (see ``score``). Moves no row."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, landmarks, sample))
+
+    def keep(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                yield part.filter(pa.array(shared.value.scores(*buffers(part["text"])) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -1,4 +1,4 @@
-"""The corpus pipeline: operators one after the other, from raw documents to a mix."""
+"""The corpus pipeline: from raw documents to a mix, one operator after the other."""
 
 from __future__ import annotations
 
@@ -9,21 +9,48 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from clickloom.llm import suffix_dedup  # noqa: E402
+from clickloom.llm import decontaminate, mixing, ngram_join, suffix_dedup, toxicity  # noqa: E402
+from clickloom.session import materialize  # noqa: E402
 
 
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that a document with a smaller id has too."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine rejects go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    classes = ngram_join.near_duplicates(docs)
+    gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has too are cut out."""
     return suffix_dedup.remove_repeats(docs)
 
 
-STAGES = [("suffix_dedup", suffix_array_dedup)]
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in benchmark items go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontaminate", drop_benchmark), ("mixing", mix_sources),
+]
 
+#: The stages are learned, exact on bytes or iterative; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; between stages the rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
