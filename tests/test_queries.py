@@ -4,9 +4,11 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from clickloom.plans import catalog, oracles
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracles.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalog.queries()}
 
 
 @pytest.fixture(scope="module")
