@@ -93,7 +93,7 @@ class Words:
                 while lo < hi:
                     cut = min(lo + BLOCK, hi)
                     while cut < hi:
-                        gap = np.flatnonzero(~self.word[data[cut : cut + BLOCK]])
+                        gap = np.flatnonzero(~self.word[data[cut : min(cut + BLOCK, hi)]])
                         if len(gap):
                             cut += int(gap[0])
                             break
