@@ -65,7 +65,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
             stop = np.append(run[1:], len(at)) - 1
             run, stop = run[whole[run]], stop[whole[run]]
             base = lo - offsets[of[run]]
-            found.append((key[at[run]], of[run], run + base, stop + base))
+            # Anchors are small hashes; scrambled once more they spread evenly.
+            found.append((mix(key[at[run]] + U64(GRAM)), of[run], run + base, stop + base))
             if hi == end:
                 break
             lo += BLOCK
