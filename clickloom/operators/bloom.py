@@ -1,17 +1,18 @@
 """A stored, mergeable Bloom filter over link tokens.
 
 The bit array is a table of buckets of 32,768 bits (``bucket``, ``bits``), at
-most ``bits / 32768`` rows whatever the number of tokens.
+most ``bits / 32768`` rows whatever the number of tokens. Each row names the
+filter's ``size`` and ``salts``, so that a filter is never read as another one.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.hashing import bloom_offsets
-from clickloom.schemas import BLOOM_BITS
+from clickloom.schemas import BLOOM_BITS, BLOOM_SALTS
 
 BUCKET_BITS = 32_768
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -32,13 +33,31 @@ def build(tokens: DataFrame, bits: int = BLOOM_BITS, token_col: str = "short_tok
     every = F.explode(F.array(*[offset + 1 for offset in bloom_offsets(F.col(token_col), bits)]))
     distinct = tokens.filter(F.col(token_col).isNotNull()).select(every.alias("_at")).distinct()
     return distinct.groupBy(F.bitmap_bucket_number("_at").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("bits")
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("bits"),
+        F.lit(bits).cast("bigint").alias("size"),
+        F.lit(",".join(BLOOM_SALTS)).alias("salts"),
     )
 
 
+def bits_for(tokens: int, false_positives: float = 0.01, salts: int = len(BLOOM_SALTS)) -> int:
+    """The size at which so many tokens give about that rate of false positives."""
+    return max(BUCKET_BITS, ceil(-salts * tokens / log(1 - false_positives ** (1 / salts))))
+
+
+def size_of(buckets: DataFrame) -> int | None:
+    """The size that all rows of a stored filter name; None for an empty one."""
+    found = buckets.agg(F.min("size").alias("a"), F.max("size").alias("b"), F.min("salts").alias("s"), F.max("salts").alias("t")).first()
+    if found["a"] != found["b"] or found["s"] != found["t"] or found["s"] not in (None, ",".join(BLOOM_SALTS)):
+        raise ValueError("the rows belong to Bloom filters of different sizes or salts")
+    return found["a"]
+
+
 def merge(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """OR of two filters of the same size."""
-    return stored.unionByName(added).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    """OR of two filters of the same size and salts."""
+    if None not in (sizes := (size_of(stored), size_of(added))) and sizes[0] != sizes[1]:
+        raise ValueError(f"Bloom filters of {sizes[0]} and {sizes[1]} bits cannot be merged")
+    return stored.unionByName(added).groupBy("bucket").agg(
+        F.bitmap_or_agg("bits").alias("bits"), F.min("size").alias("size"), F.min("salts").alias("salts"))
 
 
 def set_bits(buckets: DataFrame) -> DataFrame:
@@ -66,14 +85,16 @@ def _bit(words: Column, offset: Column) -> Column:
     return F.coalesce(F.getbit(word, shift), F.lit(0)) == 1
 
 
-def probe(tokens: DataFrame, buckets: DataFrame, bits: int = BLOOM_BITS, token_col: str = "short_token") -> DataFrame:
+def probe(tokens: DataFrame, buckets: DataFrame, token_col: str = "short_token") -> DataFrame:
     """Add ``maybe``: False means the token was certainly never added.
 
-    ``buckets`` should be a stored table, as it is read once per salt.
-    One lookup per salt. The filter holds at most ``bits / 4`` bytes as words,
-    so up to 64 MiB it is broadcast and rows are not shuffled; a larger one is
-    joined by bucket, over which the hash spreads rows evenly.
+    ``buckets`` should be a stored table, as it is read once per salt; its rows
+    say how many bits it has. One lookup per salt. The filter holds at most
+    ``bits / 4`` bytes as words, so up to 64 MiB it is broadcast and rows are not
+    shuffled; a larger one is joined by bucket, over which the hash spreads rows
+    evenly, and only the answer goes on to the next join.
     """
+    bits = size_of(buckets) or BLOOM_BITS
     small = ceil(bits / 4) <= BROADCAST_BYTES
     found = offsets(tokens, bits, token_col)
     names = [name for name in found.columns if name not in tokens.columns]
@@ -83,7 +104,8 @@ def probe(tokens: DataFrame, buckets: DataFrame, bits: int = BLOOM_BITS, token_c
         side = words.select(F.col("bucket").alias(f"_bucket_{name}"), F.col("words").alias(f"_words_{name}"))
         on = F.bitmap_bucket_number(F.col(name) + 1) == F.col(f"_bucket_{name}")
         found = found.join(F.broadcast(side) if small else side, on, "left")
-        maybe = maybe & _bit(F.col(f"_words_{name}"), F.col(name))
+        found = found.withColumn(f"_bit_{name}", _bit(F.col(f"_words_{name}"), F.col(name))).drop(f"_words_{name}", f"_bucket_{name}")
+        maybe = maybe & F.col(f"_bit_{name}")
     return found.withColumn("maybe", maybe).select(*tokens.columns, "maybe")
 
 

@@ -5,42 +5,38 @@ A request at ``t`` is allowed when fewer than ``limit`` accepted instants lie in
 client at one instant share a single record. This feedback makes it a
 sequential rule per client, not a window function.
 
-Clients up to ``split_rows`` requests are decided whole, in client order within
-a partition. Larger clients are split by time, exactly:
-
-1. requests shrink to distinct instants, which are cut into chunks of whole
-   windows (``_chunk_instants``);
-2. for each chunk, all chunks in parallel, ``_transfer_table`` tabulates what
-   any single accepted instant of the preceding window leads to at the chunk's
-   end. The k-th accepted instant after several recorded ones is the latest of
-   the k-th instants that each recorded one alone would lead to, because the
-   step "next instant at or after a + window, and after the last accepted" is
-   monotone; so the tables answer for every possible log;
+All clients go one way, whatever their size:
+
+1. requests shrink to distinct instants per client, which are cut into chunks of
+   whole windows (``_chunk_instants``); most clients have one chunk;
+2. for each chunk of a client with several, all in parallel, ``_transfer_table``
+   tabulates what any single accepted instant of the preceding window leads to
+   at the chunk's end. The k-th accepted instant after several recorded ones is
+   the latest of the k-th instants that each recorded one alone would lead to,
+   because the step "next instant at or after a + window, and after the last
+   accepted" is monotone; so the tables answer for every possible log;
 3. ``_entry_logs`` walks these tables per client, one chunk at a time, and finds
    the real log at each chunk's start;
-4. each chunk is decided on its own from that log.
+4. each chunk is decided on its own from that log, and the answers are joined
+   back to the requests. Only clients, instants and answers pass through Python.
 """
 
 from __future__ import annotations
 
-import sys
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.timeutil import epoch_micros, floor_micros
 from clickloom.schemas import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clickloom.session import materialize
 
-# Tasks get these functions by value, so executors need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 UNKNOWN_CLIENT = "unknown_client"
-SPLIT_ROWS = 8_000_000
+#: Instants in a chunk, about; a chunk never ends within a window.
+CHUNK_ROWS = 4_000_000
 
 
 def client_key(api_key: Column, ip: Column) -> Column:
@@ -169,27 +165,6 @@ def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def _decide_whole(limit: int, window: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(frames, ["client_key"]):
-            starts = _starts(frame, ["client_key"])
-            instants = frame["_us"].to_numpy()
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(frame))))
-            allowed = np.ones(len(frame), dtype=bool)
-            # A client with at most `limit` requests in any window needs no walk.
-            busy = np.zeros(len(starts), dtype=bool)
-            if len(frame) > limit:
-                close = instants[limit:] - instants[:-limit] < window
-                busy[group[limit:][close & (group[limit:] == group[:-limit])]] = True
-            ends = np.append(starts[1:], len(frame))
-            for g in np.flatnonzero(busy):
-                part = slice(starts[g], ends[g])
-                allowed[part] = decide(instants[part], np.empty(0, dtype=np.int64), limit, window)
-            yield frame.assign(allowed=allowed).drop(columns="_us")
-
-    return run
-
-
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray, pd.DataFrame]]:
     """Client, chunk, preceding instants and own rows of each chunk."""
     keys = ["client_key", "_chunk"]
@@ -235,10 +210,13 @@ def _walk(limit: int, window: int):
 def _decide_chunks(limit: int, window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for client, _, log, own in _chunks(frames):
-            held = _recorded_before(own["_us"].to_numpy(), log, limit, window)
-            yield pd.DataFrame(
-                {"client_key": client, "_us": own["_us"], "_first": own["_first"], "_held": held}
-            )
+            instants = own["_us"].to_numpy()
+            # Where no window has more than `limit` instants, all are recorded and no walk is needed.
+            if len(log) or (len(instants) > limit and (instants[limit:] - instants[:-limit] < window).any()):
+                held = _recorded_before(instants, log, limit, window)
+            else:
+                held = np.arange(len(instants)) - np.searchsorted(instants, instants - window, side="right")
+            yield pd.DataFrame({"client_key": client, "_us": instants, "_held": held})
 
     return run
 
@@ -246,15 +224,14 @@ def _decide_chunks(limit: int, window: int):
 # -- tables ------------------------------------------------------------------------------
 
 
-def _chunk_instants(requests: DataFrame, id_col: str, window: int, chunk_rows: int) -> DataFrame:
+def _chunk_instants(requests: DataFrame, window: int, chunk_rows: int) -> DataFrame:
     """Distinct instants with their chunk, and again under the chunk they precede.
 
     A chunk is a run of whole windows with about ``chunk_rows`` instants. The
     window counted per client sees one row per window, however many requests.
     """
     span = F.call_function("div", floor_micros(F.col("_us"), window), F.lit(window).cast("bigint"))
-    instants = requests.groupBy("client_key", "_us").agg(F.min(id_col).alias("_first"))
-    instants = instants.withColumn("_span", span)
+    instants = requests.select("client_key", "_us").distinct().withColumn("_span", span)
     by_client = Window.partitionBy("client_key").orderBy("_span")
     spans = (
         instants.groupBy("client_key", "_span")
@@ -264,6 +241,7 @@ def _chunk_instants(requests: DataFrame, id_col: str, window: int, chunk_rows: i
             {
                 "_next_span": F.lead("_span").over(by_client),
                 "_next_chunk": F.lead("_chunk").over(by_client),
+                "_several": F.max("_chunk").over(Window.partitionBy("client_key")) > 0,
                 "_start": F.min("_span").over(Window.partitionBy("client_key", "_chunk")) * window,
             }
         )
@@ -274,7 +252,7 @@ def _chunk_instants(requests: DataFrame, id_col: str, window: int, chunk_rows: i
                 F.col("_next_chunk"),
             ),
         )
-        .select("client_key", "_span", "_chunk", "_start", "_leads_to")
+        .select("client_key", "_span", "_chunk", "_start", "_leads_to", "_several")
     )
     placed = instants.join(spans, ["client_key", "_span"])
     places = F.array(
@@ -288,7 +266,7 @@ def _chunk_instants(requests: DataFrame, id_col: str, window: int, chunk_rows: i
         .filter(F.col("_place.own") | (F.col("_place.chunk").isNotNull() & ~expired))
         .select(
             "client_key", F.col("_place.chunk").alias("_chunk"), F.col("_place.own").alias("_own"),
-            "_us", "_first", "_start",
+            "_us", "_start", "_several",
         )
     )
 
@@ -309,58 +287,43 @@ def _entry_logs(chunked: DataFrame, limit: int, window: int) -> DataFrame:
     )
 
 
-def _split_clients(requests: DataFrame, id_col: str, limit: int, window: int, chunk_rows: int) -> DataFrame:
-    chunked = materialize(_chunk_instants(requests, id_col, window, chunk_rows), "limiter-instants")
-    logs = _entry_logs(chunked, limit, window).withColumns(
-        {"_own": F.lit(False), "_first": F.lit(None).cast("bigint"), "_start": F.lit(None).cast("bigint")}
-    )
-    held = _in_chunks(chunked.filter("_own").unionByName(logs)).mapInPandas(
-        _decide_chunks(limit, window), "client_key string, _us bigint, _first bigint, _held bigint"
-    )
-    is_repeat = (F.col(id_col) != F.col("_first")).cast("bigint")
-    return (
-        requests.join(held, ["client_key", "_us"])
-        .withColumn("allowed", F.col("_held") + is_repeat < limit)
-        .drop("_us", "_first", "_held")
-    )
-
-
 def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
-               id_col: str = "request_id", split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Add ``allowed`` to requests (``client_key``, ``requested_at``, BIGINT ``id_col``).
-
-    Requests are decided in order of time, then id.
+               id_col: str = "request_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``allowed`` to requests (``client_key``, ``requested_at``, ``id_col``).
+
+    Requests are decided in order of time, then id, then row; a request id that
+    occurs twice is two requests. A request without time cannot be placed and
+    gets a NULL ``allowed``; it uses no quota. ``chunk_rows`` changes how the
+    work is split and no decision. Memory: a task holds one chunk's instants
+    and, for a client with several chunks, ``4 * limit`` numbers for each
+    instant of one window.
     """
     if limit < 1:
-        return requests.withColumn("allowed", F.lit(False))
+        return requests.withColumn("allowed", F.when(F.col("requested_at").isNotNull(), F.lit(False)))
     window = int(window_seconds * 1_000_000)
     asked = requests.withColumns(
         {
             "client_key": F.coalesce("client_key", F.lit(UNKNOWN_CLIENT)),
             "_us": epoch_micros(F.col("requested_at")),
+            "_row": F.monotonically_increasing_id(),
         }
     )
-    # At most (all requests / split_rows) clients can be this large; Spark
-    # broadcasts the written list if its size allows.
-    large = materialize(
-        asked.groupBy("client_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows)
-        .select("client_key"),
-        "limiter-large",
+    # Written, so that a row keeps its number when it is read again.
+    asked = materialize(asked, "limiter-requests")
+    chunked = materialize(_chunk_instants(asked.filter("_us IS NOT NULL"), window, chunk_rows), "limiter-instants")
+    logs = _entry_logs(chunked.filter("_several").drop("_several"), limit, window)
+    own = chunked.filter("_own").select("client_key", "_chunk", "_own", "_us")
+    held = _in_chunks(own.unionByName(logs.withColumn("_own", F.lit(False)))).mapInPandas(
+        _decide_chunks(limit, window), "client_key string, _us bigint, _held bigint"
     )
-    rest = asked if large.isEmpty() else asked.join(large, "client_key", "left_anti")
-    kept = [f for f in rest.schema.fields if f.name != "_us"]
-    whole = (
-        rest.repartition("client_key")
-        .sortWithinPartitions("client_key", "_us", id_col)
-        .mapInPandas(
-            _decide_whole(limit, window),
-            ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", allowed boolean",
-        )
+    firsts = asked.filter("_us IS NOT NULL").groupBy("client_key", "_us").agg(F.min(F.struct(id_col, "_row"))["_row"].alias("_first"))
+    decided = held.join(firsts, ["client_key", "_us"])
+    is_repeat = (F.col("_row") != F.col("_first")).cast("bigint")
+    return (
+        asked.join(decided, ["client_key", "_us"], "left")
+        .withColumn("allowed", F.col("_held") + is_repeat < limit)
+        .select(*requests.columns, "allowed")
     )
-    if large.isEmpty():
-        return whole
-    split = asked.join(large, "client_key", "left_semi")
-    return whole.unionByName(_split_clients(split, id_col, limit, window, max(split_rows // 2, 1)))
 
 
 def limit_by_client(decisions: DataFrame) -> DataFrame:

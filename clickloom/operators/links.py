@@ -33,7 +33,13 @@ def rejected_requests(requests: DataFrame) -> DataFrame:
 
 
 def normalize_expiry(requests: DataFrame, naive_zone: str, text_col: str = "expires_text") -> DataFrame:
-    """Replace ISO expiry text by ``expires_at`` in UTC."""
+    """Replace ISO expiry text by ``expires_at`` in UTC; ``expiry_unreadable`` marks text that is none.
+
+    Read are dates with times, with ``Z``, ``+hh:mm`` or ``+hhmm``, or without
+    an offset (then local to ``naive_zone``), and dates alone.
+    """
+    parsed = offset_text_to_utc(F.col(text_col), naive_zone)
+    requests = requests.withColumn("expiry_unreadable", F.col(text_col).isNotNull() & parsed.isNull())
     return requests.withColumn("expires_at", offset_text_to_utc(F.col(text_col), naive_zone)).drop(text_col)
 
 
@@ -111,19 +117,27 @@ def link_status_counts(links: DataFrame, as_of: str | datetime | date) -> DataFr
     return link_status(links, as_of).groupBy("status").agg(F.count(F.lit(1)).alias("links"))
 
 
+def bad_token(token: Column) -> Column:
+    """Why a token cannot be stored, or NULL: the registry's rules on ``short_token``."""
+    return F.when(token.isNull(), F.lit("missing_token")).when(F.char_length(token) > MAX_TOKEN_CHARS, F.lit("token_too_long"))
+
+
+def rejected_links(incoming: DataFrame) -> DataFrame:
+    """Incoming rows that the registry's rules refuse, with the ``reason``."""
+    return incoming.withColumn("reason", bad_token(F.col("short_token"))).filter(F.col("reason").isNotNull())
+
+
 def new_links(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows whose token is not stored; of equal tokens the lowest id wins.
+    """Incoming rows that may be stored and whose token is not; of equal tokens the lowest id wins.
 
-    The minimum is formed before the shuffle, so repeats of one token shrink to
-    a row per task.
+    The lowest id is found by a hash aggregate, before the shuffle, so repeats of
+    one token shrink to a row per task. Equal rows are one link.
     """
-    rest = [name for name in LINKS.fieldNames() if name not in ("id", "short_token")]
-    winner = (
-        incoming.groupBy("short_token")
-        .agg(F.min_by(F.struct("id", *rest), F.struct("id", *rest)).alias("_row"))
-        .select("short_token", "_row.*")
-    )
-    return winner.join(existing.select("short_token"), "short_token", "left_anti").select(*LINKS.fieldNames())
+    fresh = incoming.filter(bad_token(F.col("short_token")).isNull()).select(*LINKS.fieldNames())
+    least = fresh.groupBy(F.col("short_token").alias("_token")).agg(F.min("id").alias("_id"))
+    least = least.join(existing.select("short_token"), F.col("_token") == F.col("short_token"), "left_anti")
+    winner = fresh.join(least, (F.col("short_token") == F.col("_token")) & (F.col("id") == F.col("_id"))).drop("_token", "_id")
+    return winner.distinct()
 
 
 def merge_links(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -100,39 +100,37 @@ def counter_increase(samples: DataFrame) -> DataFrame:
     return prior.withColumn("increase", F.coalesce(step, F.lit(0.0))).drop("_prior")
 
 
-def _at_ticks(rows: DataFrame, window_seconds: int, step_seconds: int) -> DataFrame:
-    """Each row under every evaluation instant whose window contains it."""
+def _at_ticks(rows: DataFrame, keys: list[str], sums: dict[str, Column], window_seconds: int, step_seconds: int) -> DataFrame:
+    """Sums over the window before each evaluation instant, by ``keys`` and ``at``.
+
+    Rows are summed per step first; only these sums are repeated under the
+    instants whose window contains them.
+    """
     if window_seconds % step_seconds:
         raise ValueError("the window must be a multiple of the step")
-    first = tick_after(F.col("ts"), step_seconds)
     times = window_seconds // step_seconds
+    steps = rows.groupBy(*keys, tick_after(F.col("ts"), step_seconds).alias("at")).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     if times == 1:
-        return rows.withColumn("at", first)
-    later = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
-    moved = from_epoch_micros(epoch_micros(first) + F.col("_k").cast("bigint") * (step_seconds * 1_000_000))
-    return rows.withColumn("_k", later).withColumn("at", moved).drop("_k")
+        return steps
+    moved = from_epoch_micros(epoch_micros(F.col("at")) + F.col("_k").cast("bigint") * (step_seconds * 1_000_000))
+    spread = steps.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("at", moved)
+    return spread.groupBy(*keys, "at").agg(*(F.sum(n).alias(n) for n in sums))
 
 
 def counter_rate(samples: DataFrame, metric: str, window_seconds: int = 60, step_seconds: int = 60) -> DataFrame:
     """Per-second rate of each series of a counter at each evaluation instant."""
     grown = counter_increase(samples.filter(F.col("metric") == metric))
-    return (
-        _at_ticks(grown, window_seconds, step_seconds)
-        .groupBy("series", "at")
-        .agg((F.sum("increase") / window_seconds).alias("rate"))
-    )
+    found = _at_ticks(grown, ["series"], {"increase": F.col("increase")}, window_seconds, step_seconds)
+    return found.select("series", "at", (F.col("increase") / window_seconds).alias("rate"))
 
 
 def hit_ratio(samples: DataFrame, metric: str = "cache_requests_total", window_seconds: int = 60,
               step_seconds: int = 60) -> DataFrame:
     """Percent of lookups that hit, at each evaluation instant; NULL without lookups."""
     grown = counter_increase(samples.filter(F.col("metric") == metric))
-    hits = F.sum(F.when(F.col("labels")["result"] == "hit", F.col("increase")).otherwise(0.0))
-    return (
-        _at_ticks(grown, window_seconds, step_seconds)
-        .groupBy("at")
-        .agg((F.try_divide(hits, F.sum("increase")) * 100).alias("hit_ratio_pct"))
-    )
+    hits = F.when(F.col("labels")["result"] == "hit", F.col("increase")).otherwise(0.0)
+    found = _at_ticks(grown, [], {"hits": hits, "lookups": F.col("increase")}, window_seconds, step_seconds)
+    return found.select("at", (F.try_divide("hits", "lookups") * 100).alias("hit_ratio_pct"))
 
 
 def gauge_last(samples: DataFrame, metric: str, seconds: int) -> DataFrame:
@@ -141,7 +139,7 @@ def gauge_last(samples: DataFrame, metric: str, seconds: int) -> DataFrame:
     return (
         samples.filter(F.col("metric") == metric)
         .groupBy(series_key(F.col("labels")).alias("series"), start.alias("interval_start"))
-        .agg(F.max_by("value", "ts").alias("value"))
+        .agg(F.max(F.struct("ts", "value"))["value"].alias("value"))
     )
 
 

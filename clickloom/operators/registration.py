@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from clickloom.operators.limiter import SPLIT_ROWS, client_key, rate_limit
-from clickloom.operators.links import allocate_ids, has_http_scheme, normalize_expiry, with_tokens
+from clickloom.operators.limiter import CHUNK_ROWS, client_key, rate_limit
+from clickloom.operators.links import allocate_ids, has_http_scheme, merge_links, normalize_expiry, with_tokens
 from clickloom.schemas import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clickloom.session import materialize
 
-CREATED, BAD_REQUEST, THROTTLED, FAILED = 200, 400, 429, 500
+CREATED, BAD_REQUEST, UNREADABLE, THROTTLED, FAILED = 200, 400, 422, 429, 500
 
 
 def register(requests: DataFrame, base_url: str, naive_zone: str, first_id: int = 1,
              limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
-             split_rows: int = SPLIT_ROWS) -> DataFrame:
+             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Outcome of every request.
 
-    The limiter comes first, so bad URLs use up quota and throttled requests
-    use up no ids. Input: ``request_id``, ``api_key``, ``ip_address``,
+    A request whose expiry text cannot be read is refused before anything else
+    and uses no quota. Then comes the limiter, so bad URLs use up quota and
+    throttled requests use up no ids. Input: ``request_id``, ``api_key``, ``ip_address``,
     ``requested_at``, ``long_url``, ``expires_text``.
     """
     keyed = normalize_expiry(requests, naive_zone).select(
@@ -27,11 +28,14 @@ def register(requests: DataFrame, base_url: str, naive_zone: str, first_id: int
         "requested_at",
         "long_url",
         "expires_at",
+        "expiry_unreadable",
     )
-    limited = rate_limit(keyed, limit, window_seconds, split_rows=split_rows)
+    refused = keyed.filter("expiry_unreadable").withColumn("status", F.lit(UNREADABLE)).drop("expiry_unreadable")
+    keyed = keyed.filter("NOT expiry_unreadable").drop("expiry_unreadable")
+    limited = rate_limit(keyed, limit, window_seconds, chunk_rows=chunk_rows)
     status = (
         F.when(~F.col("allowed"), THROTTLED)
-        .when(~has_http_scheme(F.col("long_url")), BAD_REQUEST)
+        .when(F.col("allowed").isNull() | ~has_http_scheme(F.col("long_url")), BAD_REQUEST)
         .otherwise(CREATED)
     )
     checked = materialize(limited.withColumn("status", status).drop("allowed"), "registration")
@@ -43,7 +47,8 @@ def register(requests: DataFrame, base_url: str, naive_zone: str, first_id: int
         .withColumn("status", F.when(F.col("reason").isNull(), F.col("status")).otherwise(FAILED))
         .drop("reason")
     )
-    return created.unionByName(checked.filter(F.col("status") != CREATED), allowMissingColumns=True)
+    rest = checked.filter(F.col("status") != CREATED).unionByName(refused)
+    return created.unionByName(rest, allowMissingColumns=True)
 
 
 def registered_links(outcomes: DataFrame) -> DataFrame:
@@ -51,3 +56,14 @@ def registered_links(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("status") == CREATED).select(
         "id", "short_token", "long_url", F.col("requested_at").alias("created_at"), "expires_at"
     )
+
+
+def register_batch(registry: DataFrame, requests: DataFrame, base_url: str, naive_zone: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, registry with the created links): ids go on after the highest one stored.
+
+    The outcomes are written once, so that both results see the same ids. One
+    batch runs at a time; the limiter knows the requests of its batch only.
+    """
+    highest = registry.agg(F.max("id")).first()[0] or 0
+    outcomes = materialize(register(requests, base_url, naive_zone, highest + 1, **options), "outcomes")
+    return outcomes, merge_links(registry, registered_links(outcomes))

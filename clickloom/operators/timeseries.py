@@ -26,7 +26,10 @@ def _chunk(ts: str, seconds: int) -> Column:
 
 
 def _attach(df: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(edges, [*keys, "_chunk"])
+    """Edge rows beside the rows of their series and chunk; NULL keys match each other."""
+    named = edges.select(*(F.col(k).alias(f"_edge_{k}") for k in [*keys, "_chunk"]), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_edge_{k}")) for k in [*keys, "_chunk"]]
+    return df.join(named, same).drop(*(f"_edge_{k}" for k in [*keys, "_chunk"]))
 
 
 def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
@@ -53,15 +56,19 @@ def running_total(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
 
 def previous_value(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
                    chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Value of the preceding sample of the series, NULL for its first sample."""
+    """Value of the preceding sample of the series, NULL for its first sample.
+
+    Samples of one instant follow each other by value, so that the result does
+    not depend on the order of rows.
+    """
     cut = df.withColumn("_chunk", _chunk(ts, chunk_seconds))
     edges = (
         cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by(value, ts).alias("_last"))
+        .agg(F.max(F.struct(ts, value))[value].alias("_last"))
         .withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")))
         .drop("_last")
     )
-    within = Window.partitionBy(*keys, "_chunk").orderBy(ts)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(ts, value)
     inner = cut.withColumns(
         {"_inner": F.lag(value).over(within), "_row": F.row_number().over(within)}
     )
@@ -70,26 +77,3 @@ def previous_value(df: DataFrame, keys: list[str], ts: str, value: str, out: str
         .withColumn(out, F.when(F.col("_row") == 1, F.col("_before")).otherwise(F.col("_inner")))
         .drop("_chunk", "_inner", "_row", "_before")
     )
-
-
-def scrape_counter(events: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
-    """Counter samples: events seen per series up to each scrape instant.
-
-    Columns: keys, ``ts``, ``value``. Instants without new events are left out.
-    """
-    per_tick = (
-        events.groupBy(*keys, tick_after(F.col(ts), seconds).alias("ts"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = running_total(per_tick, keys, "ts", "_n", "_value")
-    return total.select(*keys, "ts", F.col("_value").cast("double").alias("value"))
-
-
-def scrape_gauge(events: DataFrame, keys: list[str], ts: str, value: str, seconds: int,
-                 tiebreak: str) -> DataFrame:
-    """Gauge samples: last value set before each scrape instant."""
-    return (
-        events.groupBy(*keys, tick_after(F.col(ts), seconds).alias("_tick"))
-        .agg(F.max_by(value, F.struct(ts, tiebreak)).alias("value"))
-        .select(*keys, F.col("_tick").alias("ts"), F.col("value").cast("double").alias("value"))
-    )

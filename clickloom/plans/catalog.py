@@ -20,7 +20,8 @@ BASE_URL = "http://localhost:8000/"
 ONE_TOKEN = "f"
 SPARSE_LIMIT, SPARSE_WINDOW = 5, 3 * 86_400
 HOT_LIMIT, HOT_WINDOW = 10, 6 * 3_600
-HOT_SPLIT = 2_000
+HOT_CHUNK = 100
+INGEST_FILES = 3
 SMALL_BLOOM = 4_000
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600
@@ -75,10 +76,10 @@ def click_constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run_ingest(spark: SparkSession, sf: str) -> str:
     bodies, out = scratch_path(spark, "bodies"), scratch_path(spark, "ingest")
-    queue.write_bodies(D.click_payloads(spark, sf), bodies)
+    queue.write_bodies(D.click_payloads(spark, sf).repartition(INGEST_FILES), bodies)
     links = D.links(spark, sf)
     query = ingest.start_ingest(
-        queue.stream_bodies(spark, bodies), lambda: links, out, f"{out}/checkpoint", available_now=True
+        queue.stream_bodies(spark, bodies, max_files=1), lambda: links, out, f"{out}/checkpoint", available_now=True
     )
     query.awaitTermination()
     return out
@@ -88,6 +89,13 @@ def ingest_clicks(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_ingested(spark, _run_ingest(spark, sf)).drop("batch_id")
 
 
+def clicks_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The ingested clicks after all but the last batch were gathered."""
+    out = _run_ingest(spark, sf)
+    ingest.compact(spark, out, INGEST_FILES - 2)
+    return ingest.read_ingested(spark, out).drop("batch_id")
+
+
 def ingest_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_dead_letters(spark, _run_ingest(spark, sf)).drop("batch_id")
 
@@ -163,6 +171,9 @@ def links_merge(spark: SparkSession, sf: str) -> DataFrame:
         F.col("requested_at").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("expires_at"),
     )
+    request = F.col("id")
+    bad = F.when(request % 17 == 0, F.lit(None).cast("string")).when(request % 19 == 0, F.lit("tokentoolong"))
+    incoming = incoming.withColumn("short_token", F.when((request % 17 == 0) | (request % 19 == 0), bad).otherwise(F.col("short_token")))
     return L.merge_links(links.filter(F.col("id") % 2 == 0), incoming)
 
 
@@ -185,10 +196,20 @@ def rate_limit_by_client(spark: SparkSession, sf: str) -> DataFrame:
 def rate_limit_hot_client(spark: SparkSession, sf: str) -> DataFrame:
     """A third of all requests from one client, which is split by time."""
     requests = D.limiter_requests(spark, sf, hot=True)
-    decided = limiter.rate_limit(requests, HOT_LIMIT, HOT_WINDOW, split_rows=HOT_SPLIT)
+    decided = limiter.rate_limit(requests, HOT_LIMIT, HOT_WINDOW, chunk_rows=HOT_CHUNK)
     return decided.select("request_id", "client_key", "allowed")
 
 
+def rate_limit_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests delivered twice and requests without a time, in chunks of few instants."""
+    requests = D.limiter_requests(spark, sf, hot=True)
+    event = F.col("request_id")
+    twice = requests.union(requests.filter(event % 7 == 0))
+    timeless = F.when(event % 11 != 0, F.col("requested_at"))
+    decided = limiter.rate_limit(twice.withColumn("requested_at", timeless), HOT_LIMIT, HOT_WINDOW, chunk_rows=HOT_CHUNK)
+    return decided.groupBy("request_id", "client_key", "allowed").agg(F.count("*").alias("requests"))
+
+
 def registration_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     done = registration.register(
         D.link_requests(spark, sf), BASE_URL, D.NAIVE_ZONE, limit=SPARSE_LIMIT, window_seconds=SPARSE_WINDOW
@@ -196,6 +217,19 @@ def registration_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("request_id", "client_key", "status", "id", "short_token", "short_url", "expires_at")
 
 
+def registration_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry after two batches in a row, the second with some unreadable expiries."""
+    requests, registry = D.link_requests(spark, sf), D.links(spark, sf)
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    late = requests.filter(F.col("requested_at") >= cut)
+    late = late.withColumn("expires_text", F.when(F.col("request_id") % 9 == 0, F.lit("soon")).otherwise(F.col("expires_text")))
+    for batch in (requests.filter(F.col("requested_at") < cut), late):
+        _, registry = registration.register_batch(
+            registry, batch, BASE_URL, D.NAIVE_ZONE, limit=SPARSE_LIMIT, window_seconds=SPARSE_WINDOW)
+        registry = materialize(registry, "registry")
+    return registry
+
+
 # -- metrics -----------------------------------------------------------------------------
 
 
@@ -265,14 +299,15 @@ def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
 def bloom_fpr(spark: SparkSession, sf: str) -> DataFrame:
     links = D.links(spark, sf)
     stored = materialize(bloom.build(links, SMALL_BLOOM), "bloom")
-    probed = bloom.probe(D.requests(spark, sf).select("short_token"), stored, SMALL_BLOOM)
+    probed = bloom.probe(D.requests(spark, sf).select("short_token"), stored)
     return bloom.false_positives(probed, links)
 
 
 def bloom_merge(spark: SparkSession, sf: str) -> DataFrame:
     links = D.links(spark, sf)
-    stored = bloom.build(links.filter(F.col("id") % 2 == 0))
-    return bloom.set_bits(bloom.merge(stored, bloom.build(links.filter(F.col("id") % 2 == 1))))
+    stored = materialize(bloom.build(links.filter(F.col("id") % 2 == 0)), "bloom")
+    added = materialize(bloom.build(links.filter(F.col("id") % 2 == 1)), "bloom")
+    return bloom.set_bits(bloom.merge(stored, added))
 
 
 def _links(fn: Callable[[DataFrame], DataFrame]) -> Query:
@@ -300,6 +335,7 @@ def queries() -> dict[str, Query]:
         "click_dead_letter": click_dead_letter,
         "ingest_clicks": ingest_clicks,
         "ingest_dead_letters": ingest_dead_letters,
+        "clicks_compacted": clicks_compacted,
         "partition_manifest": partition_manifest,
         "clicks_table": clicks_table,
         "links_table": links_table,
@@ -370,9 +406,11 @@ def queries() -> dict[str, Query]:
         "gauge_last": lambda spark, sf: M.gauge_last(D.metric_samples(spark, sf), "rabbitmq_queue_depth", GAUGE_SECONDS),
         "request_rate_by_route": request_rate_by_route,
         # limiter, registration, live rollup
+        "registration_merge": registration_merge,
         "rate_limit_decisions": rate_limit_decisions,
         "rate_limit_by_client": rate_limit_by_client,
         "rate_limit_hot_client": rate_limit_hot_client,
+        "rate_limit_repeats": rate_limit_repeats,
         "registration_outcomes": registration_outcomes,
         "rollup_daily": _clicks(lambda c: _text_days(R.rollup_daily(c))),
         "rollup_daily_stream": rollup_daily_stream,

@@ -132,7 +132,7 @@ def _limiter(source: str, limit: int, window_seconds: int) -> str:
     return f"""ordered AS (
   SELECT request_id, client_key, epoch_us(requested_at) AS us,
          row_number() OVER (PARTITION BY client_key ORDER BY requested_at, request_id) AS rn
-  FROM {source}),
+  FROM {source} WHERE requested_at IS NOT NULL),
 walk AS (
   SELECT request_id, client_key, rn, [us]::BIGINT[] AS log, true AS allowed FROM ordered WHERE rn = 1
   UNION ALL
@@ -273,6 +273,8 @@ def oracle_sql() -> dict[str, str]:
         "click_dead_letter": f"{ingested} SELECT event_id, body, reason FROM parsed WHERE reason IS NOT NULL",
         "ingest_clicks": f"""{ingested} SELECT short_token, clicked_at, ip_address, user_agent, country_code,
             year(clicked_at)::INTEGER AS year, month(clicked_at)::INTEGER AS month FROM checked WHERE reason IS NULL""",
+        "clicks_compacted": f"""{ingested} SELECT short_token, clicked_at, ip_address, user_agent, country_code,
+            year(clicked_at)::INTEGER AS year, month(clicked_at)::INTEGER AS month FROM checked WHERE reason IS NULL""",
         "ingest_dead_letters": f"""{ingested} SELECT body, reason FROM parsed WHERE reason IS NOT NULL
             UNION ALL SELECT body, reason FROM checked WHERE reason IS NOT NULL""",
         "partition_manifest": f"""WITH {CLICKS} SELECT 'click_analytics_y' || strftime(m, '%Y') || 'm' || strftime(m, '%m') AS partition_name,
@@ -343,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "links_merge": f"""WITH {LINKS}, {REQUESTS}, stored AS (SELECT * FROM links WHERE id % 2 = 0),
             fresh AS (SELECT request_id AS id, short_token, 'https://new.example/' || short_token AS long_url,
                              requested_at AS created_at, NULL::TIMESTAMP AS expires_at FROM requests
-                      WHERE short_token NOT IN (SELECT short_token FROM stored)
+                      WHERE request_id % 17 <> 0 AND request_id % 19 <> 0 AND short_token NOT IN (SELECT short_token FROM stored)
                       QUALIFY row_number() OVER (PARTITION BY short_token ORDER BY request_id) = 1)
             SELECT id, short_token, long_url, created_at, expires_at FROM stored UNION ALL
             SELECT id, short_token, long_url, created_at, expires_at FROM fresh""",
@@ -399,6 +401,13 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS throttled FROM walk GROUP BY 1""",
         "rate_limit_hot_client": f"""WITH RECURSIVE {HOT_EVENTS}, {_limiter('asked', Q.HOT_LIMIT, Q.HOT_WINDOW)}
             SELECT request_id, client_key, allowed FROM walk""",
+        "rate_limit_repeats": f"""WITH RECURSIVE {HOT_EVENTS}, twice AS (
+            SELECT request_id, client_key, CASE WHEN request_id % 11 <> 0 THEN requested_at END AS requested_at
+            FROM (SELECT * FROM asked UNION ALL SELECT * FROM asked WHERE request_id % 7 = 0)),
+            {_limiter('twice', Q.HOT_LIMIT, Q.HOT_WINDOW)}
+            SELECT request_id, client_key, allowed, count(*) AS requests FROM (
+              SELECT request_id, client_key, allowed FROM walk
+              UNION ALL SELECT request_id, client_key, NULL FROM twice WHERE requested_at IS NULL) GROUP BY 1, 2, 3""",
         "registration_outcomes": f"""WITH RECURSIVE {LINK_REQUESTS}, {_limiter('clean', Q.SPARSE_LIMIT, Q.SPARSE_WINDOW)},
             judged AS (SELECT c.*, CASE WHEN NOT allowed THEN 429
                 WHEN NOT (long_url LIKE 'http://%' OR long_url LIKE 'https://%') THEN 400 ELSE 200 END AS status
@@ -407,6 +416,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT j.request_id, client_key, status, id, CASE WHEN id IS NOT NULL THEN {_token('id')} END AS short_token,
                    CASE WHEN id IS NOT NULL THEN '{Q.BASE_URL}api/v1/redirect/' || {_token('id')} END AS short_url, expires_at
             FROM judged j LEFT JOIN ids i ON j.request_id = i.request_id""",
+        "registration_merge": f"""WITH RECURSIVE {LINKS}, {LINK_REQUESTS},
+            batched AS (SELECT * EXCLUDE (client_key), (requested_at >= timestamp '2024-01-15 00:00:00') AS late,
+                client_key || CASE WHEN requested_at >= timestamp '2024-01-15 00:00:00' THEN ':late' ELSE '' END AS client_key
+                FROM clean WHERE requested_at < timestamp '2024-01-15 00:00:00' OR request_id % 9 <> 0),
+            {_limiter('batched', Q.SPARSE_LIMIT, Q.SPARSE_WINDOW)},
+            made AS (SELECT c.*, (SELECT max(id) FROM links) + row_number() OVER (ORDER BY c.requested_at, c.request_id) AS id
+                FROM batched c JOIN walk w ON c.request_id = w.request_id
+                WHERE allowed AND (long_url LIKE 'http://%' OR long_url LIKE 'https://%'))
+            SELECT id, short_token, long_url, created_at, expires_at FROM links
+            UNION ALL SELECT id, {_token('id')}, long_url, requested_at, expires_at FROM made""",
         "rollup_daily": f"WITH {CLICKS} {rollup}",
         "rollup_daily_stream": f"WITH {CLICKS} {rollup}",
         "timeline_from_rollup": f"WITH {CLICKS}, {TIMELINE} SELECT * FROM timeline",

@@ -58,8 +58,6 @@ BLOOM_SALTS = ["salt_engine_alpha", "salt_engine_beta", "salt_engine_gamma"]
 RATE_LIMIT = 10
 RATE_WINDOW_SECONDS = 60
 REPORT_DAYS = 30
-INGEST_MAX_BATCH = 500
-INGEST_PREFETCH = 1000
 INGEST_INTERVAL = "2 seconds"
 REFRESH_INTERVAL = "5 seconds"
 

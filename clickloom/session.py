@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +34,26 @@ RUNTIME = {
 }
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_clickloom_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="clickloom-"), "clickloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(archive)
+    context._clickloom_shipped = True
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session, and send it the package."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -50,7 +67,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     settings.update(extra or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:

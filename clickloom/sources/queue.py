@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from clickloom.schemas import INGEST_INTERVAL, INGEST_MAX_BATCH, INGEST_PREFETCH
+from clickloom.schemas import INGEST_INTERVAL
 
 TOPIC = "link-clicks"
 
@@ -22,29 +22,38 @@ def stream_bodies(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.load(path).select(F.col("value").alias("body"))
 
 
-def stream_bodies_kafka(spark: SparkSession, servers: str, topic: str = TOPIC) -> DataFrame:
-    """Kafka form: a batch starts at 500 events or after 2 s, and takes at most 1000.
+def kafka_options(servers: str, topic: str = TOPIC, max_offsets: int | None = None, min_offsets: int | None = None,
+                  max_delay: str | None = None) -> dict[str, str]:
+    """Reader options. Without ``max_offsets`` a batch takes all that has arrived, so throughput has no bound of its own.
 
-    Bytes that are not UTF-8 give a NULL body, which the parser dead-letters.
+    With ``min_offsets`` a batch waits for so many events, at most ``max_delay``.
     """
-    raw = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("minOffsetsPerTrigger", INGEST_MAX_BATCH)
-        .option("maxTriggerDelay", "2s")
-        .option("maxOffsetsPerTrigger", INGEST_PREFETCH)
-        .load()
-    )
+    options = {
+        "kafka.bootstrap.servers": servers, "subscribe": topic, "maxOffsetsPerTrigger": max_offsets,
+        "minOffsetsPerTrigger": min_offsets, "maxTriggerDelay": max_delay,
+    }
+    return {key: str(value) for key, value in options.items() if value is not None}
+
+
+def stream_bodies_kafka(spark: SparkSession, servers: str, topic: str = TOPIC, max_offsets: int | None = None,
+                        min_offsets: int | None = None, max_delay: str | None = None) -> DataFrame:
+    """Kafka form. Bytes that are not UTF-8 give a NULL body, which the parser dead-letters."""
+    options = kafka_options(servers, topic, max_offsets, min_offsets, max_delay)
+    raw = spark.readStream.format("kafka").options(**options).load()
     return raw.select(F.try_validate_utf8(F.col("value").cast("string")).alias("body"))
 
 
 def write_bodies(bodies: DataFrame, path: str) -> None:
-    """Append bodies to a folder, one line each."""
-    bodies.select(F.col("body").alias("value")).write.mode("append").text(path)
+    """Append bodies to a folder, one line each.
+
+    Line breaks inside a body become blanks: in JSON they only stand between
+    values, as inside strings they must be escaped.
+    """
+    one_line = F.translate("body", "\r\n", "  ")
+    bodies.select(one_line.alias("value")).write.mode("append").text(path)
 
 
-def ingest_trigger(writer: DataStreamWriter, available_now: bool = False) -> DataStreamWriter:
+def ingest_trigger(writer: DataStreamWriter, available_now: bool = False, interval: str = INGEST_INTERVAL) -> DataStreamWriter:
     if available_now:
         return writer.trigger(availableNow=True)
-    return writer.trigger(processingTime=INGEST_INTERVAL)
+    return writer.trigger(processingTime=interval)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clickloom.functions import base62
 from clickloom.functions.hashing import country_of
 from clickloom.functions.timeutil import epoch_micros, instant
-from clickloom.operators.timeseries import scrape_counter, scrape_gauge
+from clickloom.operators.timeseries import running_total, tick_after
 
 START = "2024-01-01 00:00:00"
 COUNTER_RESET = "2024-01-15 00:00:00"
@@ -203,6 +203,29 @@ def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scrape_counter(events: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
+    """Counter samples: events seen per series up to each scrape instant.
+
+    Columns: keys, ``ts``, ``value``. Instants without new events are left out.
+    """
+    per_tick = (
+        events.groupBy(*keys, tick_after(F.col(ts), seconds).alias("ts"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    total = running_total(per_tick, keys, "ts", "_n", "_value")
+    return total.select(*keys, "ts", F.col("_value").cast("double").alias("value"))
+
+
+def _scrape_gauge(events: DataFrame, keys: list[str], ts: str, value: str, seconds: int,
+                 tiebreak: str) -> DataFrame:
+    """Gauge samples: last value set before each scrape instant."""
+    return (
+        events.groupBy(*keys, tick_after(F.col(ts), seconds).alias("_tick"))
+        .agg(F.max_by(value, F.struct(ts, tiebreak)).alias("value"))
+        .select(*keys, F.col("_tick").alias("ts"), F.col("value").cast("double").alias("value"))
+    )
+
+
 def metric_samples(spark: SparkSession, sf_dir: str, scrape_seconds: int = 5) -> DataFrame:
     """Scraped samples: a hit/miss counter that restarts once, and a queue gauge."""
     events = table(spark, sf_dir, "events").select(
@@ -212,7 +235,7 @@ def metric_samples(spark: SparkSession, sf_dir: str, scrape_seconds: int = 5) ->
         F.get_json_object("props", "$.k").cast("double").alias("depth"),
     )
     restarted = F.col("ts") >= instant(COUNTER_RESET)
-    counter = scrape_counter(
+    counter = _scrape_counter(
         events.withColumn("run", restarted.cast("int")), ["result", "run"], "ts", scrape_seconds
     ).select(
         F.lit("cache_requests_total").alias("metric"),
@@ -220,7 +243,7 @@ def metric_samples(spark: SparkSession, sf_dir: str, scrape_seconds: int = 5) ->
         "ts",
         "value",
     )
-    gauge = scrape_gauge(events, [], "ts", "depth", scrape_seconds, tiebreak="event_id").select(
+    gauge = _scrape_gauge(events, [], "ts", "depth", scrape_seconds, tiebreak="event_id").select(
         F.lit("rabbitmq_queue_depth").alias("metric"),
         F.create_map(F.lit("queue"), F.lit("link-clicks")).alias("labels"),
         "ts",

@@ -1,9 +1,13 @@
 """Continuous click ingest: bodies in, monthly click table and dead letters out.
 
-Each micro-batch runs the same ``prepare`` step as the batch job. Its output
-goes to folders named after the batch, so a batch that is run again after a
-failure replaces what it wrote. There is no watermark: a late click is loaded
-into its month.
+Each micro-batch runs the same ``prepare`` step as the batch job. All its output
+goes to folders of its own, which are replaced as a whole: a batch that is run
+again after a failure leaves nothing of its first attempt, even if links
+registered since have moved rows between the outputs. There is no watermark: a
+late click is loaded into its month.
+
+``compact`` gathers the batches so far in few files by month and token; readers
+take what is gathered and the batches after it.
 """
 
 from __future__ import annotations
@@ -22,13 +26,9 @@ from clickloom.sources.tables import with_month
 BATCH = T.StructField("batch_id", T.LongType(), True)
 
 
-def _replace(rows: DataFrame, path: str, folders: list[str]) -> None:
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*folders)
-        .parquet(path)
-    )
+def _replace(rows: DataFrame, path: str, batch_id: int, folders: list[str]) -> None:
+    """Write a batch's rows in the place of all that an earlier attempt wrote."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")
 
 
 def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, checkpoint: str,
@@ -39,14 +39,14 @@ def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, ch
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare(batch, links()).withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+        prepared = prepare(batch, links()).persist()
         try:
-            good = prepared.filter(F.col("reason").isNull()).select(*CLICKS.fieldNames(), "batch_id")
-            _replace(with_month(good), f"{out}/clicks", ["year", "month", "batch_id"])
-            dead = prepared.filter(F.col("reason").isNotNull()).select("body", "reason", "batch_id")
-            _replace(dead, f"{out}/dead_letters", ["batch_id"])
-            added = rollup_daily(good).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            _replace(added, f"{out}/rollup", ["batch_id"])
+            good = loadable(prepared).select(*CLICKS.fieldNames())
+            months = with_month(good).repartition("year", "month").sortWithinPartitions("year", "month", "short_token")
+            _replace(months, f"{out}/clicks", batch_id, ["year", "month"])
+            dead = prepared.filter(F.col("reason").isNotNull()).select("body", "reason")
+            _replace(dead, f"{out}/dead_letters", batch_id, [])
+            _replace(rollup_daily(good), f"{out}/rollup", batch_id, [])
         finally:
             prepared.unpersist()
 
@@ -54,10 +54,26 @@ def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, ch
     return ingest_trigger(writer, available_now).start()
 
 
+def _upto(spark: SparkSession, path: str, column: str) -> int:
+    """The largest number among the folders ``column=n`` below ``path``, or -1."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return -1
+    names = [f.getPath().getName() for f in files.listStatus(folder) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max((int(n.split("=")[1]) for n in names if n.startswith(f"{column}=")), default=-1)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What is gathered, and the batches after it."""
+    done = _upto(spark, f"{path}_gathered", "batch_id")
+    fresh = spark.read.schema(schema).parquet(path).filter(F.col("batch_id") > done)
+    return fresh if done < 0 else spark.read.schema(schema).parquet(f"{path}_gathered").unionByName(fresh)
+
+
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     months = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
-    schema = T.StructType([*CLICKS.fields, *months, BATCH])
-    return spark.read.schema(schema).parquet(f"{out}/clicks")
+    return _read(spark, f"{out}/clicks", T.StructType([*CLICKS.fields, *months, BATCH]))
 
 
 def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
@@ -65,19 +81,41 @@ def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/dead_letters")
 
 
+ROLLUP = T.StructType(
+    [
+        T.StructField("short_token", T.StringType()),
+        T.StructField("day", T.DateType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("clicks", T.LongType()),
+        BATCH,
+    ]
+)
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Current counts by link, day and country: the sum of what each batch added."""
-    schema = T.StructType(
-        [
-            T.StructField("short_token", T.StringType()),
-            T.StructField("day", T.DateType()),
-            T.StructField("country", T.StringType()),
-            T.StructField("clicks", T.LongType()),
-            BATCH,
-        ]
-    )
-    return (
-        spark.read.schema(schema).parquet(path)
-        .groupBy("short_token", "day", "country")
-        .agg(F.sum("clicks").alias("clicks"))
-    )
+    return _read(spark, path, ROLLUP).groupBy("short_token", "day", "country").agg(F.sum("clicks").alias("clicks"))
+
+
+def compact(spark: SparkSession, out: str, upto: int) -> None:
+    """Gather the finished batches up to ``upto`` that are not gathered yet.
+
+    Clicks go to files by month, sorted by token; rollup counts are summed. A
+    run writes one folder named after its last batch, so it can be repeated;
+    batches that may still be run again must not be included.
+    """
+    clicks = read_ingested(spark, out)
+    done = _upto(spark, f"{out}/clicks_gathered", "batch_id")
+    if done < upto:
+        fresh = clicks.filter((F.col("batch_id") > done) & (F.col("batch_id") <= upto)).drop("batch_id")
+        fresh = fresh.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "short_token", "clicked_at")
+        _replace(fresh, f"{out}/clicks_gathered", upto, ["year", "month"])
+    compact_rollup(spark, f"{out}/rollup", upto)
+
+
+def compact_rollup(spark: SparkSession, path: str, upto: int) -> None:
+    done = _upto(spark, f"{path}_gathered", "batch_id")
+    if done < upto:
+        fresh = _read(spark, path, ROLLUP).filter((F.col("batch_id") > done) & (F.col("batch_id") <= upto))
+        fresh = fresh.groupBy("short_token", "day", "country").agg(F.sum("clicks").alias("clicks"))
+        _replace(fresh, f"{path}_gathered", upto, [])

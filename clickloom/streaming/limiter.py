@@ -7,13 +7,11 @@ service does. A batch is bounded by the source's options.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,8 +19,6 @@ from clickloom.functions.timeutil import epoch_micros
 from clickloom.operators.limiter import UNKNOWN_CLIENT, _accept, decide
 from clickloom.schemas import RATE_LIMIT, RATE_WINDOW_SECONDS
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT,
                       window_seconds: float = RATE_WINDOW_SECONDS) -> DataFrame:

@@ -2,11 +2,12 @@
 
 A batch adds its own counts as one folder and a reader sums them, so no state
 grows with the number of links and days, and a repeated batch replaces itself.
+``ingest.compact_rollup`` sums the folders of finished batches into one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.reports import rollup_daily
@@ -17,11 +18,9 @@ def start_rollup(clicks: DataFrame, path: str, checkpoint: str, available_now: b
     def add(batch: DataFrame, batch_id: int) -> None:
         (
             rollup_daily(batch)
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
+            .option("partitionOverwriteMode", "static")
+            .parquet(f"{path}/batch_id={batch_id}")
         )
 
     writer = clicks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -23,7 +23,7 @@ def test_probe_equals_set(spark, monkeypatch, bits, broadcast):
     on = {o for m in members for o in offsets(m, bits)}
     want = {a for a in asked if all(o in on for o in offsets(a, bits))}
     filter_ = bloom.build(frame(spark, members), bits)
-    got = {r.short_token for r in bloom.probe(frame(spark, asked), filter_, bits).collect() if r.maybe}
+    got = {r.short_token for r in bloom.probe(frame(spark, asked), filter_).collect() if r.maybe}
     assert got == want and set(members) <= got
     assert bloom.set_bits(filter_).first().bits_set == len(on)
 
@@ -41,3 +41,21 @@ def test_first_and_last_bit(spark):
     on = {o for v in values for o in offsets(v, 3)}
     assert on == {0, 1, 2}
     assert bloom.set_bits(bloom.build(frame(spark, values), 3)).first().bits_set == 3
+
+
+def test_size_is_kept_with_the_filter(spark):
+    members = frame(spark, [f"m{i}" for i in range(50)])
+    small, large = bloom.build(members, 4_000), bloom.build(members)
+    assert (bloom.size_of(small), bloom.size_of(large)) == (4_000, 1_000_000)
+    assert bloom.probe(members, small).filter("maybe").count() == 50
+    with pytest.raises(ValueError, match="merged"):
+        bloom.merge(small, large)
+    with pytest.raises(ValueError, match="different"):
+        bloom.probe(members, small.union(large))
+    assert bloom.probe(members, small.limit(0)).filter("maybe").count() == 0
+
+
+def test_size_for_a_rate():
+    assert bloom.bits_for(1) == bloom.BUCKET_BITS
+    bits = bloom.bits_for(100_000, 0.01)
+    assert abs((1 - 2.718281828 ** (-3 * 100_000 / bits)) ** 3 - 0.01) < 0.0005

@@ -81,21 +81,31 @@ def test_equal_instants_share_a_record(spark):
     want = replay(requests, 2, 100)
     assert want == {0, 1, 2, 3, 9}
     assert run(spark, requests, 2, 100) == want
-    assert run(spark, requests, 2, 100, split_rows=2) == want
+    assert run(spark, requests, 2, 100, chunk_rows=1) == want
 
 
-@pytest.mark.parametrize("split_rows", [10**9, 400, 60])
-def test_tables(spark, split_rows):
+@pytest.mark.parametrize("chunk_rows", [10**9, 200, 30])
+def test_tables(spark, chunk_rows):
     """Mixed clients, one with a third of the rows, crossing Arrow batches and chunks."""
     rng = random.Random(7)
     requests = []
     for i in range(3000):
         client = "hot" if i % 3 == 0 else f"c{rng.randrange(12)}"
         requests.append((i, client, rng.randrange(4_000) * rng.choice([1, 25])))
-    assert run(spark, requests, 4, 700, split_rows=split_rows) == replay(requests, 4, 700)
+    assert run(spark, requests, 4, 700, chunk_rows=chunk_rows) == replay(requests, 4, 700)
 
 
 def test_null_client_and_zero_limit(spark):
     requests = [(0, None, 1), (1, None, 2), (2, "x", 3)]
     assert run(spark, requests, 1, 100) == {0, 2}
     assert run(spark, requests, 0, 100) == set()
+
+
+@pytest.mark.parametrize("chunk_rows", [10**9, 3])
+def test_repeated_ids_and_null_times(spark, chunk_rows):
+    """An id that occurs twice is two requests; one without time is undecided and kept."""
+    rows = [(i, "a", START + timedelta(microseconds=us)) for i, us in ((1, 1), (1, 1), (1, 1), (2, 2), (2, 40), (3, 41), (4, 41), (5, 300))]
+    rows += [(6, "a", None), (7, None, None)]
+    requests = spark.createDataFrame(rows, "request_id bigint, client_key string, requested_at timestamp_ntz")
+    out = sorted(((r.request_id, r.allowed) for r in M.rate_limit(requests, 2, 100 / 1e6, chunk_rows=chunk_rows).collect()), key=str)
+    assert out == sorted([(1, True)] * 3 + [(2, True), (2, False), (3, False), (4, False), (5, True), (6, None), (7, None)], key=str)

@@ -47,3 +47,22 @@ def test_registration_order_of_checks(spark):
     assert got == {0: (400, None, "k"), 1: (200, 1, "k"), 2: (429, None, "k"), 3: (429, None, "k"),
                    4: (200, 2, ""), 5: (200, 3, "9.9.9.9")}
     assert {(r.id, r.short_token) for r in registration.registered_links(out).collect()} == {(1, "b"), (2, "c"), (3, "d")}
+
+
+def test_bad_tokens_are_refused(spark):
+    schema = "id bigint, short_token string, long_url string, created_at timestamp_ntz, expires_at timestamp_ntz"
+    incoming = spark.createDataFrame([(1, None, "u", None, None), (2, "elevenchars", "u", None, None), (3, "ok", "u", None, None), (3, "ok", "u", None, None)], schema)
+    assert [r.id for r in L.merge_links(incoming.limit(0), incoming).collect()] == [3]
+    assert {(r.id, r.reason) for r in L.rejected_links(incoming).collect()} == {(1, "missing_token"), (2, "token_too_long")}
+
+
+def test_unreadable_expiry_is_refused(spark):
+    from clickloom.operators import registration as G
+
+    schema = "request_id bigint, api_key string, ip_address string, requested_at timestamp_ntz, long_url string, expires_text string"
+    at = datetime(2024, 1, 1)
+    texts = ["soon", "2024-02-01T06:30+02", None, "2024-02-01T06:30:00Z", ""]
+    rows = [(i, "k", None, at, "http://a", text) for i, text in enumerate(texts)]
+    out = {r.request_id: r for r in G.register(spark.createDataFrame(rows, schema), "http://b/", "UTC", limit=5).collect()}
+    assert [out[i].status for i in range(5)] == [422, 422, 200, 200, 422]
+    assert out[2].expires_at is None and out[3].expires_at == datetime(2024, 2, 1, 6, 30)

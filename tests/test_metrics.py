@@ -82,3 +82,16 @@ def test_chunked_steps_equal_whole_series(spark):
             assert (r.total, r.prior) == (running, prior)
             prior = r.v
     assert len(out) == 800
+
+
+def test_null_labels_and_equal_instants(spark):
+    """A series without labels is a series; samples of one instant follow by value."""
+    schema = "metric string, labels map<string,string>, ts timestamp_ntz, value double"
+    from datetime import datetime, timedelta
+
+    at = [datetime(2024, 1, 1) + timedelta(seconds=s) for s in (0, 5, 5, 10)]
+    rows = [("m", labels, t, v) for labels in (None, {"a": "b"}) for t, v in zip(at, (1.0, 4.0, 3.0, 9.0))]
+    for order in (rows, rows[::-1]):
+        found = M.counter_rate(spark.createDataFrame(order, schema), "m", 60, 60).collect()
+        assert {r["series"] for r in found} == {None, '{"a":"b"}'}
+        assert {round(sum(r["rate"] * 60 for r in found if r["series"] == s)) for s in (None, '{"a":"b"}')} == {8}

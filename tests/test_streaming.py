@@ -49,6 +49,37 @@ def test_repeated_batch_replaces_itself(spark):
     assert ingest.read_ingested(spark, out).count() == C.loadable(C.prepare(payloads, links)).count()
 
 
+def test_replay_with_other_links_leaves_each_body_once(spark):
+    links, payloads = D.links(spark, SF), D.click_payloads(spark, SF)
+    bodies, out = scratch_path(spark, "bodies"), scratch_path(spark, "out")
+    queue.write_bodies(payloads, bodies)
+    for attempt, known in (("first", links.limit(0)), ("second", links)):
+        stream = queue.stream_bodies(spark, bodies)
+        ingest.start_ingest(stream, lambda known=known: known, out, f"{out}/{attempt}", available_now=True).awaitTermination()
+    loaded, dead = ingest.read_ingested(spark, out).count(), ingest.read_dead_letters(spark, out).count()
+    assert loaded == C.loadable(C.prepare(payloads, links)).count()
+    assert loaded + dead == payloads.count()
+
+
+def test_compaction_changes_no_row(spark):
+    links, payloads = D.links(spark, SF), D.click_payloads(spark, SF)
+    bodies, out = scratch_path(spark, "bodies"), scratch_path(spark, "out")
+    queue.write_bodies(payloads.repartition(4), bodies)
+    stream = queue.stream_bodies(spark, bodies, max_files=1)
+    ingest.start_ingest(stream, lambda: links, out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    rows, counts = ingest.read_ingested(spark, out).drop("batch_id"), ingest.read_rollup(spark, f"{out}/rollup")
+    before = canon(rows), canon(counts)
+    for upto in (1, 1, 2):
+        ingest.compact(spark, out, upto)
+        assert (canon(ingest.read_ingested(spark, out).drop("batch_id")), canon(ingest.read_rollup(spark, f"{out}/rollup"))) == before
+    assert ingest.read_ingested(spark, out).select("batch_id").distinct().count() == 3
+
+
+def test_kafka_options_have_no_bound_by_default():
+    assert queue.kafka_options("host:1") == {"kafka.bootstrap.servers": "host:1", "subscribe": queue.TOPIC}
+    assert queue.kafka_options("host:1", max_offsets=5)["maxOffsetsPerTrigger"] == "5"
+
+
 def test_stream_limiter_keeps_its_log(spark):
     rng = random.Random(11)
     start = datetime(2024, 1, 1)
