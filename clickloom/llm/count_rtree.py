@@ -31,8 +31,8 @@ class CountTree:
             high, least, most = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
             self.levels.append((high, least, most))
 
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """The points whose set may have a Jaccard similarity of num/den with the given set.
+    def search(self, point: np.ndarray, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points whose set may have a Jaccard similarity of num/den with the given set, and their bounds.
 
         Two sets share at most the sum of the smaller of their counts in each
         group; a box allows as much as its largest counts.
@@ -46,4 +46,5 @@ class CountTree:
             nodes = (nodes[keep][:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
         nodes = nodes[nodes < len(self.sizes)]
         bound = np.minimum(self.points[nodes], point).sum(axis=1)
-        return self.order[nodes[(num + den) * bound >= num * (self.sizes[nodes] + size)]]
+        enough = (num + den) * bound >= num * (self.sizes[nodes] + size)
+        return self.order[nodes[enough]], bound[enough]

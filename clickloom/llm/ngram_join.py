@@ -11,7 +11,9 @@ Every member of a bucket is compared with the bucket's first. Buckets whose
 members are not all connected by then get an R-tree over coarse count vectors,
 in which each member looks for partners of other components. A pair counts as
 candidate only while the sum of the smaller counts allows enough overlap, and
-as link when the sets themselves, built from the whole texts, say so.
+as link when the sets themselves, built from the whole texts, say so. The
+likeliest candidates are looked at first; rounds go on until none is left
+between sets that are not connected.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from clickloom.session import materialize
 WORDS, NUM, DEN = 5, 4, 5
 #: Coordinates of the count vectors under the trees: a power of two about as large as the set, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
+#: Candidates of a set in another component that are looked at in the first of several rounds; each later round takes
+#: eight times as many, until none is left, as a set needs one link only to be connected.
+FIRST_TRIES = 4
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
 
@@ -92,7 +97,7 @@ def listed_groups(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         total[some] = np.add.reduceat(content[by], at[some])
         sign = mix(total + mix(np.arange(groups, dtype=U64) * U64(1 << 8) + U64(scheme)) + full.astype(U64))
         out.append(sign[np.lexsort((sign, -full))[:listed]])
-    return np.concatenate(out)
+    return mix(np.concatenate(out))  # of equal counts small hashes were listed; scrambled once more they spread evenly
 
 
 def _sets(words: int):
@@ -201,26 +206,36 @@ def _vectors(words: int):
     return read
 
 
-def _tree_search(num: int, den: int):
+def _tree_search(num: int, den: int, most: int):
     def search(table: pa.Table) -> pa.Table:
-        """Pairs of each block's members and its askers, of different components, that the bound leaves."""
+        """For each block's askers the likeliest members of every other component, by the bound, ``most`` a component.
+
+        ``more`` says that an asker has further candidates in such a component.
+        """
         table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
         block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
         edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
         role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
         point = table["point"].to_pylist()
-        pairs = set()
+        pairs: dict[tuple[int, int], bool] = {}
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
             ask = lo + int(np.searchsorted(role[lo:hi], 1))
             if lo < ask < hi:
                 points = _points(point[lo:hi])
                 tree = CountTree(points[: ask - lo], sizes[lo:ask])
                 for k in range(ask, hi):
-                    hit = lo + tree.search(points[k - lo], int(sizes[k]), num, den)
-                    for other in names[hit[comps[hit] != comps[k]]].tolist():
-                        pairs.add((min(other, int(names[k])), max(other, int(names[k]))))
-        a, b = zip(*sorted(pairs)) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
+                    hit, bound = hit[comps[lo + hit] != comps[k]] + lo, bound[comps[lo + hit] != comps[k]]
+                    order = np.lexsort((names[hit], -bound, comps[hit]))
+                    hit = hit[order]
+                    head = np.flatnonzero(np.append(True, comps[hit][1:] != comps[hit][:-1])[: len(hit)])
+                    place = np.arange(len(hit)) - np.repeat(head, np.diff(np.append(head, len(hit))))
+                    more = bool((place >= most).any())
+                    for other in names[hit[place < most]].tolist():
+                        key = (min(other, int(names[k])), max(other, int(names[k])))
+                        pairs[key] = pairs.get(key, False) or more
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(list(pairs.values()), pa.bool_())})
 
     return search
 
@@ -259,8 +274,8 @@ class _Join:
     def labels(self, links: DataFrame) -> DataFrame:
         return materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
-    def rest(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of sets that share a bucket, are not connected yet and pass the bound."""
+    def rest(self, buckets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+        """Pairs of sets that share a bucket, are not connected yet and pass the bound, ``most`` for each set and component."""
         known = labels.select(F.col("node").alias("set_id"), "component")
         member = buckets.select("bucket", F.col("member").alias("set_id")).union(
             buckets.select("bucket", F.col("first").alias("set_id")).distinct())
@@ -282,20 +297,26 @@ class _Join:
         columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"]
         both = inside.join(asked, ["bucket", "i", "j"], "left_semi").select(columns).union(asking.select(columns))
         both = both.withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * self.parts)))
-        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den), "a bigint, b bigint")
-        return materialize(found.distinct(), "rest")
+        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den, most), "a bigint, b bigint, more boolean")
+        return materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest")
 
     def run(self) -> DataFrame:
         dealt = X.chunked(self.docs, self.chunks)
         asked = dealt.groupBy("chunk").applyInArrow(_buckets(self.words, self.num, self.den, self.parts), "part int, keys binary, sets binary")
         stars = materialize(asked.groupBy("part").applyInArrow(_stars, "bucket bigint, first bigint, member bigint"), "stars")
-        first = materialize(self.links(stars.select(F.col("first").alias("a"), F.col("member").alias("b")).distinct()), "links")
-        labels = self.labels(first)
-        left = self.rest(stars.filter("bucket <> 0").distinct(), labels)
-        second = materialize(self.links(left), "links")
-        links = first.union(second).distinct()
+        tried = materialize(stars.select(F.least("first", "member").alias("a"), F.greatest("first", "member").alias("b")).distinct(), "pairs")
+        links = materialize(self.links(tried), "links")
         labels = self.labels(links)
-        return self.describe(links, labels)
+        buckets, most = stars.filter("bucket <> 0").distinct(), FIRST_TRIES
+        while True:
+            found = self.rest(buckets, labels, most)
+            fresh = materialize(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+            if not fresh.isEmpty():
+                links = materialize(links.union(self.links(fresh)), "links")
+                labels = self.labels(links)
+            if found.filter("more").isEmpty():  # all that was left has been looked at
+                return self.describe(links, labels)
+            tried, most = tried.union(fresh), 8 * most
 
     def describe(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         """Per document its component's smallest id and how many links between different sets were needed to find it."""
