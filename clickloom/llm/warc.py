@@ -10,12 +10,15 @@ header's digest, and joins by digest put the original records together.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickloom.session import materialize
+
 #: About how many bytes of records a file gets; a file is read by one task.
 FILE_BYTES = 8 << 20
 #: Payloads of fewer bytes are stored with each record.
@@ -26,63 +29,83 @@ DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
 
 
+def _own(pages: DataFrame) -> DataFrame:
+    own = pages.filter("page_id is not null").select(
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    return own.withColumn("digest", F.sha2("payload", 256))
+
+
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, payload, size, digest, first): ``first`` is the smallest page with the same payload, if not the page itself.
+    """(page_id, url, digest, size, first): ``first`` is the smallest page with the same payload, if not the page itself.
 
     Payloads are equal if their SHA-256 and sizes are. Only ids and digests meet
     in groups, pre-aggregated; a payload that many pages have is joined back by
     its digest, where adaptive execution may split it.
     """
-    own = pages.filter("page_id is not null").select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    own = own.select("page_id", "url", "payload", F.octet_length("payload").cast("bigint").alias("size"), F.sha2("payload", 256).alias("digest"))
-    firsts = own.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    known = own.select("page_id", "url", "digest", "size").dropDuplicates().join(firsts, ["digest", "size"], "left")
-    known = known.withColumn("first", F.when(F.col("first") != F.col("page_id"), F.col("first")))
-    stored = own.select("page_id", "url", "digest", "payload")
-    later = known.filter("first is not null").withColumn("payload", F.lit(None).cast("binary"))
-    kept = known.filter("first is null").join(stored.dropDuplicates(["page_id", "url", "digest"]), ["page_id", "url", "digest"])
-    columns = ["page_id", "url", "digest", "size", "first", "payload"]
-    return kept.select(columns).union(later.select(columns))
+    known = _own(pages).select("page_id", "url", "digest", F.octet_length("payload").cast("bigint").alias("size"))
+    known = materialize(known, "digests").distinct()
+    firsts = known.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
+    known = known.join(firsts, ["digest", "size"], "left")
+    return known.select("page_id", "url", "digest", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
+
+
+def _head(page: int, url: str, digest: str, size: int, first: int | None, body: bytes) -> bytes:
+    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {uri}",
+        f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(body)}",
+    ]
+    if first is None:
+        head.append("WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode())
+    else:
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Payload-Length: {size}"]
+    return (END.join(head) + END + END).encode()
 
 
 def _serialise(batches):
-    """One value per record: its header, and the payload of a response."""
+    """One value per record: its header, and the payload of a response.
+
+    Rows come sorted: each record, then the rows with its payload, of which the first is taken.
+    """
+    open_ = None
     for batch in batches:
         out = []
         for page, url, digest, size, first, payload in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "digest", "size", "first", "payload"))):
-            body = b"" if payload is None else payload
-            uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-            head = [
-                "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {uri}",
-                f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(body)}",
-            ]
-            if first is None:
-                head.append("WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode())
-            else:
-                head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Payload-Length: {size}"]
-            out.append((END.join(head) + END + END).encode() + body)
+            if size is not None:  # a record
+                open_ = (page, url, digest, size, first)
+                if first is not None:
+                    out.append(_head(*open_, b""))
+                    open_ = None
+            elif open_ and open_[:3] == (page, url, digest):
+                out.append(_head(*open_, payload) + payload)
+                open_ = None
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-def write(found: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write records as WARC files of about ``file_bytes`` below ``path``; each record ends in two empty lines."""
-    total = found.select(F.sum(F.coalesce(F.octet_length("payload"), F.lit(0)) + 512).alias("n")).first()["n"] or 0
+def write(pages: DataFrame, found: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the records found of ``pages`` as WARC files of about ``file_bytes`` below ``path``; each ends in two empty lines.
+
+    Records and payloads are dealt by page and sorted, so that a task reads a
+    record and its payload one behind the other and holds neither for long.
+    """
+    total = found.select(F.sum(F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + 512).alias("n")).first()["n"] or 0
     files = max(1, -(-total // file_bytes))
-    dealt = found.repartition(files, F.xxhash64("page_id", "digest"))
+    rows = found.withColumn("payload", F.lit(None).cast("binary")).select("page_id", "url", "digest", "size", "first", "payload")
+    payloads = _own(pages).select("page_id", "url", "digest", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("first"), "payload")
+    dealt = rows.union(payloads).repartition(files, "page_id")
+    dealt = dealt.sortWithinPartitions("page_id", "url", "digest", F.col("size").desc_nulls_last())
     values = dealt.mapInArrow(_serialise, "value binary").select(F.col("value").cast("string"))
-    values.write.mode("errorifexists").option("lineSep", END + END).option("compression", "gzip").text(path)
+    writer = values.write.mode("errorifexists").option("lineSep", END + END).option("compression", "gzip")
+    writer.option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 _HEADER = re.compile(rb"^([^:\r\n]+): ?([^\r\n]*)\r$", re.M)
 
 
-def _parse(batches):
-    import zlib
-
+def _parse(batches, payloads: bool = True):
     for batch in batches:
         for content in batch["content"]:
-            data = zlib.decompress(content.as_py(), 31) if len(content.as_py()) else b""
+            data = gzip.decompress(content.as_py())
             rows = {name: [] for name in _PARSED.names}
             at = 0
             while at < len(data):
@@ -104,11 +127,11 @@ def _parse(batches):
                 rows["record_type"].append(fields["WARC-Type"])
                 rows["refers_to"].append(None if response else int(fields["WARC-Refers-To"][10:-1]))
                 rows["digest"].append(fields["WARC-Payload-Digest"][7:])
-                rows["header"].append(head)
-                rows["payload"].append(body if response else None)
+                rows["header"].append(head if payloads else None)
+                rows["payload"].append(body if response and payloads else None)
                 rows["payload_bytes"].append(size if response else None)
                 rows["sha1"].append(sha1 if response else None)
-                if sum(map(len, rows["header"])) + sum(len(x or b"") for x in rows["payload"][-1:]) > FILE_BYTES:
+                if len(rows["page_id"]) == 256:
                     yield pa.RecordBatch.from_pydict(rows, _PARSED)
                     rows = {name: [] for name in _PARSED.names}
             yield pa.RecordBatch.from_pydict(rows, _PARSED)
@@ -119,11 +142,14 @@ _PARSED = pa.schema([
     ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("sha1", pa.string())])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files: headers as they are, the payloads of responses, and their verified digests."""
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of WARC files, their payloads verified; without ``payloads``, all but these and the headers."""
+    def parse(batches):
+        return _parse(batches, payloads)
+
     files = spark.read.format("binaryFile").load(path + "/part-*").select("content")
     return files.mapInArrow(
-        _parse, "page_id bigint, record_type string, refers_to bigint, digest string, header binary, payload binary, payload_bytes bigint, sha1 string")
+        parse, "page_id bigint, record_type string, refers_to bigint, digest string, header binary, payload binary, payload_bytes bigint, sha1 string")
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -159,5 +185,5 @@ def archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> Data
     equal in id, url and payload are one record. An empty table gives none.
     Blanks and control characters of a url are percent-encoded in its header.
     """
-    write(records(pages, least_bytes), path)
-    return described(read(pages.sparkSession, path))
+    write(pages, materialize(records(pages, least_bytes), "records"), path)
+    return described(materialize(read(pages.sparkSession, path, payloads=False).drop("header", "payload"), "archived"))
