@@ -28,9 +28,14 @@ def hex_mod(digest: Column, n_chars: int, modulus: int) -> Column:
     return rest
 
 
+def is_local(ip: Column) -> Column:
+    """Whether an address is absent or local."""
+    return ip.isNull() | (ip == "") | ip.isin(*LOCAL_ADDRESSES)
+
+
 def country_of(ip: Column) -> Column:
     """Country code of an address; absent and local addresses are ``LCL``."""
-    local = ip.isNull() | (ip == "") | ip.isin(*LOCAL_ADDRESSES)
+    local = is_local(ip)
     slot = hex_mod(F.md5(ip.cast("binary")), 32, len(COUNTRIES)).cast("int")
     names = F.array(*[F.lit(name) for name in COUNTRIES])
     return F.when(local, F.lit(LOCAL_COUNTRY)).otherwise(F.get(names, slot))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions import clickjson as J
-from clickloom.functions.hashing import country_of
+from clickloom.functions.hashing import country_of, is_local
 from clickloom.functions.timeutil import from_epoch_micros
-from clickloom.schemas import CLICKS, EPOCH_MILLIS_ABOVE, MAX_COUNTRY_CHARS, MAX_IP_CHARS, MAX_TOKEN_CHARS
+from clickloom.schemas import CLICKS, EPOCH_MILLIS_ABOVE, LOCAL_COUNTRY, MAX_COUNTRY_CHARS, MAX_IP_CHARS, MAX_TOKEN_CHARS
 from clickloom.sources.tables import with_month
 
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 KEYS = ["short_token", "timestamp", "ip_address", "user_agent"]
 FIRST_SECOND, END_SECOND = -62_135_596_800, 253_402_300_800
 
@@ -26,8 +27,11 @@ def epoch_to_instant(epoch: Column) -> Column:
 def parse_bodies(bodies: DataFrame) -> DataFrame:
     """Add the four event fields and ``reason``, NULL for a usable body.
 
-    An absent key is an error; an explicit null is a value.
+    An absent key is an error; an explicit null is a value. A repeated key keeps
+    its last value, for which the session must allow repeated keys.
     """
+    if bodies.sparkSession.conf.get(REPEATED_KEYS) != "true":
+        raise ValueError(f"set {REPEATED_KEYS} to true (session.tune does)")
     kinds = {key: f"_type_{key}" for key in KEYS}
     typed = bodies.withColumn("_v", J.parse_body(F.col("body"))).withColumns(
         {name: J.type_at(F.col("_v"), key) for key, name in kinds.items()}
@@ -92,14 +96,11 @@ def enrich_country_from(clicks: DataFrame, addresses: DataFrame) -> DataFrame:
     Local addresses keep their tag; unknown ones become NULL. The address table
     is broadcast only if Spark measures it small.
     """
-    tagged = enrich_country(clicks.drop("country_code")).withColumn(
-        "_local", F.when(F.col("country_code") == "LCL", F.col("country_code"))
-    )
     known = addresses.select("ip_address", F.col("country_code").alias("_known"))
     return (
-        tagged.join(known, "ip_address", "left")
-        .withColumn("country_code", F.coalesce("_local", "_known"))
-        .drop("_local", "_known")
+        clicks.drop("country_code").join(known, "ip_address", "left")
+        .withColumn("country_code", F.when(is_local(F.col("ip_address")), F.lit(LOCAL_COUNTRY)).otherwise(F.col("_known")))
+        .drop("_known")
     )
 
 

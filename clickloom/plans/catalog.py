@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -101,7 +102,7 @@ def ingest_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def partition_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    manifest = C.partition_manifest(D.clicks(spark, sf))
+    manifest = C.partition_manifest(D.clicks_over_months(spark, sf))
     return manifest.withColumns(
         {c: F.date_format(c, "yyyy-MM-dd") for c in ("lower_bound", "upper_bound")}
     )
@@ -109,10 +110,29 @@ def partition_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def clicks_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "clicks")
-    tables.write_clicks(D.clicks(spark, sf), path)
+    tables.write_clicks(D.clicks_over_months(spark, sf), path)
     return tables.read_clicks(spark, path)
 
 
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Links and clicks as written tables."""
+    links, clicks = scratch_path(spark, "links"), scratch_path(spark, "clicks")
+    tables.write_links(D.links(spark, sf), links)
+    tables.write_clicks(D.clicks(spark, sf), clicks)
+    return tables.read_links(spark, links), tables.read_clicks(spark, clicks)
+
+
+def link_report_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """One link's document from the written tables; the token reaches both scans."""
+    return R.flatten_report(R.link_report_one(*_stored(spark, sf), ONE_TOKEN, AS_OF, DAYS))
+
+
+def timeline_stored_7d(spark: SparkSession, sf: str) -> DataFrame:
+    """The last days from the written clicks; older months' folders are not opened."""
+    recent = _stored(spark, sf)[1].filter(tables.months_since(datetime.fromisoformat(AS_OF) - timedelta(days=DAYS)))
+    return _text_days(R.timeline(recent, AS_OF, DAYS)).orderBy("day")
+
+
 def links_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "links")
     tables.write_links(D.links(spark, sf), path)
@@ -339,6 +359,8 @@ def queries() -> dict[str, Query]:
         "partition_manifest": partition_manifest,
         "clicks_table": clicks_table,
         "links_table": links_table,
+        "link_report_stored": link_report_stored,
+        "timeline_stored_7d": timeline_stored_7d,
         "metric_samples": metric_samples,
         "emit_clicks": emit_clicks,
         # derivations

@@ -6,9 +6,13 @@ Each text starts from the given tables and shares no code with the Spark jobs.
 from __future__ import annotations
 
 from clickloom.plans import catalog as Q
-from clickloom.schemas import (
-    BASE62_ALPHABET, BLOOM_BITS, BLOOM_SALTS, COUNTRIES, LOCAL_ADDRESSES,
-)
+
+# Fixed values, written out here as well: the SQL is to find a wrong one in the jobs.
+BASE62_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+BLOOM_BITS = 1_000_000
+BLOOM_SALTS = ["salt_engine_alpha", "salt_engine_beta", "salt_engine_gamma"]
+COUNTRIES = ["US", "GB", "DE", "CA", "IN", "FR", "JP", "AU", "SG", "BR", "ZA", "NL", "AE", "KR"]
+LOCAL_ADDRESSES = ["127.0.0.1", "localhost", "::1", "0.0.0.0"]
 
 AS_OF = f"timestamp '{Q.AS_OF}'"
 
@@ -36,6 +40,9 @@ def _country(ip: str) -> str:
 
 IP = """(CASE WHEN user_id % 10 = 0 THEN '127.0.0.1' WHEN user_id % 11 = 0 THEN NULL
     ELSE '203.' || (user_id // 256) || '.' || (user_id % 256) || '.7' END)"""
+# Visitors of a user's link come from many addresses.
+VISITOR = """(CASE WHEN user_id % 10 = 0 AND event_id % 3 <> 1 THEN '127.0.0.1' WHEN user_id % 11 = 0 AND event_id % 5 = 0 THEN NULL
+    ELSE '203.' || (user_id // 256) || '.' || (user_id % 256) || '.' || (event_id % 23) END)"""
 
 LINKS = f"""links AS (
   SELECT page_id + 1 AS id, {_token('page_id + 1')} AS short_token, url AS long_url,
@@ -46,7 +53,7 @@ LINKS = f"""links AS (
 REQUESTS = f"""requests AS (
   SELECT event_id AS request_id,
          {_token('CASE WHEN event_id % 10 = 0 THEN event_id + 1000000 ELSE user_id + 1 END')} AS short_token,
-         ts AS requested_at, {IP} AS ip_address,
+         ts AS requested_at, {VISITOR} AS ip_address,
          CASE WHEN event_id % 13 <> 0 THEN event_type END AS user_agent
   FROM events)"""
 
@@ -55,13 +62,13 @@ RESOLVED = f"""{LINKS}, {REQUESTS}, resolved AS (
          CASE WHEN l.short_token IS NOT NULL AND NOT coalesce(l.expires_at < r.requested_at, false) THEN l.long_url END AS long_url
   FROM requests r LEFT JOIN links l ON r.short_token = l.short_token)"""
 
-CLICKS = f"""addressed AS (SELECT *, {IP} AS ip FROM events),
+CLICKS = f"""addressed AS (SELECT *, {VISITOR} AS ip FROM events),
 clicks AS (
   SELECT event_id + 1 AS id, {_token('user_id + 1')} AS short_token, ts AS clicked_at, ip AS ip_address,
          event_type AS user_agent, {_country('ip')} AS country_code
   FROM addressed)"""
 
-PAYLOADS = f"""stamped AS (SELECT *, epoch_us(ts) AS us, {IP} AS ip, event_id % 50 AS kind FROM events),
+PAYLOADS = f"""stamped AS (SELECT *, epoch_us(ts) AS us, {VISITOR} AS ip, event_id % 50 AS kind FROM events),
 fields AS (
   SELECT event_id, event_type, kind,
     CASE WHEN event_id % 3 = 0 THEN (us // 1000)::VARCHAR
@@ -150,6 +157,9 @@ HOT_EVENTS = """asked AS (
   SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE user_id::VARCHAR END AS client_key,
          CASE WHEN event_id % 6 = 0 THEN date_trunc('hour', ts) ELSE ts END AS requested_at FROM events)"""
 
+# Months before and after a turn of the year.
+SPREAD = "clicked_at - to_days(((id % 4) * 25)::INTEGER)"
+
 RECENT = f"clicked_at >= {AS_OF} - INTERVAL '{Q.DAYS}' DAY"
 DAY = "strftime(clicked_at, '%Y-%m-%d')"
 
@@ -279,9 +289,12 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT body, reason FROM checked WHERE reason IS NOT NULL""",
         "partition_manifest": f"""WITH {CLICKS} SELECT 'click_analytics_y' || strftime(m, '%Y') || 'm' || strftime(m, '%m') AS partition_name,
             strftime(m, '%Y-%m-%d') AS lower_bound, strftime(m + INTERVAL '1' MONTH, '%Y-%m-%d') AS upper_bound, clicks
-            FROM (SELECT date_trunc('month', clicked_at) AS m, count(*) AS clicks FROM clicks GROUP BY 1)""",
-        "clicks_table": f"""WITH {CLICKS} SELECT short_token, clicked_at, ip_address, user_agent, country_code,
-            year(clicked_at)::INTEGER AS year, month(clicked_at)::INTEGER AS month FROM clicks""",
+            FROM (SELECT date_trunc('month', {SPREAD}) AS m, count(*) AS clicks FROM clicks GROUP BY 1)""",
+        "clicks_table": f"""WITH {CLICKS}, spread AS (SELECT * REPLACE ({SPREAD} AS clicked_at) FROM clicks)
+            SELECT short_token, clicked_at, ip_address, user_agent, country_code,
+            year(clicked_at)::INTEGER AS year, month(clicked_at)::INTEGER AS month FROM spread""",
+        "link_report_stored": f"WITH {NESTED} SELECT * FROM nested WHERE short_token = '{Q.ONE_TOKEN}'",
+        "timeline_stored_7d": f"WITH {CLICKS}, {TIMELINE} SELECT * FROM timeline ORDER BY day",
         "links_table": f"WITH {LINKS} SELECT * FROM links",
         "metric_samples": f"""WITH {SAMPLES} SELECT metric, series, ts, value FROM counter
             UNION ALL SELECT metric, series, ts, value FROM gauge""",

@@ -42,9 +42,14 @@ def with_month(clicks: DataFrame) -> DataFrame:
 
 
 def write_clicks(clicks: DataFrame, path: str, mode: str = "append") -> None:
-    """Append into ``year=/month=`` folders; a task holds one open file at a time."""
+    """Append into ``year=/month=`` folders, sorted by token within files.
+
+    Rows are rebalanced by month first, so that a month gets few files of a
+    sensible size, and a large month several.
+    """
     (
         with_month(clicks.select(*CLICKS.fieldNames()))
+        .hint("rebalance", "year", "month")
         .sortWithinPartitions("year", "month", "short_token", "clicked_at")
         .write.mode(mode)
         .partitionBy(*PARTITIONS)

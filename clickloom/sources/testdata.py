@@ -59,6 +59,16 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _visitor(user: Column, event: Column) -> Column:
+    """Visitors of a user's link come from many addresses."""
+    part = lambda n: n.cast("string")
+    return (
+        F.when((user % 10 == 0) & (event % 3 != 1), F.lit("127.0.0.1"))
+        .when((user % 11 == 0) & (event % 5 == 0), F.lit(None).cast("string"))
+        .otherwise(F.concat_ws(".", F.lit("203"), part(F.call_function("div", user, F.lit(256))), part(user % 256), part(event % 23)))
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     event, user = F.col("event_id"), F.col("user_id")
     target = F.when(event % 10 == 0, event + 1_000_000).otherwise(user + 1)
@@ -66,14 +76,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         event.alias("request_id"),
         base62.encode(target).alias("short_token"),
         F.col("ts").alias("requested_at"),
-        _ip(user).alias("ip_address"),
+        _visitor(user, event).alias("ip_address"),
         F.when(event % 13 != 0, F.col("event_type")).alias("user_agent"),
     )
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
-    ip = _ip(user)
+    ip = _visitor(user, F.col("event_id"))
     return table(spark, sf_dir, "events").select(
         (F.col("event_id") + 1).alias("id"),
         base62.encode(user + 1).alias("short_token"),
@@ -84,6 +94,12 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clicks_over_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clicks, three of four moved back by weeks, over a turn of the year."""
+    moved = F.timestamp_add("DAY", -(F.col("id") % 4) * 25, F.col("clicked_at"))
+    return clicks(spark, sf_dir).withColumn("clicked_at", moved)
+
+
 def click_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies, some of them broken in a known way by ``event_id % 50``."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("kind")
@@ -114,7 +130,7 @@ def click_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 4, F.lit("null")).when(kind == 5, F.lit('"overlongtoken"')).otherwise(F.col("token")).alias("token"),
         epoch.alias("epoch"),
         F.when(kind == 3, F.lit("2130706433"))
-        .otherwise(F.coalesce(quoted(_ip(user)), F.lit("null")))
+        .otherwise(F.coalesce(quoted(_visitor(user, event)), F.lit("null")))
         .alias("ip"),
         F.when(kind != 1, F.concat(F.lit(', "user_agent": '), quoted(F.col("event_type"))))
         .otherwise(F.lit(""))
