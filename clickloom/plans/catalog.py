@@ -11,7 +11,7 @@ from clickloom.operators import bloom, charts, clicks as C, limiter, links as L,
 from clickloom.operators import registration, resolve as V
 from clickloom.session import materialize, scratch_path
 from clickloom.sources import queue, tables, testdata as D
-from clickloom.streaming import ingest, rollup
+from clickloom.streaming import ingest, limiter as stream_limiter, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ SPARSE_LIMIT, SPARSE_WINDOW = 5, 3 * 86_400
 HOT_LIMIT, HOT_WINDOW = 10, 6 * 3_600
 HOT_CHUNK = 100
 INGEST_FILES = 3
+STREAM_FILES = 4
 SMALL_BLOOM = 4_000
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600
@@ -220,6 +221,23 @@ def rate_limit_hot_client(spark: SparkSession, sf: str) -> DataFrame:
     return decided.select("request_id", "client_key", "allowed")
 
 
+def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The limiter on a stream that brings the requests in three batches, in order of time."""
+    source, out = scratch_path(spark, "asked"), scratch_path(spark, "decided")
+    requests = D.limiter_requests(spark, sf)
+    cuts = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
+    at = F.col("requested_at")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = requests if low is None else requests.filter(at >= F.lit(low).cast("timestamp_ntz"))
+        some = some if high is None else some.filter(at < F.lit(high).cast("timestamp_ntz"))
+        some.repartition(STREAM_FILES).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
+    decided = stream_limiter.stream_rate_limit(stream, SPARSE_LIMIT, SPARSE_WINDOW)
+    writer = decided.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/table")
+    writer.format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{out}/table").select("request_id", "client_key", "allowed")
+
+
 def rate_limit_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Requests delivered twice and requests without a time, in chunks of few instants."""
     requests = D.limiter_requests(spark, sf, hot=True)
@@ -433,6 +451,7 @@ def queries() -> dict[str, Query]:
         "rate_limit_by_client": rate_limit_by_client,
         "rate_limit_hot_client": rate_limit_hot_client,
         "rate_limit_repeats": rate_limit_repeats,
+        "rate_limit_stream": rate_limit_stream,
         "registration_outcomes": registration_outcomes,
         "rollup_daily": _clicks(lambda c: _text_days(R.rollup_daily(c))),
         "rollup_daily_stream": rollup_daily_stream,

@@ -410,6 +410,7 @@ def oracle_sql() -> dict[str, str]:
         "request_rate_by_route": f"""WITH {HTTP} SELECT date_trunc('minute', ts) AS window_start, handler,
             round(count(*) / 60, 6) AS rate FROM routed GROUP BY 1, 2""",
         "rate_limit_decisions": f"WITH RECURSIVE {LIMITED_EVENTS}, {limited} SELECT request_id, client_key, allowed FROM walk",
+        "rate_limit_stream": f"WITH RECURSIVE {LIMITED_EVENTS}, {limited} SELECT request_id, client_key, allowed FROM walk",
         "rate_limit_by_client": f"""WITH RECURSIVE {LIMITED_EVENTS}, {limited} SELECT client_key, count(*) AS requests,
             count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS throttled FROM walk GROUP BY 1""",
         "rate_limit_hot_client": f"""WITH RECURSIVE {HOT_EVENTS}, {_limiter('asked', Q.HOT_LIMIT, Q.HOT_WINDOW)}

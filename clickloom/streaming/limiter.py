@@ -2,7 +2,9 @@
 
 Requests are decided micro-batch after micro-batch, and by time and id within
 one, so the source must deliver them in time order across batches, as a live
-service does. A batch is bounded by the source's options.
+service does. A batch is bounded by the source's options. The state of a client
+that sent nothing for ``idle_seconds`` of the running job is dropped; this must
+be longer than a window and the job's largest lag together.
 """
 
 from __future__ import annotations
@@ -20,12 +22,19 @@ from clickloom.operators.limiter import UNKNOWN_CLIENT, _accept, decide
 from clickloom.schemas import RATE_LIMIT, RATE_WINDOW_SECONDS
 
 
-def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT,
-                      window_seconds: float = RATE_WINDOW_SECONDS) -> DataFrame:
+IDLE_SECONDS = 86_400
+
+
+def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
+                      idle_seconds: float = IDLE_SECONDS) -> DataFrame:
     """``client_key``, ``request_id``, ``allowed`` for streamed requests."""
     window = int(window_seconds * 1_000_000)
+    idle = int(max(idle_seconds, 2 * window_seconds) * 1_000)
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(frames).sort_values(["_us", "request_id"])
         log = np.array(state.get[0] if state.exists else [], dtype=np.int64)
         instants = rows["_us"].to_numpy()
@@ -33,6 +42,7 @@ def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT,
         distinct = np.unique(instants)
         log = np.concatenate([log, distinct[_accept(distinct, log, limit, window)]])[-limit:]
         state.update((log.tolist(),))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"client_key": key[0], "request_id": rows["request_id"], "allowed": allowed})
 
     keyed = requests.select(
@@ -45,5 +55,5 @@ def stream_rate_limit(requests: DataFrame, limit: int = RATE_LIMIT,
         "client_key string, request_id bigint, allowed boolean",
         "log array<bigint>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )

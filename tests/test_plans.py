@@ -16,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"ingest_clicks", "ingest_dead_letters", "clicks_compacted", "rollup_daily_stream"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"ingest_clicks", "ingest_dead_letters", "clicks_compacted", "rollup_daily_stream", "rate_limit_stream"}))
 def test_no_pairing_and_no_python(spark, name):
     plan = plan_of(catalog.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
