@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 10 << 20
@@ -29,9 +29,13 @@ def counts(total: int, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BY
     return max(1, math.ceil(total / chunk_bytes)), max(1, math.ceil(total / part_bytes))
 
 
+def chunk_of(n: int) -> Column:
+    """The chunk of a document. Reruns agree: it follows from the id alone."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+
+
 def chunked(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text and the chunk. Reruns agree: the chunk follows from the id alone."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"))
+    return docs.select("doc_id", "text", chunk_of(n).alias("chunk"))
 
 
 def ordered(table: pa.Table) -> pa.Table:

@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickloom.llm import exchange as X
 from clickloom.llm.suffixes import sort_windows
@@ -93,7 +93,8 @@ def _questions(length: int, parts: int):
         pieces = X.split(key, parts)
         return pa.table({
             "part": pa.array([p for p, _ in pieces], pa.int32()), "chunk": pa.array([chunk] * len(pieces), pa.int32()),
-            "keys": X.blobs([key[s] for _, s in pieces]), "docs": X.blobs([docs[s] for _, s in pieces]),
+            "keys": pa.array([X.pack_sorted(key[s]) for _, s in pieces], pa.binary()),
+            "docs": pa.array([X.pack(docs[s]) for _, s in pieces], pa.binary()),
         })
 
     return ask
@@ -102,8 +103,8 @@ def _questions(length: int, parts: int):
 def _answers(hot_docs: int):
     def answer(table: pa.Table) -> pa.Table:
         """For each anchor asked about: 0 in one document only, 1 in more, 2 in very many."""
-        keys = [X.unblob(v, U64) for v in table["keys"]]
-        docs = [X.unblob(v, np.uint32) for v in table["docs"]]
+        keys = [X.unpack_sorted(v) for v in table["keys"]]
+        docs = [X.unpack(v, np.uint32) for v in table["docs"]]
         all_keys = np.concatenate(keys)
         distinct, which = np.unique(all_keys, return_inverse=True)
         total = np.bincount(which, np.concatenate(docs), len(distinct))
@@ -111,7 +112,7 @@ def _answers(hot_docs: int):
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table({
             "chunk": table["chunk"], "part": table["part"],
-            "state": pa.array([s.tobytes() for s in np.split(state, cuts)], pa.binary()),
+            "state": pa.array([X.pack(s) for s in np.split(state, cuts)], pa.binary()),
         })
 
     return answer
@@ -129,7 +130,7 @@ def _pieces(length: int, parts: int):
             key, doc, first, last = anchors(data, offsets, length)
             asked = np.unique(key)
             order = np.argsort(np.array(states["part"]))
-            state = np.concatenate([X.unblob(states["state"][int(i)], np.uint8) for i in order])
+            state = np.concatenate([X.unpack(states["state"][int(i)]) for i in order])
             state = state[np.searchsorted(asked, key)]
             shared = np.flatnonzero(state == 1)
             key1, doc1, a1, b1 = key[shared], doc[shared], first[shared], last[shared]
@@ -164,7 +165,7 @@ def _pieces(length: int, parts: int):
                 out["chunk"].append(chunk)
                 out["text"].append(X.pack(b"".join(seen)))
                 out["sizes"].append(X.pack(np.array([len(x) for x in seen], np.uint16)))
-                out["keys"].append(keys.tobytes())
+                out["keys"].append(X.pack_sorted(keys))
                 out["least"].append(X.pack(least))
                 out["of"].append(X.pack(np.where(here > least[of], ~of, of).astype(np.int32)))
                 out["doc"].append(X.pack(doc1[s:e].astype(np.int32)))
@@ -189,7 +190,7 @@ def _matches(length: int):
         sizes = [X.unpack(v, np.uint16).astype(np.int64) for v in table["sizes"]]
         owner = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
         size = np.concatenate(sizes)
-        key = np.concatenate([X.unblob(v, U64) for v in table["keys"]])
+        key = np.concatenate([X.unpack_sorted(v) for v in table["keys"]])
         least = np.concatenate([X.unpack(v, np.int64) for v in table["least"]])
         text = np.concatenate([X.unpack(v) for v in table["text"]])
         at = np.cumsum(size) - size
@@ -273,38 +274,44 @@ def _whole(raw: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def _removed():
-    def remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        docs = X.ordered(docs)
-        n = len(docs)
-        data, offsets = buffers(docs["text"])
-        raw = data.tobytes()
-        parts = [[X.unblob(v, np.int32) for v in spans[c]] for c in ("doc", "start", "stop")]
-        doc, start, stop = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts)
-        by = np.argsort(doc, kind="stable")
-        doc, start, stop = doc[by], start[by].astype(np.int64), stop[by].astype(np.int64)
-        at = np.searchsorted(doc, np.arange(n + 1))
-        kept, removed, runs, span_rows, texts, digests = [], [], [], [], [], []
-        for i in range(n):
-            own = raw[offsets[i] : offsets[i + 1]]
-            a, b = merge(start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]])
-            spans_of = list(zip(a.tolist(), b.tolist()))
-            kept.append(_without(own, spans_of))
-            texts.append(_without(own, [_whole(own, *x) for x in spans_of]))
-            digests.append(hashlib.sha256(own).hexdigest())
-            removed.append(int((b - a).sum()))
-            runs.append(len(a))
-            span_rows.append([{"start": x, "stop": y} for x, y in spans_of])
-        return pa.table({
-            "doc_id": docs["doc_id"].cast(pa.int64()),
-            "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-            "spans": pa.array(span_rows, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-            "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
-            "text_sha256": pa.array(digests, pa.string()),
-        })
-
-    return remove
+def _kept(docs: pa.Table, spans: pa.Table):
+    """The chunk's rows in order, and for each its bytes and the maximal removed runs."""
+    docs = X.ordered(docs)
+    data, offsets = buffers(docs["text"])
+    raw = data.tobytes()
+    parts = [[X.unblob(v, np.int32) for v in spans[c]] for c in ("doc", "start", "stop")]
+    doc, start, stop = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts)
+    by = np.argsort(doc, kind="stable")
+    doc, start, stop = doc[by], start[by].astype(np.int64), stop[by].astype(np.int64)
+    at = np.searchsorted(doc, np.arange(len(docs) + 1))
+    found = []
+    for i in range(len(docs)):
+        a, b = merge(start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]])
+        found.append((raw[offsets[i] : offsets[i + 1]], list(zip(a.tolist(), b.tolist()))))
+    return docs, found
+
+
+def _described(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    docs, found = _kept(docs, spans)
+    kept = [_without(raw, runs) for raw, runs in found]
+    return pa.table({
+        "doc_id": docs["doc_id"].cast(pa.int64()),
+        "n_bytes": pa.array([len(raw) for raw, _ in found], pa.int64()),
+        "n_removed": pa.array([sum(b - a for a, b in runs) for _, runs in found], pa.int64()),
+        "n_spans": pa.array([len(runs) for _, runs in found], pa.int64()),
+        "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+        "spans": pa.array([[{"start": a, "stop": b} for a, b in runs] for _, runs in found], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+        "kept": pa.array(kept, pa.binary()),
+    })
+
+
+def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    """The rows with repeated spans cut out of the text, at whole characters, and its new length."""
+    docs, found = _kept(docs, spans)
+    kept = [None if old is None else _without(raw, [_whole(raw, *x) for x in runs]) for old, (raw, runs) in zip(docs["text"].to_pylist(), found)]
+    text = pa.array(kept, pa.binary()).cast(pa.string())
+    docs = docs.set_column(docs.schema.get_field_index("text"), "text", text)
+    return docs.append_column("cut", pa.array([bool(runs) for _, runs in found], pa.bool_()))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DOCS,
@@ -313,45 +320,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DO
 
     Reads ``doc_id`` and ``text`` of ``docs``; other columns play no part. Each
     row gives one: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte
-    starts and ends of the maximal removed runs), kept (the remaining bytes),
-    kept_text (the same, cut at whole characters only) and text_sha256 (of the text as given).
+    starts and ends of the maximal removed runs) and kept (the remaining bytes).
     A null text is empty and keeps nothing back. A null id counts as larger than
     all others. Rows with one id do not count as smaller than each other. An
     empty table gives none. A chunk of documents, and the pieces sent to a part,
     must fit in a task's memory; both have a set size.
     """
+    return _deal(docs.select("doc_id", "text"), length, hot_docs, chunk_bytes, part_bytes, _described,
+                 "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+                 "spans array<struct<start: bigint, stop: bigint>>, kept binary")
+
+
+def _deal(docs: DataFrame, length: int, hot_docs: int, chunk_bytes: int, part_bytes: int, last, schema) -> DataFrame:
+    """Find the spans of rows with ``doc_id`` and ``text`` and give each chunk's rows and spans to ``last``."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     chunks, parts = X.counts(X.text_bytes(docs), chunk_bytes, part_bytes)
-    dealt = X.chunked(docs, chunks)
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = docs.withColumn("chunk", X.chunk_of(chunks)).groupBy("chunk")
     asked = by_chunk.applyInArrow(_questions(length, parts), "part int, chunk int, keys binary, docs binary")
     states = asked.groupBy("part").applyInArrow(_answers(hot_docs), "chunk int, part int, state binary")
     sent = by_chunk.cogroup(states.groupBy("chunk")).applyInArrow(
         _pieces(length, 2 * parts),
         "part int, chunk int, text binary, sizes binary, keys binary, least binary, of binary, doc binary, start binary")
     spans = sent.groupBy("part").applyInArrow(_matches(length), "chunk int, doc binary, start binary, stop binary")
-    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(
-        _removed(),
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        "spans array<struct<start: bigint, stop: bigint>>, kept binary, kept_text string, text_sha256 string")
+    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(last, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DOCS,
+                   chunk_bytes: int = X.CHUNK_BYTES, part_bytes: int = X.PART_BYTES) -> DataFrame:
     """The documents with repeated spans cut out of ``text`` and the new ``n_chars``, columns as given.
 
     Cuts end at whole characters: one of which only a part is repeated stays.
     Rows that lose nothing stay as they are.
     """
-    cut = (
-        repeated_spans(docs, length, **sizes).filter("n_removed > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept_text").alias("_kept"))
-        .dropDuplicates(["_id", "_sha"])
-    )
-    own = F.sha2(F.col("text").cast("binary"), 256)
-    out = docs.withColumn("_own", own)
-    out = out.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # Other columns travel under names of their own, so that none clashes.
+    names = {name: name if name in ("doc_id", "text") else f"x{i}" for i, name in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{name}`").alias(short) for name, short in names.items()))
+    fields = T.StructType([*plain.schema.fields, T.StructField("chunk", T.IntegerType()), T.StructField("cut", T.BooleanType())])
+    out = _deal(plain, length, hot_docs, chunk_bytes, part_bytes, _cut, fields)
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn(names["n_chars"], F.when(F.col("cut"), F.char_length("text").cast(kind)).otherwise(F.col(names["n_chars"])))
+    return out.select(*(F.col(short).alias(name) for name, short in names.items()))
