@@ -13,15 +13,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from clickloom.llm.textbytes import ALNUM, buffers
+from clickloom.session import materialize
 
 WINDOW = 13
 #: A document is contaminated if one word in so many, or more, is hit.
 ONE_IN = 20
-#: Words of benchmark items in one automaton, which is what is broadcast; more items make more passes.
-BLOCK_WORDS = 500_000
+#: Words of benchmark items in one automaton, which is what is broadcast (some 400 bytes a word); more items make more passes.
+BLOCK_WORDS = 100_000
 
 U64 = np.uint64
 
@@ -257,27 +258,53 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     With ``cut_below``, a row over this but under that share stays, and
     its hit spans are cut out of ``text`` instead (``n_chars`` follows, if there
     is one). Rows with fewer hits stay as they are. The hits of all blocks of
-    items count together (see ``contamination``). Moves no row.
+    items count together (see ``contamination``); between the passes over
+    several blocks the rows are written with their hits. Moves no row.
     """
+    schema = docs.schema
     automata = list(_automata(benchmark, window, block_words))
+    for shared in automata[:-1]:
+        fields = [f for f in docs.schema.fields if f.name != HITS]
+        docs = materialize(docs.mapInArrow(_mark(shared), T.StructType([*fields, T.StructField(HITS, T.BinaryType())])), "marked")
 
     def clean(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                hit = None
-                for shared in automata:
-                    found, at, _ = _hits(*shared.value, part["text"])
-                    hit = found if hit is None else hit | found
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit, n_words = total[at[1:]] - total[at[:-1]], np.diff(at)
-                over = (n_hit > 0) & (one_in * n_hit >= n_words)
-                cut = over & (n_hit < cut_below * n_words) if cut_below is not None else np.zeros(len(part), bool)
-                if cut.any():
-                    part = _cut(part, hit, at, np.flatnonzero(cut))
-                yield part.filter(pa.array(~over | cut))
-
-    return docs.mapInArrow(clean, docs.schema)
+        for part, hit, at in _all_hits(batches, automata[-1]):
+            total = np.concatenate([[0], np.cumsum(hit)])
+            n_hit, n_words = total[at[1:]] - total[at[:-1]], np.diff(at)
+            over = (n_hit > 0) & (one_in * n_hit >= n_words)
+            cut = over & (n_hit < cut_below * n_words) if cut_below is not None else np.zeros(len(part), bool)
+            if cut.any():
+                part = _cut(part, hit, at, np.flatnonzero(cut))
+            yield part.filter(pa.array(~over | cut))
+
+    return docs.mapInArrow(clean, schema)
+
+
+#: The column that carries earlier passes' hits, one bit a word.
+HITS = "_benchmark_hits"
+
+
+def _all_hits(batches, shared):
+    """Parts of the batches without the column of earlier hits, all hits, and where each text's words start."""
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            hit, at, _ = _hits(*shared.value, part["text"])
+            if HITS in part.schema.names:
+                sizes = np.diff(at).tolist()
+                earlier = [np.unpackbits(np.frombuffer(h, np.uint8), count=n).astype(bool) for h, n in zip(part[HITS].to_pylist(), sizes)]
+                hit = hit | np.concatenate([np.zeros(0, bool), *earlier])
+                part = part.drop_columns([HITS])
+            yield part, hit, at
+
+
+def _mark(shared):
+    def mark(batches):
+        for part, hit, at in _all_hits(batches, shared):
+            bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits, pa.binary())], names=[*part.schema.names, HITS])
+
+    return mark
 
 
 def _cut(part: pa.RecordBatch, hit: np.ndarray, at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
