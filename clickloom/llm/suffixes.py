@@ -16,13 +16,13 @@ _KEEP = np.array([0] + [(0xFFFFFFFFFFFFFFFF << (8 * (8 - k))) & 0xFFFFFFFFFFFFFF
 def _words(text: np.ndarray) -> np.ndarray:
     """At each position the next 8 bytes as a big-endian number (text padded with 8 zeros)."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(text) + 1, 8), (1, 1))
+    grid = np.lib.stride_tricks.as_strided(padded, (len(text) + 1, 8), (1, 1))
+    return np.ascontiguousarray(grid).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def _load(grid: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """8 bytes from each position, those beyond what is left as zeros."""
-    value = grid[np.minimum(at, len(grid) - 1)].reshape(-1).view(">u8").astype(np.uint64)
-    return value & _KEEP[np.clip(left, 0, 8)]
+    return grid[np.minimum(at, len(grid) - 1)] & _KEEP[np.clip(left, 0, 8)]
 
 
 def _smaller_than_next(text: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -37,22 +37,27 @@ def _smaller_than_next(text: np.ndarray, ends: np.ndarray, piece: np.ndarray) ->
 
 
 def _direct(grid: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the given suffixes by up to ``depth`` bytes; equal ones in any order."""
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    open_ = np.arange(len(at))  # places whose suffix is not yet alone in its group
-    for k in range(0, depth, 8):
+    """The order of the given suffixes by up to ``depth`` bytes; equal ones in any order.
+
+    Each round orders those not yet alone by their group and the next few bytes,
+    both in one number.
+    """
+    n = len(at)
+    width = (64 - n.bit_length()) // 8  # bytes beside a group's number
+    order, group = np.arange(n), np.zeros(n, np.uint64)
+    open_ = np.arange(n)  # places whose suffix is not yet alone in its group
+    for k in range(0, depth, width):
         if not len(open_):
             break
         here = order[open_]
-        key = _load(grid, at[here] + k, np.minimum(ends[here] - at[here] - k, depth - k))
-        by = np.lexsort((key, group[open_]))
+        left = np.minimum(ends[here] - at[here] - k, min(depth - k, width))
+        key = group[open_] << np.uint64(8 * width) | _load(grid, at[here] + k, left) >> np.uint64(64 - 8 * width)
+        by = np.argsort(key)
         order[open_] = here[by]
-        key, own = key[by], group[open_]
-        new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        rank = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
-        group[open_] = rank
-        alone = new & np.append(new[1:], True)
-        open_ = open_[~alone]
+        key = key[by]
+        new = np.append(True, key[1:] != key[:-1])
+        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        open_ = open_[~(new & np.append(new[1:], True))]
     return order
 
 
@@ -110,7 +115,7 @@ def sort_windows(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
     out = []
     for c in range(256):
         while waiting[c]:
-            found = waiting[c].pop(0)
+            found, waiting[c] = np.concatenate(waiting[c]), []
             out.append(found)
             induce(found)
         found = seeds[seed_at[c] : seed_at[c + 1]]
