@@ -65,7 +65,10 @@ def pack(data: bytes | np.ndarray) -> bytes:
 
 
 def unpack(value: pa.Scalar, kind=np.uint8) -> np.ndarray:
-    raw = value.as_py()
+    return unpacked(value.as_py(), kind)
+
+
+def unpacked(raw: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd"), kind)
 
 

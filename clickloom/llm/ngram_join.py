@@ -34,8 +34,8 @@ WORDS, NUM, DEN = 5, 4, 5
 #: Coordinates of the count vectors under the trees: a power of two about as large as the set, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Candidates of a set in another component that are looked at in the first of several rounds; each later round takes
-#: eight times as many, until none is left, as a set needs one link only to be connected.
-FIRST_TRIES = 4
+#: sixteen times as many, until none is left, as a set needs one link only to be connected.
+FIRST_TRIES = 16
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
 
@@ -57,12 +57,12 @@ def counts(shingles: np.ndarray, groups: int = LEAST_GROUPS) -> np.ndarray:
 def _point(shingles: np.ndarray) -> bytes:
     found = counts(shingles, min(max(1 << len(shingles).bit_length(), LEAST_GROUPS), MOST_GROUPS))
     kind = np.uint8 if found.max() < 256 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + found.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + X.pack(found.astype(kind))
 
 
 def _points(values: list[bytes]) -> np.ndarray:
     """Vectors of one length, that of the shortest."""
-    found = [np.frombuffer(v[1:], np.uint8 if v[0] == 1 else np.uint32) for v in values]
+    found = [X.unpacked(v[1:], np.uint8 if v[0] == 1 else np.uint32) for v in values]
     groups = min(map(len, found))
     return np.stack([f.reshape(groups, -1).sum(axis=1, dtype=np.uint32) for f in found])
 
@@ -217,7 +217,7 @@ def _tree_search(num: int, den: int, most: int):
         edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
         role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
         point = table["point"].to_pylist()
-        pairs: dict[tuple[int, int], bool] = {}
+        pairs: dict[tuple[int, int], bool] = {}  # (asker, other): whether the asker has more
         for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
             ask = lo + int(np.searchsorted(role[lo:hi], 1))
             if lo < ask < hi:
@@ -232,10 +232,10 @@ def _tree_search(num: int, den: int, most: int):
                     place = np.arange(len(hit)) - np.repeat(head, np.diff(np.append(head, len(hit))))
                     more = bool((place >= most).any())
                     for other in names[hit[place < most]].tolist():
-                        key = (min(other, int(names[k])), max(other, int(names[k])))
+                        key = (int(names[k]), other)
                         pairs[key] = pairs.get(key, False) or more
         a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(list(pairs.values()), pa.bool_())})
+        return pa.table({"asker": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "more": pa.array(list(pairs.values()), pa.bool_())})
 
     return search
 
@@ -271,34 +271,52 @@ class _Join:
         return left.groupBy("grp").cogroup(right.groupBy("first_grp")).applyInArrow(
             _verify(self.words, self.num, self.den), "a bigint, b bigint")
 
-    def labels(self, links: DataFrame) -> DataFrame:
-        return materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-
-    def rest(self, buckets: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-        """Pairs of sets that share a bucket, are not connected yet and pass the bound, ``most`` for each set and component."""
+    def labels(self, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(node, component) of all linked sets; with known ones, of these and the new links between their components."""
+        links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if known is None:
+            return materialize(components(links), "labels")
+        of = known.select("node", "component")
+        joined = links.join(of.toDF("u", "cu"), "u", "left").join(of.toDF("v", "cv"), "v", "left")
+        joined = joined.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+        joined = materialize(joined, "links")
+        merged = components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        nodes = known.union(joined.select("u", "cu")).union(joined.select("v", "cv")).distinct()
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+        return materialize(nodes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
+
+    def rest(self, members: DataFrame, labels: DataFrame, most: int, askers: DataFrame | None) -> DataFrame:
+        """(asker, other, more): pairs of sets that share a bucket, are not connected yet and pass the bound.
+
+        At first all ask that are not in their bucket's largest component, later those that had more candidates than ``most``.
+        """
         known = labels.select(F.col("node").alias("set_id"), "component")
-        member = buckets.select("bucket", F.col("member").alias("set_id")).union(
-            buckets.select("bucket", F.col("first").alias("set_id")).distinct())
-        member = member.join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        if askers is not None:
+            members = members.join(members.join(askers, "set_id", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+        member = members.join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        if askers is not None:
+            member = member.join(askers.withColumn("asks", F.lit(True)), "set_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         member = materialize(member, "members")
         split = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         split = split.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
         split = split.filter("parts > 1").withColumn("blocks", F.ceil(F.col("n") / self.block)).drop("parts", "n")
         some = member.join(split, "bucket")
+        if askers is None:
+            some = some.withColumn("asks", F.col("component") != F.col("main"))
         names = some.select("set_id").distinct()
         points = self.texts(names).select("set_id", "n_shingles", "text").mapInArrow(
             _vectors(self.words), "set_id bigint, n_shingles bigint, point binary")
         some = materialize(some.join(points, "set_id"), "points")
         block = F.pmod(F.xxhash64("set_id"), "blocks")
-        inside = some.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(0))
-        asking = some.filter("component <> main").withColumn("j", block)
-        asking = asking.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-        asked = asking.select("bucket", "i", "j").distinct()
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        inside = some.withColumn("i", block).withColumn("j", every).withColumn("role", F.lit(0))
+        asking = some.filter("asks").withColumn("j", block).withColumn("i", every).withColumn("role", F.lit(1))
+        asked = some.filter("asks").select("bucket", block.alias("j")).distinct()
         columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"]
-        both = inside.join(asked, ["bucket", "i", "j"], "left_semi").select(columns).union(asking.select(columns))
+        both = inside.join(asked, ["bucket", "j"], "left_semi").select(columns).union(asking.select(columns))
         both = both.withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * self.parts)))
-        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den, most), "a bigint, b bigint, more boolean")
-        return materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest")
+        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den, most), "asker bigint, other bigint, more boolean")
+        return materialize(found.groupBy("asker", "other").agg(F.max("more").alias("more")), "rest")
 
     def run(self) -> DataFrame:
         dealt = X.chunked(self.docs, self.chunks)
@@ -307,16 +325,21 @@ class _Join:
         tried = materialize(stars.select(F.least("first", "member").alias("a"), F.greatest("first", "member").alias("b")).distinct(), "pairs")
         links = materialize(self.links(tried), "links")
         labels = self.labels(links)
-        buckets, most = stars.filter("bucket <> 0").distinct(), FIRST_TRIES
+        buckets = stars.filter("bucket <> 0")
+        members = buckets.select("bucket", F.col("member").alias("set_id")).union(buckets.select("bucket", F.col("first").alias("set_id")))
+        members = materialize(members.distinct(), "members")
+        askers, most = None, FIRST_TRIES
         while True:
-            found = self.rest(buckets, labels, most)
-            fresh = materialize(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = self.rest(members, labels, most, askers)
+            pairs = found.select(F.least("asker", "other").alias("a"), F.greatest("asker", "other").alias("b")).distinct()
+            fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if not fresh.isEmpty():
-                links = materialize(links.union(self.links(fresh)), "links")
-                labels = self.labels(links)
-            if found.filter("more").isEmpty():  # all that was left has been looked at
+                more = materialize(self.links(fresh), "links")
+                links, labels = links.union(more), self.labels(more, labels)
+            askers = found.filter("more").select(F.col("asker").alias("set_id")).distinct()
+            if askers.isEmpty():  # all that was left has been looked at
                 return self.describe(links, labels)
-            tried, most = tried.union(fresh), 8 * most
+            tried, most = tried.union(fresh), 16 * most
 
     def describe(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         """Per document its component's smallest id and how many links between different sets were needed to find it."""
