@@ -153,6 +153,23 @@ def test_ngram_join(spark, words, num, den, block):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == components(rows, words, num, den)
 
 
+def test_ngram_join_in_many_rounds(spark, monkeypatch):
+    """A large group of near copies, of which few pairs are links, looked at one candidate a round."""
+    monkeypatch.setattr(ngram_join, "FIRST_TRIES", 1)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        some = list(base)
+        for _ in range(rng.randint(0, 14)):
+            some[rng.randrange(len(some))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(some)))
+    found = ngram_join.near_duplicates(frame(spark, rows), 2, 4, 5, 16, 2000, 3000)
+    expected = components(rows, 2, 4, 5)
+    assert len({top for _, _, top in expected}) > 3
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == expected
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A b\tc d e"), (5, None), (6, ""), (7, "z")]
     found = ngram_join.near_duplicates(frame(spark, rows), 4, 85, 100).collect()
