@@ -35,7 +35,7 @@ WORDS, NUM, DEN = 5, 4, 5
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Candidates of a set in another component that are looked at in the first of several rounds; each later round takes
 #: sixteen times as many, until none is left, as a set needs one link only to be connected.
-FIRST_TRIES = 16
+FIRST_TRIES = 8
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
 
@@ -265,6 +265,7 @@ class _Join:
         groups = max(8, math.ceil(2 * self.total / X.PART_BYTES))
         slotted = pairs.join(many, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots"))
         slotted = slotted.withColumn("grp", F.pmod(F.xxhash64("a", "slot"), F.lit(groups))).select("grp", "a", "b")
+        slotted = materialize(slotted, "slotted")  # read twice below
         left = slotted.join(texts.select(F.col("set_id").alias("b"), "text"), "b").select("grp", "a", "b", "text")
         right = slotted.select("grp", "a").distinct().join(texts.select(F.col("set_id").alias("a"), "text"), "a")
         right = right.select(F.col("grp").alias("first_grp"), F.col("a").alias("set_id"), F.col("text").alias("first_text"))
