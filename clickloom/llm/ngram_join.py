@@ -35,7 +35,7 @@ WORDS, NUM, DEN = 5, 4, 5
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 #: Candidates of a set in another component that are looked at in the first of several rounds; each later round takes
 #: sixteen times as many, until none is left, as a set needs one link only to be connected.
-FIRST_TRIES = 8
+FIRST_TRIES = 16
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
 
