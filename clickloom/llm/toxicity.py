@@ -21,7 +21,7 @@ from clickloom.llm.textbytes import BLOCK, SPACED, buffers, mix
 
 LANDMARKS = 64
 #: Labelled texts that the machine is trained on, at most about.
-SAMPLE = 6000
+SAMPLE = 3000
 ORDER, DECAY = 3, 0.6
 #: Bytes of a word that are compared at once; longer words are compared in overlapping stretches.
 WIDTH = 24
