@@ -320,7 +320,7 @@ class _Join:
         return materialize(found.groupBy("asker", "other").agg(F.max("more").alias("more")), "rest")
 
     def run(self) -> DataFrame:
-        dealt = X.chunked(self.docs, self.chunks)
+        dealt = X.chunked(self.docs.filter("doc_id is not null"), self.chunks)  # the sets of ``named`` and no others
         asked = dealt.groupBy("chunk").applyInArrow(_buckets(self.words, self.num, self.den, self.parts), "part int, keys binary, sets binary")
         stars = materialize(asked.groupBy("part").applyInArrow(_stars, "bucket bigint, first bigint, member bigint"), "stars")
         tried = materialize(stars.select(F.least("first", "member").alias("a"), F.greatest("first", "member").alias("b")).distinct(), "pairs")

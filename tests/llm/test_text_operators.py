@@ -177,6 +177,15 @@ def test_ngram_join_odd_rows(spark):
         (0, 2, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), (5, 0, 5), (6, 0, 6), (7, 1, 7)]
 
 
+def test_ngram_join_null_id_near_copies(spark):
+    """Sets that only rows without id have, near copies of others and of each other, link nothing and stop nothing."""
+    base = [f"w{i}" for i in range(40)]
+    near = [" ".join([*base[:-1], f"x{i}"]) for i in range(12)]
+    rows = [(1, " ".join(base)), (2, near[0]), *((None, t) for t in near[1:])]
+    found = ngram_join.near_duplicates(frame(spark, rows), 4, 85, 100).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in found) == [(0, 37, None)] * 11 + [(1, 37, 1), (2, 37, 1)]
+
+
 def hits(rows, items, window):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = defaultdict(set)
