@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clickloom.llm.textbytes import _stream
@@ -99,8 +100,8 @@ def _rank(k: int):
     def rank(rows: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if len(rows) and len(asked):
-            r = np.array(rows["embedding"].to_pylist(), np.float64)
-            q = np.array(asked["embedding"].to_pylist(), np.float64)
+            r = pc.list_flatten(rows["embedding"]).to_numpy().reshape(len(rows), -1)
+            q = pc.list_flatten(asked["embedding"]).to_numpy().reshape(len(asked), -1)
             names = asked["vec_id"].to_numpy()
             found = [(int(names[i]), vec, score) for i, vec, score in nearest(q, names, r, rows["vec_id"].to_numpy(), k)]
         a, b, c = zip(*found) if found else ((), (), ())
@@ -120,9 +121,9 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS,
     and vectors are only compared with those of their length. Rows that repeat
     an id count once per distinct vector. Of equal vectors those with the
     smallest ids, one more than asked for, are indexed, as the others cannot be
-    among the nearest. A query with few rows in its buckets gets fewer: at most
-    ``bucket_rows`` tables' worth of rows is never assumed, and where all rows
-    are at most that many they are all compared. Empty tables give none.
+    among the nearest. A task compares about ``block_rows`` rows of a bucket; a
+    bucket of more is dealt out. A query that finds fewer rows in its buckets
+    than asked for is compared with all rows. Empty tables give none.
     """
     def usable(df: DataFrame) -> DataFrame:
         e = F.col("embedding").cast("array<double>")
@@ -136,7 +137,14 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS,
     schema = "bucket bigint, vec_id bigint, embedding array<double>"
     index = rows.mapInArrow(_buckets(tables, 1), schema)
     probing = asked.mapInArrow(_buckets(tables, probes), schema)
-    found = index.groupBy("bucket").cogroup(probing.groupBy("bucket")).applyInArrow(_rank(neighbours), "query_id bigint, vec_id bigint, score double")
+    # A bucket of many rows is dealt out in blocks, each of which all its queries are put to. There are few buckets in all, a multiple of the dimensions.
+    full = index.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).filter("blocks > 1")
+    full = F.broadcast(materialize(full, "full"))
+    index = index.join(full, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    probing = probing.join(full, "bucket", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    columns = ["bucket", "block", "vec_id", "embedding"]
+    both = index.select(columns).groupBy("bucket", "block").cogroup(probing.select(columns).groupBy("bucket", "block"))
+    found = both.applyInArrow(_rank(neighbours), "query_id bigint, vec_id bigint, score double")
     found = materialize(found.distinct(), "found")
     enough = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).filter(F.col("n") >= neighbours)
     few = materialize(asked.join(enough, "vec_id", "left_anti"), "few")

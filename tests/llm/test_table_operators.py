@@ -173,3 +173,29 @@ def test_hot_vector(spark):
     zero = sorted(r["vec_id"] for r in found if r["query_id"] == 200)
     assert zero == list(range(10))
     assert sorted(r["vec_id"] for r in found if r["query_id"] == 0) == list(range(1, 11))
+
+
+def test_full_bucket_is_dealt_out(spark, monkeypatch):
+    """Near copies of one vector share all buckets; no task gets them all, and the nearest are the same."""
+    seen = spark.sparkContext.accumulator(0)
+    rank = cross_polytope._rank
+
+    def counted(k):
+        inner = rank(k)
+
+        def run(rows, asked):
+            seen.add(int(len(rows) > 150))
+            return inner(rows, asked)
+
+        return run
+
+    monkeypatch.setattr(cross_polytope, "_rank", counted)
+    rng = np.random.default_rng(3)
+    vectors = np.ones(8) + rng.normal(0, 1e-3, (400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = cross_polytope.search(df, df.filter("vec_id % 100 = 0"), block_rows=50).collect()
+    assert seen.value == 0
+    for query in (0, 100, 200, 300):
+        apart = np.sqrt(((vectors - vectors[query]) ** 2).sum(axis=1))
+        apart[query] = np.inf
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == np.argsort(apart, kind="stable")[:10].tolist()
