@@ -152,6 +152,25 @@ def test_chat_rows(spark):
     assert chat.formatted_digests(chat.records(df.limit(0))).count() == 0
 
 
+def test_chat_large_conversation(spark):
+    """Too large for a JSON reader: given as turns, with the same digests; a text of more characters than one may have is kept."""
+    rows = [(1, i, ["user", "assistant"][i % 2], ODD[i % len(ODD)]) for i in range(2500)] + [(2, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    small, large = (sorted(map(tuple, chat.formatted_digests(chat.records(df, most)).collect())) for most in (chat.MOST_BYTES, 1000))
+    assert small == large and [r[1] for r in small] == [2500, 1]
+    long = df.filter("conv_id = 2").selectExpr("conv_id", "turn", "'assistant' as role", "repeat('x', 20000001) as text")
+    assert [(r["n_turns"], r["loss_chars"]) for r in chat.formatted_digests(chat.records(long)).collect()] == [(1, 20000001)]
+
+
+def test_chat_unknown_layouts_are_kept(spark):
+    raw = [(1, json.dumps({"prompt": "p", "completion": "c"})), (7, json.dumps({"foo": {"bar": 1}})), (8, None), (10, "[]"), (11, json.dumps({"messages": []}))]
+    found = {r["conv_id"]: tuple(r)[1:] for r in chat.formatted_digests(spark.createDataFrame(raw, "conv_id bigint, record string")).collect()}
+    assert found[1][0] == 2
+    assert all(found[i] == (None,) * 5 for i in (7, 8, 10, 11))
+    with pytest.raises(Exception, match="MALFORMED"):
+        chat.formatted_digests(spark.createDataFrame([(9, "{bad")], "conv_id bigint, record string")).collect()
+
+
 def test_nearest_small_and_odd(spark):
     rows = [(i, [float(i % 5), 1.0, 0.0]) for i in range(12)]
     rows += [(20, None), (21, []), (22, [0.0, 0.0, 0.0]), (23, [1.0, None, 2.0]), (24, [float("nan"), 1.0, 1.0]), (25, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 0.0]), (30, [1.0, 2.0]), (0, [0.0, 1.0, 0.0])]
