@@ -12,6 +12,8 @@ sentence; the score is a logistic curve through training texts.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ ORDER, DECAY = 3, 0.6
 WIDTH = 24
 #: What inserted characters leave of a word's similarity, in the copies of toxic sentences that training adds.
 INSERTED = 0.75
+#: The machine sees this power of the kernel (a kernel as well), so that the little all words have in common says little.
+POWER = 3
 #: From this similarity a word counts as the landmark itself.
 CLOSE = 0.95
 #: Words shorter than this say nothing.
@@ -86,26 +90,11 @@ def own_kernel(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """For each word a set of 128 bits over its letter pairs up to two letters apart."""
-    out = np.zeros((len(words), 2), U64)
-    for gap in (1, 2, 3):
-        a, b = words[:, :-gap].astype(np.uint32), words[:, gap:].astype(np.uint32)
-        bit = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(25)
-        here = (a != 0) & (b != 0)
-        for half in (0, 1):
-            value = np.where(here & (bit >> np.uint32(6) == half), U64(1) << (bit & np.uint32(63)).astype(U64), U64(0))
-            out[:, half] |= np.bitwise_or.reduce(value, axis=1)
-    return out
-
-
-def _bit(pair: bytes) -> int:
-    low, high = (int(x) for x in _pairs(matrix([pair], 4))[0])
-    return (low or high << 64).bit_length() - 1
-
-
-def _steps(word: bytes) -> list[bytes]:
-    return [word[i : i + 2] for i in range(len(word) - 1)]
+@lru_cache(maxsize=None)
+def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of ORDER bytes in a word of ``size`` bytes, and the discount of each."""
+    at = np.array(list(combinations(range(size), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
 
 
 def matrix(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -116,38 +105,65 @@ def matrix(words: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 
 class Marks:
-    """Landmark words and the similarity of words to them, 0 where a word has too few of a landmark's letter pairs."""
+    """Landmark words and the similarity of words to them: the kernel of every pair, by a list of the landmarks' subsequences."""
 
     def __init__(self, words: list[bytes]) -> None:
         self.words = words
         width = max((len(w) for w in words), default=1)
         self.rows = matrix(words, width)
         self.norm = np.sqrt(own_kernel(self.rows))
-        self.bits = [[_bit(s) for s in _steps(w)] for w in words]
-
-    def like(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, similarity) of the pairs that may be alike."""
-        bits = np.asfortranarray(_pairs(words))
-        has = {b: (bits[:, b >> 6] >> U64(b & 63) & U64(1)).astype(np.int8) for b in {b for steps in self.bits for b in steps}}
-        at, mark = [], []
-        for m, steps in enumerate(self.bits):
-            have = np.zeros(len(words), np.int8)
-            for step in steps:
-                have += has[step]
-            hit = np.flatnonzero(4 * have >= 3 * len(steps))
-            at.append(hit)
-            mark.append(np.full(len(hit), m))
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        at, mark = np.concatenate(at), np.concatenate(mark)
-        value = np.zeros(len(at), np.float32)
-        norm = np.ones(len(words), np.float32)
-        used = np.unique(at)
-        norm[used] = np.sqrt(own_kernel(words[used]))
-        for some, size in by_length(words[at], 2048):
-            a, m = at[some], mark[some]
-            value[some] = kernel(words[a, :size], self.rows[m]) / np.maximum(norm[a] * self.norm[m], 1e-12)
-        return at, mark, value
+        letters = np.unique(self.rows[self.rows != 0])
+        self.letter = np.zeros(256, np.int32)  # 0 stands for all bytes that no landmark has
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        codes, marks, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for m, w in enumerate(words):
+            at, discount = _places(len(w))
+            codes.append(self._codes(self.rows[m : m + 1], at)[0])
+            marks.append(np.full(len(at), m))
+            weights.append(discount)
+        codes, marks, weights = map(np.concatenate, (codes, marks, weights))
+        # Per distinct subsequence the landmarks that have it, with their summed discounts.
+        both, of = np.unique(codes.astype(np.int64) * max(len(words), 1) + marks, return_inverse=True)
+        code, self.mark = np.divmod(both, max(len(words), 1))
+        self.weight = np.bincount(of, weights, len(both))
+        distinct, self.start, self.many = np.unique(code, return_index=True, return_counts=True)
+        self.slot = np.full(self.base**ORDER, -1, np.int32)
+        self.slot[distinct] = np.arange(len(distinct))
+
+    def _codes(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The subsequences at these places of each word as numbers."""
+        letter = self.letter[words]
+        code = letter[:, at[:, 0]]
+        for k in range(1, ORDER):
+            code = code * np.int32(self.base) + letter[:, at[:, k]]
+        return code
+
+    def like(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that share a subsequence with a landmark, rising, and their similarity to each landmark; that of all others is 0."""
+        size = ((words != 0) * np.arange(1, words.shape[1] + 1)).max(axis=1, initial=0)
+        found, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.words)), np.float32)]
+        for length in range(ORDER, words.shape[1] + 1) if self.words else ():
+            rows = np.flatnonzero(size == length)
+            at, discount = _places(length)
+            step = max(1, (1 << 18) // len(at))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                slot = self.slot[self._codes(words[some], at)].reshape(-1)
+                hit = np.flatnonzero(slot >= 0)
+                slot, (word, place) = slot[hit], np.divmod(hit, len(at))
+                many = self.many[slot]
+                entry = np.repeat(self.start[slot] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = np.repeat(word * len(self.words), many) + self.mark[entry]
+                value = np.bincount(cell, np.repeat(discount[place], many) * self.weight[entry], len(some) * len(self.words))
+                value = value.reshape(len(some), -1)
+                has = np.flatnonzero(value.any(axis=1))
+                found.append(some[has])
+                values.append(value[has].astype(np.float32))
+        found, value = np.concatenate(found), np.concatenate(values)
+        order = np.argsort(found)
+        found, value = found[order], value[order]
+        return found, value / np.maximum(np.sqrt(own_kernel(words[found]))[:, None] * self.norm, 1e-12)
 
 
 class Sentences:
@@ -209,22 +225,17 @@ class Sentences:
         return starts, ends, hashes
 
     def best(self, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
-        """Sentences that have words like a landmark, and their best similarity per landmark."""
-        row, mark, value = marks.like(self.rows)
-        like = np.zeros((len(np.unique(row)), len(marks.words)), np.float32)
-        known, at = np.unique(row, return_inverse=True)
-        like[at, mark] = value
-        word = self.row_word[known]
-        have = np.full(int(self.word.max(initial=-1)) + 1, -1)
-        distinct, at = np.unique(word, return_inverse=True)
-        best = np.zeros((len(distinct), len(marks.words)), np.float32)
-        np.maximum.at(best, at, like)
+        """Sentences that have words that share a subsequence with a landmark, and their best similarity per landmark."""
+        known, like = marks.like(self.rows)
+        if not len(known):
+            return known, like
+        distinct, first = np.unique(self.row_word[known], return_index=True)
+        best = np.maximum.reduceat(like, first, axis=0)
+        have = np.full(int(self.word.max()) + 1, -1)
         have[distinct] = np.arange(len(distinct))
         hit = np.flatnonzero(have[self.word] >= 0)
-        sentence, at = np.unique(self.sentence[hit], return_inverse=True)
-        out = np.zeros((len(sentence), len(marks.words)), np.float32)
-        np.maximum.at(out, at, best[have[self.word[hit]]])
-        return sentence, out
+        sentence, first = np.unique(self.sentence[hit], return_index=True)
+        return sentence, np.maximum.reduceat(best[have[self.word[hit]]], first, axis=0)
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray):
@@ -249,7 +260,7 @@ class Model:
                 some = Sentences(piece, inner)
                 sentence, best = some.best(self.marks)
                 if len(sentence):
-                    np.maximum.at(out, first + some.text_of[sentence], best @ self.turn @ self.weights + self.bias)
+                    np.maximum.at(out, first + some.text_of[sentence], best**POWER @ self.turn @ self.weights + self.bias)
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -274,23 +285,35 @@ def _landmarks(texts: list[set[bytes]], toxic: np.ndarray, count: int) -> list[b
         if len(taken) == count:
             break
         known = Marks(taken)
-        if not taken or known.like(matrix([some[i]]))[2].max(initial=0) < 0.9:
+        if not taken or known.like(matrix([some[i]]))[1].max(initial=0) < 0.9:
             taken.append(some[i])
     return taken
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """A linear machine under the squared hinge loss, both classes weighing the same, by gradient descent with momentum."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """A linear machine under the squared hinge loss, both classes weighing the same, by Newton steps on the rows within the margin."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    rate = 0.5 / max((weight[:, None] * x * x).sum(axis=0).max() * x.shape[1] ** 0.5 + 1, 1)
-    vw, vb = np.zeros_like(w), 0.0
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    ridge = np.full(x.shape[1], 1e-4)
+    ridge[-1] = 1e-9
+
+    def loss(w):
+        return (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 0.5 * (ridge * w * w).sum()
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ w + b)) * weight * y
-        vw = 0.9 * vw + rate * (2 * x.T @ slack - 1e-4 * w)
-        vb = 0.9 * vb + rate * 2 * slack.sum()
-        w, b = w + vw, b + vb
-    return w, b
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        rows = x[inside] * weight[inside, None]
+        goal = np.linalg.solve(2 * rows.T @ x[inside] + np.diag(ridge), 2 * rows.T @ y[inside])
+        step = 1.0
+        while step > 1e-4 and loss(w + step * (goal - w)) > now:
+            step /= 2
+        w = w + step * (goal - w)
+        before, now = now, loss(w)
+        if before - now <= 1e-9:
+            break
+    return w[:-1], float(w[-1])
 
 
 def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model:
@@ -316,7 +339,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
     rows = matrix(marks.words)
     m = len(marks.words)
     a, b = np.divmod(np.arange(m * m), m)
-    own = (kernel(rows[a], marks.rows[b]) / (marks.norm[a] * marks.norm[b])).reshape(m, m).astype(float)
+    own = (kernel(rows[a], marks.rows[b]) / (marks.norm[a] * marks.norm[b])).reshape(m, m).astype(float) ** POWER
     value, vector = np.linalg.eigh((own + own.T) / 2)
     turn = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
     features, text = [], []
@@ -324,7 +347,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
         sentence, best = some.best(marks)
         features.append(best)
         text.append(first + some.text_of[sentence])
-    x, text = np.concatenate(features) @ turn, np.concatenate(text)
+    x, text = np.concatenate(features) ** POWER @ turn, np.concatenate(text)
     strength = closest = np.concatenate(features).max(axis=1, initial=0)
     # A toxic text is known by its worst sentence, which training itself has to find, and by those with a landmark
     # as it stands; all of a clean text's are clean.
@@ -335,7 +358,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
         positive = np.union1d(head[toxic[text[head]]], telling)
         negative = np.flatnonzero(~toxic[text])
         empty = np.zeros((max(1, int((~toxic).sum())), m))  # sentences of clean texts with no word like a landmark
-        rows = np.concatenate([x[positive], INSERTED * x[positive], x[negative], empty])
+        rows = np.concatenate([x[positive], INSERTED**POWER * x[positive], x[negative], empty])
         w, c = _svm(rows, np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative) + len(empty))]))
         strength = x @ w + c
     model.marks, model.turn, model.weights, model.bias = marks, turn, w, c

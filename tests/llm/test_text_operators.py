@@ -298,6 +298,22 @@ def test_subsequence_kernel():
         assert toxicity.kernel(toxicity.matrix([s]), toxicity.matrix([t]))[0] == pytest.approx(plain(s, t), rel=1e-5)
 
 
+def test_every_similarity_is_the_kernel():
+    """Masked, dropped, replaced and multiply inserted letters keep what the kernel gives them."""
+    marks = toxicity.Marks([b"stupid", b"loser", b"banana"])
+    spelled = [b"stpid", b"lser", b"loxer", b"sxtxuxpid", b"lxxoxxsxer", b"bandana", b"table", b"zzz", b"stupidstupidstupidstupid"]
+    rows = toxicity.matrix(spelled)
+    some, value = marks.like(rows)
+    dense = np.zeros((len(rows), 3), np.float32)
+    dense[some] = value
+    for i in range(len(rows)):
+        for m in range(3):
+            mark = marks.rows[[m]]
+            plain = toxicity.kernel(rows[[i]], mark)[0] / np.sqrt(toxicity.own_kernel(rows[[i]])[0] * toxicity.own_kernel(mark)[0] or 1)
+            assert dense[i, m] == pytest.approx(plain, abs=1e-5)
+    assert dense[0, 0] > 0.5 and dense[1, 1] > 0.5 and dense[3, 0] > 0.2
+
+
 def test_toxicity_odd_rows(spark):
     rows, labels = [], []
     rng = random.Random(5)
