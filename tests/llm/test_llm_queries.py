@@ -34,7 +34,7 @@ def test_matches_sql(spark, name):
 def test_all_are_registered():
     assert set(queries.queries()) < set(entry.queries())
     assert "pipeline" in entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 def test_language_held_out(spark):
