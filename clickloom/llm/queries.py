@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, periodic_runs, secret_scan, suffix_dedup, toxicity, warc
+from clickloom.llm import chat, cross_polytope, decontaminate, language_id, language_model, mixing, ngram_join, periodic_runs, secret_scan, suffix_dedup, token_alignment, toxicity, warc
 from clickloom.session import scratch_path
 
 
@@ -61,6 +61,10 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(_table(spark, sf, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.align_tokens(_table(spark, sf, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     docs = periodic_runs.repeat_tails(_table(spark, sf, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
@@ -72,5 +76,5 @@ def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_ngram_jaccard, op2_decontaminate, op3_mixing, op4_lm_scores, op5_warc, op6_toxicity, op7_suffix_dedup, op8_chat_format, op9_nearest, op10_language_id,
-             op12_periodic_runs, op13_secrets]
+             op11_token_alignment, op12_periodic_runs, op13_secrets]
     return {f.__name__: f for f in found}
