@@ -7,36 +7,49 @@ sequential rule per client, not a window function.
 
 All clients go one way, whatever their size:
 
-1. requests shrink to distinct instants per client, which are cut into chunks of
-   whole windows (``_chunk_instants``); most clients have one chunk;
-2. for each chunk of a client with several, all in parallel, ``_transfer_table``
+1. requests shrink to distinct instants per client; those of a client with very
+   many are cut into chunks of whole windows (``_large_clients``);
+2. for each chunk of such a client, all in parallel, ``_transfer_table``
    tabulates what any single accepted instant of the preceding window leads to
    at the chunk's end. The k-th accepted instant after several recorded ones is
    the latest of the k-th instants that each recorded one alone would lead to,
    because the step "next instant at or after a + window, and after the last
    accepted" is monotone; so the tables answer for every possible log;
-3. ``_entry_logs`` walks these tables per client, one chunk at a time, and finds
-   the real log at each chunk's start;
+3. neighbouring tables are composed into one, ``fan`` at a time, round by round,
+   until a client has no more than ``fan`` (``_compose``). The real log is then
+   found from the top down: at the start of each composed table, then at the
+   start of each table that it is made of (``_walk``). No task sees more than
+   ``fan`` tables of one client;
 4. each chunk is decided on its own from that log, and the answers are joined
    back to the requests. Only clients, instants and answers pass through Python.
+
+The log outlives a batch: ``rate_limit_after`` starts from the accepted instants
+of earlier batches and returns those that the next one needs.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clickloom.functions.timeutil import epoch_micros, floor_micros
+from clickloom.functions.timeutil import epoch_micros, floor_micros, from_epoch_micros
 from clickloom.schemas import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clickloom.session import materialize
 
 UNKNOWN_CLIENT = "unknown_client"
 #: Instants in a chunk, about; a chunk never ends within a window.
 CHUNK_ROWS = 4_000_000
+#: Tables of one client that a task takes at once.
+FAN = 64
+#: A client that was silent for so long is forgotten between batches.
+IDLE_SECONDS = 86_400
+
+LOG = "client_key string, accepted_at timestamp_ntz"
 
 
 def client_key(api_key: Column, ip: Column) -> Column:
@@ -69,24 +82,47 @@ def _recorded_before(instants: np.ndarray, log: np.ndarray, limit: int, window:
 
 
 def decide(instants: np.ndarray, log: np.ndarray, limit: int, window: int) -> np.ndarray:
-    """Allowed flag per request of one client; ``instants`` sorted, repeats allowed."""
+    """Allowed flag per request of one client; ``instants`` sorted, repeats allowed.
+
+    A request at the last recorded instant shares its record.
+    """
     distinct, first, which = np.unique(instants, return_index=True, return_inverse=True)
-    held = _recorded_before(distinct, log, limit, window)[which]
     repeat = np.ones(len(instants), dtype=np.int64)
+    if len(log) and len(distinct) and distinct[0] == log[-1]:
+        log, first = log[:-1], first[1:]
+    held = _recorded_before(distinct, log, limit, window)[which]
     repeat[first] = 0
     return held + repeat < limit
 
 
-def _transfer_table(before: np.ndarray, own: np.ndarray, limit: int, window: int) -> pd.DataFrame:
-    """Where each instant of the preceding window, accepted alone, leads.
+def log_after(instants: np.ndarray, log: np.ndarray, limit: int, window: int) -> np.ndarray:
+    """The last ``limit`` recorded instants, once ``instants`` (sorted, repeats allowed) are decided."""
+    distinct = np.unique(instants)
+    if len(log) and len(distinct) and distinct[0] == log[-1]:
+        log = log[:-1]
+    return np.concatenate([log, distinct[_accept(distinct, log, limit, window)]])[-limit:]
+
+
+class Table(NamedTuple):
+    """Where single accepted instants lead: ``entry``, the number ``steps`` of instants accepted after it, and the last of them.
+
+    ``tail`` (a row for each entry) ends with the last accepted instant and
+    holds the entry itself where it is long enough, -1 before that. The last
+    entry is the first own instant; it stands for "nothing recorded".
+    """
+
+    entry: np.ndarray
+    steps: np.ndarray
+    tail: np.ndarray
+
+
+def _transfer_table(before: np.ndarray, own: np.ndarray, limit: int, window: int, keep: int) -> Table:
+    """Where each instant of the preceding window, accepted alone, leads up to the chunk's end, with tails of ``keep``.
 
-    Rows: ``entry``, the number ``steps`` of instants accepted after it up to
-    the chunk's end, and the last ``2 * limit`` of them with the entry itself.
-    The first own instant is an entry too: it stands for "nothing recorded".
     Runs of entries with equal outcome give one row.
     """
     line = np.concatenate([before, own])
-    n, keep = len(line), 2 * limit
+    n = len(line)
     free_at = np.append(np.searchsorted(line, line + window), n)
     line = np.append(line, 0)
     at = np.arange(len(before) + 1)
@@ -107,35 +143,67 @@ def _transfer_table(before: np.ndarray, own: np.ndarray, limit: int, window: int
             order = np.arange(step - have, step) % keep
             tails[ended, keep - have:] = line[ring[order][:, ended]].T
         ring[step % keep] = at
-    new = np.ones(len(at), dtype=bool)
+    return _rows(line[: len(at)], steps, tails)
+
+
+def _rows(entries: np.ndarray, steps: np.ndarray, tails: np.ndarray) -> Table:
+    """A table with one row for each run of entries of equal outcome; the last entry stays apart."""
+    new = np.ones(len(entries), dtype=bool)
     new[1:-1] = (steps[1:-1] != steps[:-2]) | (tails[1:-1] != tails[:-2]).any(axis=1)
-    return pd.DataFrame(
-        {"entry": line[: len(at)][new], "steps": steps[new], "tail": list(tails[new])}
-    )
+    return Table(entries[new], steps[new], tails[new])
+
 
+def _advance(table: Table, logs: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each log (a row; sorted, -1 before shorter ones) leads: how many instants are accepted, and the last ``keep``.
 
-def _leave(table: pd.DataFrame, log: np.ndarray, limit: int) -> np.ndarray:
+    What the log itself holds counts to these when fewer are accepted. The
+    tails of ``table`` must be as long as ``keep`` and a log together.
+    """
+    entries, steps, tails = table
+    n, width = logs.shape
+    missing = (logs < 0).sum(axis=1)
+    rows = np.full((n, width + 1), len(entries) - 1)
+    rows[:, :width] = np.maximum(np.searchsorted(entries[:-1], logs, side="right") - 1, 0)
+    # Numbered from each log's first instant; the last column stands for the next one if nothing hinders it.
+    offset = np.arange(width + 1) - missing[:, None]
+    ends = np.where(offset >= 0, offset + steps[rows], np.iinfo(np.int64).max)
+    last = ends.min(axis=1)
+    own = np.append(logs, np.full((n, 1), -1), axis=1)
+    out = np.full((n, keep), -1, dtype=np.int64)
+    for back in range(keep):
+        index = (last - back)[:, None]
+        place = tails.shape[1] - 1 - (ends - index)
+        reached = (offset >= 0) & (index >= offset)
+        if (reached & (place < 0)).any():
+            raise ValueError("transfer table too short for this log")
+        value = np.where((index == offset) & (own >= 0), own, tails[rows, np.clip(place, 0, tails.shape[1] - 1)])
+        out[:, keep - 1 - back] = np.where(reached, value, -1).max(axis=1)
+    return last - (width - missing) + 1, out
+
+
+def _leave(table: Table, log: np.ndarray, limit: int) -> np.ndarray:
     """Last ``limit`` accepted instants at a chunk's end, given the log at its start."""
-    entries, steps = table["entry"].to_numpy(), table["steps"].to_numpy()
-    rows = np.append(np.searchsorted(entries[:-1], log, side="right") - 1, len(entries) - 1)
-    shift = np.arange(len(rows))
-    last = int((shift + steps[rows]).min())
-    out = np.full(limit, -1, dtype=np.int64)
-    for row, offset in zip(rows, shift):
-        tail = table["tail"].iloc[row]
-        ends = offset + int(steps[row])
-        for back in range(limit):
-            index = last - back
-            if index < offset:
-                break
-            place = len(tail) - 1 - (ends - index)
-            if place < 0:
-                raise ValueError("transfer table too short for this log")
-            value = log[offset] if index == offset and offset < len(log) else tail[place]
-            out[limit - 1 - back] = max(out[limit - 1 - back], value)
+    out = _advance(table, log[None, -limit:], limit)[1][0]
     return out[out >= 0]
 
 
+def _compose(tables: list[Table], starts: list[int], limit: int, window: int, keep: int) -> Table:
+    """One table for neighbouring ones: the entries of the first, their outcome at the end of the last."""
+    entries, steps, tails = tables[0]
+    tails = tails[:, -keep:]
+    for table, start in zip(tables[1:], starts[1:]):
+        logs = np.where(tails[:, -limit:] > start - window, tails[:, -limit:], -1)
+        more, out = _advance(table, logs, keep)
+        # Instants that have left the log are still among the last ones.
+        for back in range(1, keep):
+            short = np.flatnonzero(more == back)
+            out[short, : keep - back] = tails[short, back:]
+        none = more == 0
+        out[none] = tails[none]
+        steps, tails = steps + more, out
+    return _rows(entries, steps, tails)
+
+
 # -- frames ------------------------------------------------------------------------------
 
 
@@ -165,58 +233,114 @@ def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray, pd.DataFrame]]:
-    """Client, chunk, preceding instants and own rows of each chunk."""
-    keys = ["client_key", "_chunk"]
-    for frame in _whole_groups(frames, keys):
-        starts = _starts(frame, keys)
-        for begin, end in zip(starts, np.append(starts[1:], len(frame))):
-            part = frame.iloc[begin:end]
-            own = part["_own"].to_numpy()
-            yield part["client_key"].iloc[0], part["_chunk"].iloc[0], part["_us"].to_numpy()[~own], part[own]
+def _groups(frame: pd.DataFrame, keys: list[str]) -> Iterator[slice]:
+    starts = _starts(frame, keys)
+    for begin, end in zip(starts.tolist(), np.append(starts[1:], len(frame)).tolist()):
+        yield slice(begin, end)
 
 
-def _tabulate(limit: int, window: int):
+def _chunks(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, preceding instants and own ones of each chunk."""
+    own, us = frame["_own"].to_numpy(), frame["_us"].to_numpy()
+    for rows in _groups(frame, ["client_key", "_chunk"]):
+        at, mine = us[rows], own[rows]
+        yield rows.start, at[~mine], at[mine]
+
+
+def _as_frame(clients: list[str], chunks: list[int], tables: list[Table], starts: list[int]) -> pd.DataFrame:
+    sizes = [len(t.entry) for t in tables]
+    repeated = lambda x: np.repeat(np.array(x, dtype=np.int64), sizes)
+    return pd.DataFrame(
+        {
+            "client_key": np.repeat(np.array(clients, dtype=object), sizes), "_chunk": repeated(chunks),
+            "entry": np.concatenate([t.entry for t in tables]), "steps": np.concatenate([t.steps for t in tables]),
+            "tail": [row for t in tables for row in t.tail], "start": repeated(starts),
+        }
+    )
+
+
+def _read_tables(part: pd.DataFrame) -> tuple[list[int], list[Table], list[int]]:
+    """Numbers, tables and starts of the chunks in sorted rows."""
+    if part.empty:
+        return [], [], []
+    chunk, start, entry, steps = (part[c].to_numpy() for c in ("_chunk", "start", "entry", "steps"))
+    tail = np.stack(part["tail"].to_numpy())
+    edges = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+    rows = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+    return [int(chunk[r.start]) for r in rows], [Table(entry[r], steps[r], tail[r]) for r in rows], [int(start[r.start]) for r in rows]
+
+
+def _tabulate(limit: int, window: int, keep: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for client, chunk, before, own in _chunks(frames):
-            table = _transfer_table(before, own["_us"].to_numpy(), limit, window)
-            table.insert(0, "_chunk", chunk)
-            table.insert(0, "client_key", client)
-            yield table.assign(start=own["_start"].iloc[0])
+        for frame in _whole_groups(frames, ["client_key", "_chunk"]):
+            found = []
+            for row, before, own in _chunks(frame):
+                start = int(own[0]) // window * window
+                table = _transfer_table(before[(before > start - window) & (before < own[0])], own, limit, window, keep)
+                found.append((frame["client_key"].iat[row], frame["_chunk"].iat[row], table, start))
+            yield _as_frame(*map(list, zip(*found)))
+
+    return run
+
+
+def _compose_groups(limit: int, window: int, keep: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = ["client_key", "_group"]
+        for frame in _whole_groups(frames, keys):
+            found = []
+            for rows in _groups(frame, keys):
+                _, tables, starts = _read_tables(frame.iloc[rows])
+                table = _compose(tables, starts, limit, window, keep)
+                found.append((frame["client_key"].iat[rows.start], frame["_group"].iat[rows.start], table, starts[0]))
+            yield _as_frame(*map(list, zip(*found)))
 
     return run
 
 
 def _walk(limit: int, window: int):
+    """The log at each table's start, from that at the start of its group (``_known`` rows, which come first)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, log = None, np.empty(0, dtype=np.int64)
-        keys = ["client_key", "_chunk"]
+        keys = ["client_key", "_group"]
         for frame in _whole_groups(frames, keys):
-            starts = _starts(frame, keys)
-            for begin, end in zip(starts, np.append(starts[1:], len(frame))):
-                table = frame.iloc[begin:end]
-                if table["client_key"].iloc[0] != client:
-                    client, log = table["client_key"].iloc[0], log[:0]
-                log = log[log > table["start"].iloc[0] - window]
-                if len(log):
-                    yield pd.DataFrame(
-                        {"client_key": client, "_chunk": table["_chunk"].iloc[0], "_us": log}
-                    )
-                log = _leave(table, log, limit)
+            found = []
+            for rows in _groups(frame, keys):
+                part = frame.iloc[rows]
+                given = part["_known"].to_numpy()
+                log = part["entry"].to_numpy()[given][-limit:]
+                for chunk, table, start in zip(*_read_tables(part[~given])):
+                    log = log[log > start - window]
+                    found.append((part["client_key"].iat[0], chunk, log))
+                    # A table's last entry is its first own instant, which an earlier batch may have recorded.
+                    log = _leave(table, log[log < table.entry[-1]], limit)
+            sizes = [len(log) for _, _, log in found]
+            if sum(sizes):
+                clients, chunks, logs = zip(*found)
+                yield pd.DataFrame({
+                    "client_key": np.repeat(np.array(clients, dtype=object), sizes), "_chunk": np.repeat(np.array(chunks, dtype=np.int64), sizes),
+                    "_us": np.concatenate(logs),
+                })
 
     return run
 
 
 def _decide_chunks(limit: int, window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for client, _, log, own in _chunks(frames):
-            instants = own["_us"].to_numpy()
-            # Where no window has more than `limit` instants, all are recorded and no walk is needed.
-            if len(log) or (len(instants) > limit and (instants[limit:] - instants[:-limit] < window).any()):
-                held = _recorded_before(instants, log, limit, window)
-            else:
-                held = np.arange(len(instants)) - np.searchsorted(instants, instants - window, side="right")
-            yield pd.DataFrame({"client_key": client, "_us": instants, "_held": held})
+        for frame in _whole_groups(frames, ["client_key", "_chunk"]):
+            own = frame["_own"].to_numpy()
+            held, shared = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=bool)
+            for row, log, instants in _chunks(frame):
+                if not len(instants):
+                    continue
+                at = slice(row + len(log), row + len(log) + len(instants))
+                if len(log) and log[-1] == instants[0]:
+                    log, shared[at.start] = log[:-1], True
+                # Where no window has more than `limit` instants, all are recorded and no walk is needed.
+                if len(log) or (len(instants) > limit and (instants[limit:] - instants[:-limit] < window).any()):
+                    held[at] = _recorded_before(instants, log, limit, window)
+                else:
+                    held[at] = np.arange(len(instants)) - np.searchsorted(instants, instants - window, side="right")
+            yield pd.DataFrame({"client_key": frame["client_key"][own], "_us": frame["_us"][own], "_held": held[own], "_shared": shared[own]})
 
     return run
 
@@ -224,83 +348,93 @@ def _decide_chunks(limit: int, window: int):
 # -- tables ------------------------------------------------------------------------------
 
 
-def _chunk_instants(requests: DataFrame, window: int, chunk_rows: int) -> DataFrame:
-    """Distinct instants with their chunk, and again under the chunk they precede.
+def _span(window: int) -> Column:
+    return F.call_function("div", floor_micros(F.col("_us"), window), F.lit(window).cast("bigint"))
+
 
-    A chunk is a run of whole windows with about ``chunk_rows`` instants. The
-    window counted per client sees one row per window, however many requests.
+def _large_clients(asked: DataFrame, window: int, chunk_rows: int) -> DataFrame:
+    """The chunk of every window of a client with more than one, and the chunk that the window leads to.
+
+    A chunk is a run of whole windows with about ``chunk_rows`` requests. One
+    window pass sees a row per client and window, however many requests.
     """
-    span = F.call_function("div", floor_micros(F.col("_us"), window), F.lit(window).cast("bigint"))
-    instants = requests.select("client_key", "_us").distinct().withColumn("_span", span)
     by_client = Window.partitionBy("client_key").orderBy("_span")
+    upto = F.sum("_n").over(by_client)
     spans = (
-        instants.groupBy("client_key", "_span")
+        asked.groupBy("client_key", _span(window).alias("_span"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_chunk", F.floor((F.sum("_n").over(by_client) - F.col("_n")) / chunk_rows))
-        .withColumns(
-            {
-                "_next_span": F.lead("_span").over(by_client),
-                "_next_chunk": F.lead("_chunk").over(by_client),
-                "_several": F.max("_chunk").over(Window.partitionBy("client_key")) > 0,
-                "_start": F.min("_span").over(Window.partitionBy("client_key", "_chunk")) * window,
-            }
-        )
-        .withColumn(
-            "_leads_to",
-            F.when(
-                (F.col("_next_span") == F.col("_span") + 1) & (F.col("_next_chunk") != F.col("_chunk")),
-                F.col("_next_chunk"),
-            ),
-        )
-        .select("client_key", "_span", "_chunk", "_start", "_leads_to", "_several")
-    )
-    placed = instants.join(spans, ["client_key", "_span"])
-    places = F.array(
-        F.struct(F.col("_chunk").alias("chunk"), F.lit(True).alias("own")),
-        F.struct(F.col("_leads_to").alias("chunk"), F.lit(False).alias("own")),
-    )
-    # An instant exactly one window before a chunk has expired when it starts.
-    expired = F.col("_us") == F.col("_span") * window
-    return (
-        placed.withColumn("_place", F.explode(places))
-        .filter(F.col("_place.own") | (F.col("_place.chunk").isNotNull() & ~expired))
         .select(
-            "client_key", F.col("_place.chunk").alias("_chunk"), F.col("_place.own").alias("_own"),
-            "_us", "_start", "_several",
+            "client_key", "_span",
+            F.floor((upto - F.col("_n")) / chunk_rows).alias("_chunk"),
+            F.floor(upto / chunk_rows).alias("_next"),
+            F.lead("_span").over(by_client).alias("_next_span"),
+            F.sum("_n").over(by_client.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
         )
     )
+    leads_to = F.when((F.col("_next_span") == F.col("_span") + 1) & (F.col("_next") != F.col("_chunk")), F.col("_next"))
+    return spans.filter(F.col("_total") > chunk_rows).select("client_key", "_span", "_chunk", leads_to.alias("_leads_to"))
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
     return rows.repartition("client_key", "_chunk").sortWithinPartitions("client_key", "_chunk", "_own", "_us")
 
 
-def _entry_logs(chunked: DataFrame, limit: int, window: int) -> DataFrame:
-    tables = _in_chunks(chunked).mapInPandas(
-        _tabulate(limit, window),
-        "client_key string, _chunk bigint, entry bigint, steps bigint, tail array<bigint>, start bigint",
-    )
-    return (
-        tables.repartition("client_key")
-        .sortWithinPartitions("client_key", "_chunk", "entry")
-        .mapInPandas(_walk(limit, window), "client_key string, _chunk bigint, _us bigint")
-    )
-
-
-def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
-               id_col: str = "request_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``allowed`` to requests (``client_key``, ``requested_at``, ``id_col``).
-
-    Requests are decided in order of time, then id, then row; a request id that
-    occurs twice is two requests. A request without time cannot be placed and
-    gets a NULL ``allowed``; it uses no quota. ``chunk_rows`` changes how the
-    work is split and no decision. Memory: a task holds one chunk's instants
-    and, for a client with several chunks, ``4 * limit`` numbers for each
-    instant of one window.
-    """
-    if limit < 1:
-        return requests.withColumn("allowed", F.when(F.col("requested_at").isNotNull(), F.lit(False)))
-    window = int(window_seconds * 1_000_000)
+def _entry_logs(chunked: DataFrame, first: DataFrame, last_chunk: int, limit: int, window: int, fan: int) -> DataFrame:
+    """The log at the start of each chunk, up the tree of tables and down again."""
+    rounds, n = 0, last_chunk + 1
+    while n > fan:
+        rounds, n = rounds + 1, -(-n // fan)
+    schema = "client_key string, _chunk bigint, entry bigint, steps bigint, tail array<bigint>, start bigint"
+    group = F.call_function("div", F.col("_chunk"), F.lit(fan).cast("bigint"))
+    keep = (2 + rounds) * limit
+    levels = [materialize(_in_chunks(chunked).mapInPandas(_tabulate(limit, window, keep), schema), "limiter-tables")]
+    for _ in range(rounds):
+        keep -= limit
+        grouped = levels[-1].withColumn("_group", group).repartition("client_key", "_group")
+        above = grouped.sortWithinPartitions("client_key", "_group", "_chunk", "entry").mapInPandas(_compose_groups(limit, window, keep), schema)
+        levels.append(materialize(above, "limiter-tables"))
+    zero = F.lit(0).cast("bigint")
+    logs = first.select("client_key", zero.alias("_chunk"), "_us")
+    for level in reversed(levels):
+        known = logs.select(
+            "client_key", F.lit(-1).cast("bigint").alias("_chunk"), F.col("_us").alias("entry"), zero.alias("steps"), F.array().cast("array<bigint>").alias("tail"),
+            zero.alias("start"), F.col("_chunk").alias("_group"), F.lit(True).alias("_known"),
+        )
+        rows = level.withColumns({"_group": group, "_known": F.lit(False)}).unionByName(known)
+        ordered = rows.repartition("client_key", "_group").sortWithinPartitions("client_key", "_group", F.desc("_known"), "_chunk", "entry")
+        logs = ordered.mapInPandas(_walk(limit, window), "client_key string, _chunk bigint, _us bigint")
+    return logs
+
+
+def _held(asked: DataFrame, before: DataFrame, limit: int, window: int, chunk_rows: int, fan: int) -> DataFrame:
+    """``client_key``, ``_us``, the number ``_held`` of records in the window before it, and whether an earlier batch recorded it."""
+    large = _large_clients(asked, window, chunk_rows)
+    last_chunk = large.agg(F.max("_chunk")).first()[0]
+    instants = asked.select("client_key", "_us").distinct()
+    zero = F.lit(0).cast("bigint")
+    earlier = before.select("client_key", zero.alias("_chunk"), F.lit(False).alias("_own"), "_us")
+    if last_chunk is None:
+        own = instants.select("client_key", zero.alias("_chunk"), F.lit(True).alias("_own"), "_us")
+        rows = own.unionByName(earlier)
+    else:
+        large = materialize(large, "limiter-chunks")
+        placed = materialize(instants.withColumn("_span", _span(window)).join(large, ["client_key", "_span"], "left"), "limiter-instants")
+        own = placed.select("client_key", F.coalesce("_chunk", zero).alias("_chunk"), F.lit(True).alias("_own"), "_us")
+        # An instant exactly one window before a chunk has expired when it starts.
+        led = placed.filter(F.col("_leads_to").isNotNull() & (F.col("_us") != F.col("_span") * window))
+        led = led.select("client_key", F.col("_leads_to").alias("_chunk"), F.lit(False).alias("_own"), "_us")
+        clients = large.select("client_key").distinct()
+        of_large = own.join(clients, "client_key", "left_semi").unionByName(led)
+        first = earlier.join(clients, "client_key", "left_semi")
+        logs = _entry_logs(of_large.unionByName(first), first, last_chunk, limit, window, fan)
+        # The walk gives the first chunk of a large client its log too.
+        small = earlier.join(clients, "client_key", "left_anti")
+        rows = own.unionByName(small).unionByName(logs.withColumn("_own", F.lit(False)))
+    return _in_chunks(rows).mapInPandas(_decide_chunks(limit, window), "client_key string, _us bigint, _held bigint, _shared boolean")
+
+
+def _asked(requests: DataFrame, before: DataFrame) -> DataFrame:
+    """Requests with client, instant and a row number, written, so that a row keeps its number when it is read again."""
     asked = requests.withColumns(
         {
             "client_key": F.coalesce("client_key", F.lit(UNKNOWN_CLIENT)),
@@ -308,24 +442,79 @@ def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: flo
             "_row": F.monotonically_increasing_id(),
         }
     )
-    # Written, so that a row keeps its number when it is read again.
-    asked = materialize(asked, "limiter-requests")
-    chunked = materialize(_chunk_instants(asked.filter("_us IS NOT NULL"), window, chunk_rows), "limiter-instants")
-    logs = _entry_logs(chunked.filter("_several").drop("_several"), limit, window)
-    own = chunked.filter("_own").select("client_key", "_chunk", "_own", "_us")
-    held = _in_chunks(own.unionByName(logs.withColumn("_own", F.lit(False)))).mapInPandas(
-        _decide_chunks(limit, window), "client_key string, _us bigint, _held bigint"
-    )
+    latest = before.groupBy("client_key").agg(F.max("_us").alias("_latest"))
+    known = F.when(F.col("_us").isNotNull(), F.greatest("_us", "_latest"))
+    return materialize(asked.join(latest, "client_key", "left").withColumn("_us", known).drop("_latest"), "limiter-requests")
+
+
+def _answers(asked: DataFrame, held: DataFrame, limit: int, id_col: str, columns: list[str]) -> DataFrame:
     firsts = asked.filter("_us IS NOT NULL").groupBy("client_key", "_us").agg(F.min(F.struct(id_col, "_row"))["_row"].alias("_first"))
     decided = held.join(firsts, ["client_key", "_us"])
-    is_repeat = (F.col("_row") != F.col("_first")).cast("bigint")
+    is_repeat = (F.col("_shared") | (F.col("_row") != F.col("_first"))).cast("bigint")
     return (
         asked.join(decided, ["client_key", "_us"], "left")
         .withColumn("allowed", F.col("_held") + is_repeat < limit)
-        .select(*requests.columns, "allowed")
+        .select(*columns, "allowed")
     )
 
 
+def _none_allowed(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("allowed", F.when(F.col("requested_at").isNotNull(), F.lit(False)))
+
+
+def empty_log(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LOG)
+
+
+def rate_limit_after(requests: DataFrame, log: DataFrame | None, limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
+                     id_col: str = "request_id", chunk_rows: int = CHUNK_ROWS, fan: int = FAN,
+                     idle_seconds: float = IDLE_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(requests with ``allowed``, the log for the next batch), starting from an earlier batch's ``log``.
+
+    A log has at most ``limit`` accepted instants per client (``client_key``,
+    ``accepted_at``); a client whose last one is ``idle_seconds`` (a window at
+    least) before the batch's latest request leaves it. Batches come one after
+    the other: a request before its client's last accepted instant is decided as
+    of that instant, as a service does that goes by its own clock.
+    """
+    log = empty_log(requests.sparkSession) if log is None else log
+    if limit < 1:
+        return _none_allowed(requests), log
+    window = int(window_seconds * 1_000_000)
+    before = log.select("client_key", epoch_micros(F.col("accepted_at")).alias("_us"))
+    asked = _asked(requests, before)
+    timed = asked.filter("_us IS NOT NULL")
+    held = materialize(_held(timed, before, limit, window, chunk_rows, fan), "limiter-held")
+    accepted = held.filter(F.col("_held") < limit).select("client_key", "_us").union(before).distinct()
+    idle = int(max(idle_seconds, window_seconds) * 1_000_000)
+    as_of = timed.agg(F.max("_us")).first()[0] or 0
+    latest = accepted.groupBy("client_key").agg(F.max("_us").alias("_latest")).filter(F.col("_latest") > as_of - idle)
+    kept = accepted.join(latest, "client_key").filter(F.col("_us") > F.col("_latest") - window)
+    newest = F.row_number().over(Window.partitionBy("client_key").orderBy(F.desc("_us")))
+    kept = kept.withColumn("_n", newest).filter(F.col("_n") <= limit)
+    return _answers(asked, held, limit, id_col, requests.columns), kept.select("client_key", from_epoch_micros(F.col("_us")).alias("accepted_at"))
+
+
+def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: float = RATE_WINDOW_SECONDS,
+               id_col: str = "request_id", chunk_rows: int = CHUNK_ROWS, fan: int = FAN) -> DataFrame:
+    """Add ``allowed`` to requests (``client_key``, ``requested_at``, ``id_col``).
+
+    Requests are decided in order of time, then id, then row; a request id that
+    occurs twice is two requests. A request without time cannot be placed and
+    gets a NULL ``allowed``; it uses no quota. ``chunk_rows`` and ``fan`` change
+    how the work is split and no decision. Memory: a task holds one chunk's
+    instants and, for a client with several chunks, some ``4 * limit`` numbers
+    for each instant of one window, ``limit`` more for each round of composing.
+    """
+    if limit < 1:
+        return _none_allowed(requests)
+    window = int(window_seconds * 1_000_000)
+    before = empty_log(requests.sparkSession).select("client_key", epoch_micros(F.col("accepted_at")).alias("_us"))
+    asked = _asked(requests, before)
+    held = _held(asked.filter("_us IS NOT NULL"), before, limit, window, chunk_rows, fan)
+    return _answers(asked, held, limit, id_col, requests.columns)
+
+
 def limit_by_client(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("client_key").agg(
         F.count(F.lit(1)).alias("requests"),

@@ -49,7 +49,7 @@ def split_decisions(times, limit, window, target):
         before = instants[(spans == own_spans.min() - 1) & (instants > start - window)]
         log = log[log > start - window]
         held.update(zip(own.tolist(), M._recorded_before(own, log, limit, window).tolist()))
-        log = M._leave(M._transfer_table(before, own, limit, window), log, limit)
+        log = M._leave(M._transfer_table(before, own, limit, window, 2 * limit), log, limit)
     seen, out = set(), []
     for t in times:
         out.append(held[t] + (t in seen) < limit)
@@ -57,6 +57,49 @@ def split_decisions(times, limit, window, target):
     return out
 
 
+def composed_log(times, limit, window, target, fan):
+    """The log at the end, by tables composed in rounds."""
+    instants = np.unique(np.array(times, dtype=np.int64))
+    spans = instants // window
+    names, sizes = np.unique(spans, return_counts=True)
+    chunk_of = (np.cumsum(sizes) - sizes) // target
+    rounds, n = 0, len(names)
+    while n > 1:
+        rounds, n = rounds + 1, -(-n // fan)
+    keep, tables = (2 + rounds) * limit, []
+    for chunk in np.unique(chunk_of):
+        first = names[chunk_of == chunk].min()
+        own = instants[np.isin(spans, names[chunk_of == chunk])]
+        before = instants[(spans == first - 1) & (instants > (first - 1) * window)]
+        tables.append((M._transfer_table(before, own, limit, window, keep), int(first * window)))
+    while len(tables) > 1:
+        keep -= limit
+        groups = [tables[i : i + fan] for i in range(0, len(tables), fan)]
+        tables = [(M._compose([t for t, _ in g], [s for _, s in g], limit, window, keep), g[0][1]) for g in groups]
+    return M._leave(tables[0][0], np.empty(0, dtype=np.int64), limit)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 900), min_size=1, max_size=150), st.integers(1, 5), st.integers(1, 60), st.integers(1, 20), st.integers(2, 4))
+def test_composed_tables_equal_replay(times, limit, window, target, fan):
+    allowed = replay([(i, "c", t) for i, t in enumerate(sorted(times))], limit, window)
+    want = sorted({sorted(times)[i] for i in allowed})[-limit:]
+    assert composed_log(times, limit, window, target, fan).tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 600), min_size=1, max_size=80), st.integers(1, 5), st.integers(1, 60), st.integers(0, 80))
+def test_log_carried_over(times, limit, window, cut):
+    times = sorted(times)
+    allowed = replay([(i, "c", t) for i, t in enumerate(times)], limit, window)
+    log, got = np.empty(0, dtype=np.int64), []
+    for part in (times[:cut], times[cut:]):
+        part = np.array(part, dtype=np.int64)
+        got += M.decide(part, log, limit, window).tolist()
+        log = M.log_after(part, log, limit, window)
+    assert got == [i in allowed for i in range(len(times))]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.integers(0, 600), min_size=1, max_size=150), st.integers(1, 6), st.integers(1, 60), st.integers(1, 40))
 def test_split_equals_replay(times, limit, window, target):
@@ -95,6 +138,36 @@ def test_tables(spark, chunk_rows):
     assert run(spark, requests, 4, 700, chunk_rows=chunk_rows) == replay(requests, 4, 700)
 
 
+def test_thousands_of_chunks(spark):
+    """One client of 2,400 chunks, four tables of it in a task at most."""
+    rng = random.Random(3)
+    requests = [(i, "hot" if i % 4 else "cold", t) for i, t in enumerate(sorted(rng.randrange(60_000) for _ in range(12_000)))]
+    assert run(spark, requests, 2, 25, chunk_rows=3, fan=4) == replay(requests, 2, 25)
+
+
+@pytest.mark.parametrize("chunk_rows", [10**9, 40])
+def test_batches_with_a_log_equal_one_batch(spark, chunk_rows):
+    """Cut at equal instants too; the log is small, and an idle client leaves it."""
+    rng = random.Random(9)
+    times = sorted(rng.randrange(3_000) for _ in range(1_500))
+    requests = [(i, "hot" if i % 3 else f"c{i % 7}", t) for i, t in enumerate(times)]
+    requests = [(-1, "gone", 0), *requests]
+    log, allowed = None, set()
+    for part in (requests[:500], requests[500:503], requests[503:1100], requests[1100:]):
+        out, log = M.rate_limit_after(frame(spark, part), log, 3, 200 / 1e6, chunk_rows=chunk_rows, fan=3, idle_seconds=1_500 / 1e6)
+        allowed |= {r.request_id for r in out.collect() if r.allowed}
+    assert allowed == replay(requests, 3, 200)
+    kept = log.groupBy("client_key").count().collect()
+    assert all(r["count"] <= 3 for r in kept) and {r.client_key for r in kept} == {"hot", *(f"c{i}" for i in range(7))}
+
+
+def test_late_request_is_decided_as_of_the_log(spark):
+    log = M.rate_limit_after(frame(spark, [(1, "a", 100), (2, "a", 150)]), None, 3, 100 / 1e6)[1]
+    out, after = M.rate_limit_after(frame(spark, [(3, "a", 20), (4, "a", 160), (5, "a", 170)]), log, 3, 100 / 1e6)
+    assert {r.request_id: r.allowed for r in out.collect()} == {3: True, 4: True, 5: False}
+    assert after.count() == 3
+
+
 def test_null_client_and_zero_limit(spark):
     requests = [(0, None, 1), (1, None, 2), (2, "x", 3)]
     assert run(spark, requests, 1, 100) == {0, 2}
