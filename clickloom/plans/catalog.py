@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.operators import bloom, charts, clicks as C, limiter, links as L, metrics as M, reports as R
 from clickloom.operators import registration, resolve as V
 from clickloom.session import materialize, scratch_path
-from clickloom.sources import queue, tables, testdata as D
+from clickloom.sources import queue, registry as stored, tables, testdata as D
 from clickloom.streaming import ingest, limiter as stream_limiter, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,8 +233,7 @@ def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
         some.repartition(STREAM_FILES).write.mode("append").parquet(source)
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
     decided = stream_limiter.stream_rate_limit(stream, SPARSE_LIMIT, SPARSE_WINDOW)
-    writer = decided.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/table")
-    writer.format("parquet").trigger(availableNow=True).start().awaitTermination()
+    stream_limiter.start_rate_limit(decided, f"{out}/table", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema(decided.schema).parquet(f"{out}/table").select("request_id", "client_key", "allowed")
 
 
@@ -255,19 +254,34 @@ def registration_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("request_id", "client_key", "status", "id", "short_token", "short_url", "expires_at")
 
 
-def registration_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry after two batches in a row, the second with some unreadable expiries."""
-    requests, registry = D.link_requests(spark, sf), D.links(spark, sf)
+def _two_batches(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Registration requests in two batches, the second with some unreadable expiries."""
+    requests = D.link_requests(spark, sf)
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     late = requests.filter(F.col("requested_at") >= cut)
     late = late.withColumn("expires_text", F.when(F.col("request_id") % 9 == 0, F.lit("soon")).otherwise(F.col("expires_text")))
-    for batch in (requests.filter(F.col("requested_at") < cut), late):
-        _, registry = registration.register_batch(
-            registry, batch, BASE_URL, D.NAIVE_ZONE, limit=SPARSE_LIMIT, window_seconds=SPARSE_WINDOW)
-        registry = materialize(registry, "registry")
+    return [requests.filter(F.col("requested_at") < cut), late]
+
+
+def registration_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry after two batches in a row, under one limiter."""
+    registry, log = D.links(spark, sf), None
+    for batch in _two_batches(spark, sf):
+        _, registry, log = registration.register_batch(
+            registry, batch, BASE_URL, D.NAIVE_ZONE, log, limit=SPARSE_LIMIT, window_seconds=SPARSE_WINDOW)
+        registry, log = materialize(registry, "registry"), materialize(log, "limiter-log")
     return registry
 
 
+def registration_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored registry after two batches that only add to it, the first of them gathered."""
+    root = scratch_path(spark, "registration")
+    for batch_id, batch in enumerate(_two_batches(spark, sf)):
+        registration.run_batch(spark, root, batch_id, batch, BASE_URL, D.NAIVE_ZONE, limit=SPARSE_LIMIT, window_seconds=SPARSE_WINDOW)
+    stored.compact_registry(spark, f"{root}/links", 0)
+    return stored.read_registry(spark, f"{root}/links").select("id", "short_token", "long_url", "created_at", "expires_at")
+
+
 # -- metrics -----------------------------------------------------------------------------
 
 
@@ -447,6 +461,7 @@ def queries() -> dict[str, Query]:
         "request_rate_by_route": request_rate_by_route,
         # limiter, registration, live rollup
         "registration_merge": registration_merge,
+        "registration_stored": registration_stored,
         "rate_limit_decisions": rate_limit_decisions,
         "rate_limit_by_client": rate_limit_by_client,
         "rate_limit_hot_client": rate_limit_hot_client,

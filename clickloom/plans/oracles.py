@@ -150,6 +150,14 @@ walk AS (
         FROM walk w JOIN ordered o ON o.client_key = w.client_key AND o.rn = w.rn + 1))"""
 
 
+# Two batches under one limiter; the second one's requests with unreadable expiries are refused before it.
+READABLE = f"""{LINK_REQUESTS},
+readable AS (SELECT * FROM clean WHERE requested_at < timestamp '2024-01-15 00:00:00' OR request_id % 9 <> 0),
+{_limiter('readable', Q.SPARSE_LIMIT, Q.SPARSE_WINDOW)},
+made AS (SELECT c.*, row_number() OVER (ORDER BY c.requested_at, c.request_id) AS n
+    FROM readable c JOIN walk w ON c.request_id = w.request_id
+    WHERE allowed AND (long_url LIKE 'http://%' OR long_url LIKE 'https://%'))"""
+
 LIMITED_EVENTS = """asked AS (
   SELECT event_id AS request_id, user_id::VARCHAR AS client_key, ts AS requested_at FROM events)"""
 
@@ -430,16 +438,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT j.request_id, client_key, status, id, CASE WHEN id IS NOT NULL THEN {_token('id')} END AS short_token,
                    CASE WHEN id IS NOT NULL THEN '{Q.BASE_URL}api/v1/redirect/' || {_token('id')} END AS short_url, expires_at
             FROM judged j LEFT JOIN ids i ON j.request_id = i.request_id""",
-        "registration_merge": f"""WITH RECURSIVE {LINKS}, {LINK_REQUESTS},
-            batched AS (SELECT * EXCLUDE (client_key), (requested_at >= timestamp '2024-01-15 00:00:00') AS late,
-                client_key || CASE WHEN requested_at >= timestamp '2024-01-15 00:00:00' THEN ':late' ELSE '' END AS client_key
-                FROM clean WHERE requested_at < timestamp '2024-01-15 00:00:00' OR request_id % 9 <> 0),
-            {_limiter('batched', Q.SPARSE_LIMIT, Q.SPARSE_WINDOW)},
-            made AS (SELECT c.*, (SELECT max(id) FROM links) + row_number() OVER (ORDER BY c.requested_at, c.request_id) AS id
-                FROM batched c JOIN walk w ON c.request_id = w.request_id
-                WHERE allowed AND (long_url LIKE 'http://%' OR long_url LIKE 'https://%'))
+        "registration_merge": f"""WITH RECURSIVE {LINKS}, {READABLE}
             SELECT id, short_token, long_url, created_at, expires_at FROM links
-            UNION ALL SELECT id, {_token('id')}, long_url, requested_at, expires_at FROM made""",
+            UNION ALL SELECT n + (SELECT max(id) FROM links), {_token('n + (SELECT max(id) FROM links)')}, long_url, requested_at, expires_at FROM made""",
+        "registration_stored": f"""WITH RECURSIVE {READABLE}
+            SELECT n AS id, {_token('n')} AS short_token, long_url, requested_at AS created_at, expires_at FROM made""",
         "rollup_daily": f"WITH {CLICKS} {rollup}",
         "rollup_daily_stream": f"WITH {CLICKS} {rollup}",
         "timeline_from_rollup": f"WITH {CLICKS}, {TIMELINE} SELECT * FROM timeline",

@@ -20,15 +20,11 @@ from pyspark.sql.streaming import StreamingQuery
 from clickloom.operators.clicks import loadable, prepare
 from clickloom.operators.reports import rollup_daily
 from clickloom.schemas import CLICKS
+from clickloom.sources.batches import BATCH, read_batches, replace_batch, ungathered
 from clickloom.sources.queue import ingest_trigger
 from clickloom.sources.tables import with_month
 
-BATCH = T.StructField("batch_id", T.LongType(), True)
-
-
-def _replace(rows: DataFrame, path: str, batch_id: int, folders: list[str]) -> None:
-    """Write a batch's rows in the place of all that an earlier attempt wrote."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")
+STORED = T.StructType([*CLICKS.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()), BATCH])
 
 
 def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, checkpoint: str,
@@ -42,11 +38,11 @@ def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, ch
         prepared = prepare(batch, links()).persist()
         try:
             good = loadable(prepared).select(*CLICKS.fieldNames())
-            months = with_month(good).repartition("year", "month").sortWithinPartitions("year", "month", "short_token")
-            _replace(months, f"{out}/clicks", batch_id, ["year", "month"])
+            months = with_month(good).hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "short_token")
+            replace_batch(months, f"{out}/clicks", batch_id, ["year", "month"])
             dead = prepared.filter(F.col("reason").isNotNull()).select("body", "reason")
-            _replace(dead, f"{out}/dead_letters", batch_id, [])
-            _replace(rollup_daily(good), f"{out}/rollup", batch_id, [])
+            replace_batch(dead, f"{out}/dead_letters", batch_id, [])
+            replace_batch(rollup_daily(good), f"{out}/rollup", batch_id, [])
         finally:
             prepared.unpersist()
 
@@ -54,26 +50,8 @@ def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, ch
     return ingest_trigger(writer, available_now).start()
 
 
-def _upto(spark: SparkSession, path: str, column: str) -> int:
-    """The largest number among the folders ``column=n`` below ``path``, or -1."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return -1
-    names = [f.getPath().getName() for f in files.listStatus(folder) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return max((int(n.split("=")[1]) for n in names if n.startswith(f"{column}=")), default=-1)
-
-
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What is gathered, and the batches after it."""
-    done = _upto(spark, f"{path}_gathered", "batch_id")
-    fresh = spark.read.schema(schema).parquet(path).filter(F.col("batch_id") > done)
-    return fresh if done < 0 else spark.read.schema(schema).parquet(f"{path}_gathered").unionByName(fresh)
-
-
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    months = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
-    return _read(spark, f"{out}/clicks", T.StructType([*CLICKS.fields, *months, BATCH]))
+    return read_batches(spark, f"{out}/clicks", STORED)
 
 
 def read_dead_letters(spark: SparkSession, out: str) -> DataFrame:
@@ -94,7 +72,7 @@ ROLLUP = T.StructType(
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Current counts by link, day and country: the sum of what each batch added."""
-    return _read(spark, path, ROLLUP).groupBy("short_token", "day", "country").agg(F.sum("clicks").alias("clicks"))
+    return read_batches(spark, path, ROLLUP).groupBy("short_token", "day", "country").agg(F.sum("clicks").alias("clicks"))
 
 
 def compact(spark: SparkSession, out: str, upto: int) -> None:
@@ -104,18 +82,15 @@ def compact(spark: SparkSession, out: str, upto: int) -> None:
     run writes one folder named after its last batch, so it can be repeated;
     batches that may still be run again must not be included.
     """
-    clicks = read_ingested(spark, out)
-    done = _upto(spark, f"{out}/clicks_gathered", "batch_id")
-    if done < upto:
-        fresh = clicks.filter((F.col("batch_id") > done) & (F.col("batch_id") <= upto)).drop("batch_id")
-        fresh = fresh.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "short_token", "clicked_at")
-        _replace(fresh, f"{out}/clicks_gathered", upto, ["year", "month"])
+    fresh = ungathered(spark, f"{out}/clicks", STORED, upto)
+    if fresh is not None:
+        fresh = fresh.drop("batch_id").hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "short_token", "clicked_at")
+        replace_batch(fresh, f"{out}/clicks_gathered", upto, ["year", "month"])
     compact_rollup(spark, f"{out}/rollup", upto)
 
 
 def compact_rollup(spark: SparkSession, path: str, upto: int) -> None:
-    done = _upto(spark, f"{path}_gathered", "batch_id")
-    if done < upto:
-        fresh = _read(spark, path, ROLLUP).filter((F.col("batch_id") > done) & (F.col("batch_id") <= upto))
+    fresh = ungathered(spark, path, ROLLUP, upto)
+    if fresh is not None:
         fresh = fresh.groupBy("short_token", "day", "country").agg(F.sum("clicks").alias("clicks"))
-        _replace(fresh, f"{path}_gathered", upto, [])
+        replace_batch(fresh, f"{path}_gathered", upto, [])

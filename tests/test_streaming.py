@@ -1,11 +1,12 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 from clickloom.operators import clicks as C, reports as R
 from clickloom.session import scratch_path
 from clickloom.sources import queue, testdata as D
 from clickloom.streaming import ingest
-from clickloom.streaming.limiter import stream_rate_limit
+from clickloom.streaming.limiter import start_rate_limit, stream_rate_limit
 from test_limiter import replay
 
 SF = "/root/testdata/sf0.001"
@@ -80,19 +81,46 @@ def test_kafka_options_have_no_bound_by_default():
     assert queue.kafka_options("host:1", max_offsets=5)["maxOffsetsPerTrigger"] == "5"
 
 
+ASKED = "request_id bigint, client_key string, requested_at timestamp_ntz"
+
+
+def ask(spark, source, rows):
+    start = datetime(2024, 1, 1)
+    rows = [(i, c, None if t is None else start + timedelta(microseconds=t)) for i, c, t in rows]
+    spark.createDataFrame(rows, ASKED).coalesce(1).write.mode("append").parquet(source)
+
+
+def answer(spark, source, out, idle=3_600):
+    """One run over what has arrived, which must end by itself."""
+    decided = stream_rate_limit(spark.readStream.schema(ASKED).parquet(source), 3, 200 / 1e6, idle)
+    query = start_rate_limit(decided, out, f"{out}-ckpt", available_now=True)
+    assert query.awaitTermination(120)
+
+
 def test_stream_limiter_keeps_its_log(spark):
+    """Three runs from one checkpoint, cut between equal instants; requests without time are answered by NULL."""
     rng = random.Random(11)
-    start = datetime(2024, 1, 1)
     times = sorted(rng.randrange(5_000) for _ in range(600))
     requests = [(i, "hot" if i % 3 else "cold", t) for i, t in enumerate(times)]
     source, out = scratch_path(spark, "asked"), scratch_path(spark, "decided")
-    schema = "request_id bigint, client_key string, requested_at timestamp_ntz"
-    for part in (requests[:100], requests[100:350], requests[350:]):
-        rows = [(i, c, start + timedelta(microseconds=t)) for i, c, t in part]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        decided = stream_rate_limit(spark.readStream.schema(schema).parquet(source), 3, 200 / 1e6)
-        (decided.writeStream.outputMode("append").option("checkpointLocation", f"{out}-ckpt").format("parquet")
-         .option("path", out).trigger(availableNow=True).start().awaitTermination())
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", None)
+    for part in (requests[:100], [*requests[100:350], (1_000, "hot", None), (1_001, None, None)], requests[350:]):
+        ask(spark, source, part)
+        answer(spark, source, out)
     got = spark.read.parquet(out).collect()
-    assert len(got) == 600
+    assert len(got) == 602
     assert {r.request_id for r in got if r.allowed} == replay(requests, 3, 200)
+    assert {r.request_id for r in got if r.allowed is None} == {1_000, 1_001}
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", None) == before
+
+
+def test_stream_limiter_drops_idle_clients(spark):
+    source, out = scratch_path(spark, "asked"), scratch_path(spark, "decided")
+    ask(spark, source, [(1, "idle", 1), (2, "idle", 2), (3, "busy", 3)])
+    answer(spark, source, out, idle=1)
+    kept = lambda: spark.read.format("statestore").option("path", f"{out}-ckpt").option("stateVarName", "log").load()
+    assert {r.key.client_key for r in kept().select("key").collect()} == {"idle", "busy"}
+    time.sleep(2)
+    ask(spark, source, [(4, "busy", 500)])
+    answer(spark, source, out, idle=1)
+    assert {r.key.client_key for r in kept().select("key").collect()} == {"busy"}
