@@ -16,6 +16,8 @@ from clickloom.functions.timeutil import epoch_micros, floor_micros, from_epoch_
 from clickloom.operators.timeseries import previous_value, tick_after
 from clickloom.schemas import ROUTE_TEMPLATES
 
+LATENCY_BUCKETS = "http_request_duration_seconds_bucket"
+
 # Usual latency bucket bounds in seconds.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 
@@ -133,6 +135,26 @@ def hit_ratio(samples: DataFrame, metric: str = "cache_requests_total", window_s
     return found.select("at", (F.try_divide("hits", "lookups") * 100).alias("hit_ratio_pct"))
 
 
+def latency_quantiles_at(samples: DataFrame, quantiles: list[float], metric: str = LATENCY_BUCKETS, by: list[str] | None = None,
+                         window_seconds: int = 60, step_seconds: int = 60) -> DataFrame:
+    """Quantiles of the rates of scraped histogram buckets at each evaluation instant: ``by`` labels, ``at``, ``quantile``, ``value``.
+
+    Each bucket series (a label ``le`` beside the others) grows on its own, with
+    its own restarts. Growth is summed by bucket and step first, so what is
+    repeated under the instants of a window is a row per bucket and step,
+    however many series were scraped. Buckets of several series that restart
+    apart may fall with rising ``le``; the largest so far counts. An instant in
+    whose window nothing grew gives NULL.
+    """
+    by = by or []
+    grown = counter_increase(samples.filter(F.col("metric") == metric))
+    le = F.when(F.col("labels")["le"] == "+Inf", F.lit(inf)).otherwise(F.col("labels")["le"].try_cast("double"))
+    grown = grown.select(le.alias("le"), *(F.col("labels")[k].alias(k) for k in by), "ts", "increase").filter(F.col("le").isNotNull())
+    found = _at_ticks(grown, [*by, "le"], {"cum_count": F.col("increase")}, window_seconds, step_seconds)
+    rising = Window.partitionBy(*by, "at").orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
+    return histogram_quantile(found.withColumn("cum_count", F.max("cum_count").over(rising)), quantiles, [*by, "at"])
+
+
 def gauge_last(samples: DataFrame, metric: str, seconds: int) -> DataFrame:
     """Last value of each gauge series per interval (start inclusive)."""
     start = from_epoch_micros(floor_micros(epoch_micros(F.col("ts")), seconds * 1_000_000))

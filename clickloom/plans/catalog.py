@@ -300,6 +300,17 @@ def latency_quantiles_by_route(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 6))
 
 
+def latency_quantiles_1m(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles at every minute, from the growth of all bucket series within it."""
+    found = M.latency_quantiles_at(D.latency_samples(spark, sf), QUANTILES)
+    return found.withColumn("value", F.round("value", 6))
+
+
+def latency_quantiles_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    found = M.latency_quantiles_at(D.latency_samples(spark, sf), QUANTILES, by=["handler"], window_seconds=3_600, step_seconds=900)
+    return found.withColumn("value", F.round("value", 6))
+
+
 def counter_rate(spark: SparkSession, sf: str) -> DataFrame:
     found = M.counter_rate(D.metric_samples(spark, sf), "cache_requests_total")
     return found.withColumn("rate", F.round("rate", 6))
@@ -456,6 +467,8 @@ def queries() -> dict[str, Query]:
         "counter_rate_sliding": counter_rate_sliding,
         "latency_quantiles": latency_quantiles,
         "latency_quantiles_by_route": latency_quantiles_by_route,
+        "latency_quantiles_1m": latency_quantiles_1m,
+        "latency_quantiles_sliding": latency_quantiles_sliding,
         "hit_ratio": hit_ratio,
         "gauge_last": lambda spark, sf: M.gauge_last(D.metric_samples(spark, sf), "rabbitmq_queue_depth", GAUGE_SECONDS),
         "request_rate_by_route": request_rate_by_route,

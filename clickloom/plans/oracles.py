@@ -219,6 +219,27 @@ SELECT {lead}q AS quantile,
 FROM ranked GROUP BY {lead}q"""
 
 
+def _quantiles_at(keys: str, step_seconds: int, times: int) -> str:
+    """Quantiles per instant: growth of each bucket series in the ``times`` steps before it."""
+    lead = f"{keys}, " if keys else ""
+    return f"""WITH {HTTP}, bounds AS (SELECT unnest({BOUNDS}) AS le),
+ticked AS (SELECT method, handler, latency_s, ts >= timestamp '2024-01-15' AS restarted, {_tick('ts', 5)} AS tick FROM routed),
+counted AS (SELECT method, handler, restarted, tick, le, count(*) FILTER (WHERE latency_s <= le) AS n FROM ticked CROSS JOIN bounds GROUP BY ALL),
+scraped AS (SELECT *, sum(n) OVER (PARTITION BY method, handler, restarted, le ORDER BY tick) AS value FROM counted),
+before AS (SELECT *, lag(value) OVER (PARTITION BY method, handler, le ORDER BY tick, value) AS prior FROM scraped),
+steps AS (
+  SELECT {lead}le, {_tick('tick', step_seconds)} AS step, sum(coalesce(CASE WHEN value < prior THEN value ELSE value - prior END, 0)) AS n FROM before GROUP BY ALL),
+slid AS (SELECT {lead}le, step + to_seconds(k * {step_seconds}) AS moment, sum(n)::DOUBLE AS n FROM steps, range({times}) t(k) GROUP BY ALL),
+rising AS (SELECT {lead}moment, le, max(n) OVER (PARTITION BY {lead}moment ORDER BY le) AS cum FROM slid),
+edges AS (
+  SELECT *, coalesce(lag(le) OVER (PARTITION BY {lead}moment ORDER BY le), 0) AS low, coalesce(lag(cum) OVER (PARTITION BY {lead}moment ORDER BY le), 0) AS below,
+         max(cum) OVER (PARTITION BY {lead}moment) AS total FROM rising),
+ranked AS (SELECT *, q * total AS rank FROM edges, (SELECT unnest([0.95, 0.99]::DOUBLE[]) AS q) WHERE cum >= q * total)
+SELECT {lead}moment AS at, q AS quantile, round(arg_min_null(CASE WHEN total = 0 THEN NULL WHEN le = 'inf'::DOUBLE THEN low
+  ELSE low + (le - low) * (rank - below) / nullif(cum - below, 0) END, le), 6) AS value
+FROM ranked GROUP BY {lead}moment, q"""
+
+
 SAMPLES = """looked AS (
   SELECT CASE WHEN event_type IN ('click', 'view') THEN 'hit' ELSE 'miss' END AS result,
          ts >= timestamp '2024-01-15' AS restarted, event_id, ts, (props ->> '$.k')::DOUBLE AS depth,
@@ -410,6 +431,8 @@ def oracle_sql() -> dict[str, str]:
             round(sum(increase) / 3600, 6) AS rate FROM grown CROSS JOIN (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2""",
         "latency_quantiles": _quantiles(""),
         "latency_quantiles_by_route": _quantiles("handler"),
+        "latency_quantiles_1m": _quantiles_at("", 60, 1),
+        "latency_quantiles_sliding": _quantiles_at("handler", 900, 4),
         "hit_ratio": f"""WITH {SAMPLES} SELECT {_tick('ts', 3600)} AS at,
             round(sum(CASE WHEN result = 'hit' THEN increase ELSE 0 END) / nullif(sum(increase), 0) * 100, 6) AS hit_ratio_pct
             FROM grown GROUP BY 1""",

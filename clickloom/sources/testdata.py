@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clickloom.functions import base62
 from clickloom.functions.hashing import country_of
 from clickloom.functions.timeutil import epoch_micros, instant
+from clickloom.operators import metrics as M
 from clickloom.operators.timeseries import running_total, tick_after
 
 START = "2024-01-01 00:00:00"
@@ -266,3 +267,15 @@ def metric_samples(spark: SparkSession, sf_dir: str, scrape_seconds: int = 5) ->
         "value",
     )
     return counter.unionByName(gauge)
+
+
+def latency_samples(spark: SparkSession, sf_dir: str, scrape_seconds: int = 5) -> DataFrame:
+    """Scraped latency buckets by method and route: every bucket at each instant with new requests; all restart once."""
+    log = M.with_route(http_log(spark, sf_dir)).withColumns(
+        {"run": (F.col("ts") >= instant(COUNTER_RESET)).cast("int"), "tick": tick_after(F.col("ts"), scrape_seconds)}
+    )
+    per_tick = M.latency_histogram(log, ["method", "handler", "run", "tick"])
+    total = running_total(per_tick, ["method", "handler", "run", "le"], "tick", "cum_count", "total")
+    bound = F.when(F.col("le") == F.lit(float("inf")), F.lit("+Inf")).otherwise(F.col("le").cast("string"))
+    labels = F.create_map(F.lit("method"), F.col("method"), F.lit("handler"), F.col("handler"), F.lit("le"), bound)
+    return total.select(F.lit(M.LATENCY_BUCKETS).alias("metric"), labels.alias("labels"), F.col("tick").alias("ts"), F.col("total").cast("double").alias("value"))

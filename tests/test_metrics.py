@@ -95,3 +95,22 @@ def test_null_labels_and_equal_instants(spark):
         found = M.counter_rate(spark.createDataFrame(order, schema), "m", 60, 60).collect()
         assert {r["series"] for r in found} == {None, '{"a":"b"}'}
         assert {round(sum(r["rate"] * 60 for r in found if r["series"] == s)) for s in (None, '{"a":"b"}')} == {8}
+
+
+def test_quantiles_at_instants_with_restarts_apart(spark):
+    """Two series; one restarts between scrapes, one bucket of it seems to go on. Buckets never fall with rising bounds."""
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = []
+    for route, scrapes in {"a": [(5, (0, 4, 4)), (30, (2, 8, 10)), (70, (3, 9, 20)), (100, (4, 1, 5))], "b": [(10, (1, 1, 1)), (50, (1, 1, 1))]}.items():
+        rows += [("lat", {"route": route, "le": le}, t(s), float(v)) for s, counts in scrapes for le, v in zip(("0.1", "1.0", "+Inf"), counts)]
+    rows += [("lat", {"route": "a", "le": "odd"}, t(30), 9.0), ("lat", {"route": "a"}, t(30), 9.0), ("other", {"le": "0.1"}, t(30), 9.0)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp_ntz, value double")
+    got = {(r["at"], r["quantile"]): r["value"] for r in M.latency_quantiles_at(samples, [0.5, 1.0], "lat").collect()}
+    # Growth to the first minute: 2, 4 and 6; to the second: 1 + 1, 1 + 1 (restart) and 10 + 5 (restart).
+    assert got == {
+        (t(60), 0.5): pytest.approx(0.1 + 0.9 * (3 - 2) / (4 - 2)), (t(60), 1.0): pytest.approx(1.0),
+        (t(120), 0.5): pytest.approx(1.0), (t(120), 1.0): pytest.approx(1.0),
+    }
+    none = M.latency_quantiles_at(samples.filter("labels['route'] = 'b'"), [0.5], "lat").collect()
+    assert [(r["at"], r["value"]) for r in none] == [(t(60), None)]
+    assert M.latency_quantiles_at(samples.limit(0), [0.5], "lat").collect() == []
