@@ -23,7 +23,7 @@ from clickloom.llm.textbytes import BLOCK, SPACED, buffers, mix
 
 LANDMARKS = 64
 #: Labelled texts that the machine is trained on, at most about.
-SAMPLE = 3000
+SAMPLE = 6000
 ORDER, DECAY = 3, 0.6
 #: Bytes of a word that are compared at once; longer words are compared in overlapping stretches.
 WIDTH = 24
@@ -269,11 +269,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(data, offsets) + self.shift, -50, 50)))
 
 
-def _landmarks(texts: list[set[bytes]], toxic: np.ndarray, count: int) -> list[bytes]:
-    """Words that toxic texts have most significantly more often, none much like one taken before."""
+def _texts_with(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many toxic and how many other texts each word occurs, block by block."""
     inside, outside = Counter(), Counter()
-    for words, y in zip(texts, toxic):
-        (inside if y else outside).update(words)
+    last, held = -1, set()  # a long text comes in parts
+    for first, piece, inner in _blocks(data, offsets):
+        some = Sentences(piece, inner)
+        for t in np.unique(some.text).tolist():
+            here = np.zeros(int(some.word.max()) + 1, bool)
+            here[some.word[some.text == t]] = True
+            if first + t != last:
+                (inside if last >= 0 and toxic[last] else outside).update(held)
+                last, held = first + t, set()
+            held.update(bytes(r[r != 0]) for r in some.rows[here[some.row_word]])
+    (inside if last >= 0 and toxic[last] else outside).update(held)
+    return inside, outside
+
+
+def _landmarks(inside: Counter, outside: Counter, toxic: np.ndarray, count: int) -> list[bytes]:
+    """Words that toxic texts have most significantly more often, none much like one taken before."""
     n, m = toxic.sum(), (~toxic).sum()
     some = [w for w, k in inside.items() if k >= 2]
     k, l = np.array([inside[w] for w in some], float), np.array([outside[w] for w in some], float)
@@ -290,27 +304,40 @@ def _landmarks(texts: list[set[bytes]], toxic: np.ndarray, count: int) -> list[b
     return taken
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """A linear machine under the squared hinge loss, both classes weighing the same, by Newton steps on the rows within the margin."""
+def _svm(x: np.ndarray, of: np.ndarray, times: np.ndarray, y: np.ndarray, rounds: int = 60, block: int = 8192) -> tuple[np.ndarray, float]:
+    """A linear machine under the squared hinge loss, both classes weighing the same, by Newton steps on the rows within the margin.
+
+    The rows are ``times`` the rows ``of`` x, which are never copied as a whole.
+    """
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    ridge = np.full(x.shape[1], 1e-4)
+    width = x.shape[1] + 1
+    ridge = np.full(width, 1e-4)
     ridge[-1] = 1e-9
 
-    def loss(w):
-        return (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 0.5 * (ridge * w * w).sum()
+    def margin(w):
+        return y * (times * (x @ w[:-1])[of] + w[-1])
 
-    w = np.zeros(x.shape[1])
-    now = loss(w)
+    def loss(w, margins):
+        return (weight * np.maximum(0, 1 - margins) ** 2).sum() + 0.5 * (ridge * w * w).sum()
+
+    w = np.zeros(width)
+    margins = margin(w)
+    now = loss(w, margins)
     for _ in range(rounds):
-        inside = np.flatnonzero(y * (x @ w) < 1)
-        rows = x[inside] * weight[inside, None]
-        goal = np.linalg.solve(2 * rows.T @ x[inside] + np.diag(ridge), 2 * rows.T @ y[inside])
+        inside = np.flatnonzero(margins < 1)
+        square, goal = np.diag(ridge), np.zeros(width)
+        for lo in range(0, len(inside), block):
+            at = inside[lo : lo + block]
+            rows = np.append(times[at, None] * x[of[at]], np.ones((len(at), 1)), axis=1)
+            heavy = 2 * weight[at, None] * rows
+            square, goal = square + heavy.T @ rows, goal + heavy.T @ y[at]
+        goal = np.linalg.solve(square, goal)
         step = 1.0
-        while step > 1e-4 and loss(w + step * (goal - w)) > now:
+        while step > 1e-4 and loss(w + step * (goal - w), margin(w + step * (goal - w))) > now:
             step /= 2
         w = w + step * (goal - w)
-        before, now = now, loss(w)
+        margins = margin(w)
+        before, now = now, loss(w, margins)
         if before - now <= 1e-9:
             break
     return w[:-1], float(w[-1])
@@ -321,18 +348,8 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
     if not toxic.any() or toxic.all():
         return model
     data, offsets = buffers(texts)
-    words, bags = [set() for _ in range(len(toxic))], []
-    for first, piece, inner in _blocks(data, offsets):
-        some = Sentences(piece, inner)
-        bags.append((first, some))
-        spelled = [bytes(r[r != 0]) for r in some.rows]
-        of = np.unique(np.stack([some.text, some.word], 1), axis=0)
-        rows_of: dict[int, list[bytes]] = {}
-        for w, s in zip(some.row_word.tolist(), spelled):
-            rows_of.setdefault(w, []).append(s)
-        for t, w in of.tolist():
-            words[first + t].update(rows_of.get(w, ()))
-    marks = Marks(_landmarks(words, toxic, landmarks))
+    # The blocks are gone through twice, once for the landmarks and once for the sentences, so that one is held at a time.
+    marks = Marks(_landmarks(*_texts_with(data, offsets, toxic), toxic, landmarks))
     if not marks.words:
         return model
     own = np.array([[0.0]])
@@ -342,13 +359,17 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
     own = (kernel(rows[a], marks.rows[b]) / (marks.norm[a] * marks.norm[b])).reshape(m, m).astype(float) ** POWER
     value, vector = np.linalg.eigh((own + own.T) / 2)
     turn = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
-    features, text = [], []
-    for first, some in bags:
+    x, text, closest = [], [], []
+    for first, piece, inner in _blocks(data, offsets):
+        some = Sentences(piece, inner)
         sentence, best = some.best(marks)
-        features.append(best)
-        text.append(first + some.text_of[sentence])
-    x, text = np.concatenate(features) ** POWER @ turn, np.concatenate(text)
-    strength = closest = np.concatenate(features).max(axis=1, initial=0)
+        if len(sentence):
+            x.append(best**POWER @ turn)
+            text.append(first + some.text_of[sentence])
+            closest.append(best.max(axis=1, initial=0))
+    x, text = np.concatenate([*x, np.zeros((1, m))]), np.concatenate([np.zeros(0, np.int64), *text])
+    none = len(x) - 1  # the row of a sentence with no word like a landmark
+    strength = closest = np.concatenate([np.zeros(0, np.float32), *closest])
     # A toxic text is known by its worst sentence, which training itself has to find, and by those with a landmark
     # as it stands; all of a clean text's are clean.
     for _ in range(3):
@@ -357,10 +378,11 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = LANDMARKS) -> Mod
         telling = np.flatnonzero(toxic[text] & (closest >= CLOSE))
         positive = np.union1d(head[toxic[text[head]]], telling)
         negative = np.flatnonzero(~toxic[text])
-        empty = np.zeros((max(1, int((~toxic).sum())), m))  # sentences of clean texts with no word like a landmark
-        rows = np.concatenate([x[positive], INSERTED**POWER * x[positive], x[negative], empty])
-        w, c = _svm(rows, np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative) + len(empty))]))
-        strength = x @ w + c
+        empty = np.full(max(1, int((~toxic).sum())), none)
+        of = np.concatenate([positive, positive, negative, empty])
+        times = np.repeat([1.0, INSERTED**POWER, 1.0], [len(positive), len(positive), len(negative) + len(empty)])
+        w, c = _svm(x, of, times, np.repeat([1.0, -1.0], [2 * len(positive), len(negative) + len(empty)]))
+        strength = x[:none] @ w + c
     model.marks, model.turn, model.weights, model.bias = marks, turn, w, c
     worst = np.full(len(toxic), c)
     np.maximum.at(worst, text, strength)
