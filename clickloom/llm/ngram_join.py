@@ -33,8 +33,8 @@ from clickloom.session import materialize
 WORDS, NUM, DEN = 5, 4, 5
 #: Coordinates of the count vectors under the trees: a power of two about as large as the set, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
-#: Candidates of a set in another component that are looked at in the first of several rounds; each later round takes
-#: sixteen times as many, until none is left, as a set needs one link only to be connected.
+#: Candidates of a set in other components that each block names in the first round, as a set needs one link only to be
+#: connected; those of the few sets that had more are then all compared where they are found.
 FIRST_TRIES = 16
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
@@ -194,23 +194,26 @@ def _verify(words: int, num: int, den: int):
     return check
 
 
-def _vectors(words: int):
+def _vectors(words: int, whole: bool):
+    """The count vector of each set; with ``whole``, its hashes too."""
+
     def read(batches):
         for batch in batches:
             data, offsets = buffers(batch["text"])
             hashes, at = SPACED.hashes(data, offsets)
-            found = [_point(shingle_set(hashes[at[i] : at[i + 1]], words)) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays(
-                [batch["set_id"], batch["n_shingles"], pa.array(found, pa.binary())], names=["set_id", "n_shingles", "point"])
+            found = [shingle_set(hashes[at[i] : at[i + 1]], words) for i in range(len(batch))]
+            columns = [batch["set_id"], batch["n_shingles"], pa.array([_point(f) for f in found], pa.binary())]
+            names = ["set_id", "n_shingles", "point"]
+            yield pa.RecordBatch.from_arrays([*columns, X.blobs(found)] if whole else columns, names=[*names, "shingles"] if whole else names)
 
     return read
 
 
 def _tree_search(num: int, den: int, most: int):
     def search(table: pa.Table) -> pa.Table:
-        """For each block's askers the likeliest members of every other component, by the bound, ``most`` a component.
+        """For each block's askers the ``most`` likeliest members of other components, by the bound.
 
-        ``more`` says that an asker has further candidates in such a component.
+        ``more`` says that an asker has further candidates.
         """
         table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
         block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
@@ -226,12 +229,9 @@ def _tree_search(num: int, den: int, most: int):
                 for k in range(ask, hi):
                     hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
                     hit, bound = hit[comps[lo + hit] != comps[k]] + lo, bound[comps[lo + hit] != comps[k]]
-                    order = np.lexsort((names[hit], -bound, comps[hit]))
-                    hit = hit[order]
-                    head = np.flatnonzero(np.append(True, comps[hit][1:] != comps[hit][:-1])[: len(hit)])
-                    place = np.arange(len(hit)) - np.repeat(head, np.diff(np.append(head, len(hit))))
-                    more = bool((place >= most).any())
-                    for other in names[hit[place < most]].tolist():
+                    hit = hit[np.lexsort((names[hit], -bound))]
+                    more = len(hit) > most
+                    for other in names[hit[:most]].tolist():
                         key = (int(names[k]), other)
                         pairs[key] = pairs.get(key, False) or more
         a, b = zip(*pairs) if pairs else ((), ())
@@ -240,6 +240,45 @@ def _tree_search(num: int, den: int, most: int):
     return search
 
 
+def _tree_links(num: int, den: int):
+    def search(table: pa.Table) -> pa.Table:
+        """Links (a, b) that connect each block's askers with members of other components as far as any does: a forest."""
+        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
+        block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
+        edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
+        role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
+        point, sets = table["point"].to_pylist(), table["shingles"]
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                above[c] = above.get(up, up)
+                c = up
+            return c
+
+        linked = ([], [])
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
+            ask = lo + int(np.searchsorted(role[lo:hi], 1))
+            if not lo < ask < hi:
+                continue
+            points = _points(point[lo:hi])
+            tree = CountTree(points[: ask - lo], sizes[lo:ask])
+            for k in range(ask, hi):
+                hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
+                own = X.unblob(sets[k], U64)
+                for other in (hit + lo)[np.lexsort((names[lo + hit], -bound))].tolist():
+                    a, b = top(int(comps[k])), top(int(comps[other]))
+                    if a != b:
+                        need = -(-num * int(sizes[k] + sizes[other]) // (num + den))
+                        if len(np.intersect1d(own, X.unblob(sets[other], U64), assume_unique=True)) >= need:
+                            above[max(a, b)] = min(a, b)
+                            linked[0].append(int(names[k]))
+                            linked[1].append(int(names[other]))
+        return pa.table({"a": pa.array(linked[0], pa.int64()), "b": pa.array(linked[1], pa.int64())})
+
+    return search
+
+
 class _Join:
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, chunk_bytes: int, part_bytes: int, block: int) -> None:
         self.words, self.num, self.den, self.block = words, num, den, block
@@ -255,7 +294,8 @@ class _Join:
     def texts(self, names: DataFrame) -> DataFrame:
         """(set_id, n_shingles, text) of the named sets, one text each."""
         wanted = names.join(self.named, "set_id").select("rep.*", "set_id", "n_shingles")
-        return self.docs.join(wanted, ["doc_id", "text_id"]).select("set_id", "n_shingles", "text")
+        found = self.docs.join(wanted, ["doc_id", "text_id"]).select("set_id", "n_shingles", "text")
+        return found.dropDuplicates(["set_id"])  # a row may occur more than once
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links, by their texts; a star around one set is split among tasks."""
@@ -287,9 +327,10 @@ class _Join:
         return materialize(nodes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
 
     def rest(self, members: DataFrame, labels: DataFrame, most: int, askers: DataFrame | None) -> DataFrame:
-        """(asker, other, more): pairs of sets that share a bucket, are not connected yet and pass the bound.
+        """Sets that share a bucket, are not connected yet and pass the bound.
 
-        At first all ask that are not in their bucket's largest component, later those that had more candidates than ``most``.
+        At first all ask that are not in their bucket's largest component, and (asker, other, more) names ``most`` each.
+        Then ``askers``, those that had more, compare theirs in place, and the links (a, b) that connect them are returned.
         """
         known = labels.select(F.col("node").alias("set_id"), "component")
         if askers is not None:
@@ -306,16 +347,18 @@ class _Join:
             some = some.withColumn("asks", F.col("component") != F.col("main"))
         names = some.select("set_id").distinct()
         points = self.texts(names).select("set_id", "n_shingles", "text").mapInArrow(
-            _vectors(self.words), "set_id bigint, n_shingles bigint, point binary")
+            _vectors(self.words, askers is not None), "set_id bigint, n_shingles bigint, point binary" + (", shingles binary" if askers is not None else ""))
         some = materialize(some.join(points, "set_id"), "points")
         block = F.pmod(F.xxhash64("set_id"), "blocks")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         inside = some.withColumn("i", block).withColumn("j", every).withColumn("role", F.lit(0))
         asking = some.filter("asks").withColumn("j", block).withColumn("i", every).withColumn("role", F.lit(1))
         asked = some.filter("asks").select("bucket", block.alias("j")).distinct()
-        columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"]
+        columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"] + ["shingles"] * (askers is not None)
         both = inside.join(asked, ["bucket", "j"], "left_semi").select(columns).union(asking.select(columns))
         both = both.withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * self.parts)))
+        if askers is not None:
+            return materialize(both.groupBy("grp").applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint"), "links")
         found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den, most), "asker bigint, other bigint, more boolean")
         return materialize(found.groupBy("asker", "other").agg(F.max("more").alias("more")), "rest")
 
@@ -329,18 +372,17 @@ class _Join:
         buckets = stars.filter("bucket <> 0")
         members = buckets.select("bucket", F.col("member").alias("set_id")).union(buckets.select("bucket", F.col("first").alias("set_id")))
         members = materialize(members.distinct(), "members")
-        askers, most = None, FIRST_TRIES
-        while True:
-            found = self.rest(members, labels, most, askers)
-            pairs = found.select(F.least("asker", "other").alias("a"), F.greatest("asker", "other").alias("b")).distinct()
-            fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            if not fresh.isEmpty():
-                more = materialize(self.links(fresh), "links")
-                links, labels = links.union(more), self.labels(more, labels)
-            askers = found.filter("more").select(F.col("asker").alias("set_id")).distinct()
-            if askers.isEmpty():  # all that was left has been looked at
-                return self.describe(links, labels)
-            tried, most = tried.union(fresh), 16 * most
+        found = self.rest(members, labels, FIRST_TRIES, None)
+        pairs = found.select(F.least("asker", "other").alias("a"), F.greatest("asker", "other").alias("b")).distinct()
+        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        askers = found.filter("more").select(F.col("asker").alias("set_id")).distinct()
+        for more in (lambda: self.links(fresh), lambda: self.rest(members, labels, FIRST_TRIES, askers)):
+            new = materialize(more(), "links")
+            if not new.isEmpty():
+                links, labels = links.union(new), self.labels(new, labels)
+            if askers.isEmpty():  # all candidates have been looked at
+                break
+        return self.describe(links, labels)
 
     def describe(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         """Per document its component's smallest id and how many links between different sets were needed to find it."""
