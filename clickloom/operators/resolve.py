@@ -31,6 +31,12 @@ def resolve(requests: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def resolve_known(probed: DataFrame, links: DataFrame) -> DataFrame:
+    """``resolve`` for requests with a filter's answer ``maybe``: what was certainly never registered is 404 without a lookup."""
+    certain = probed.filter(~F.col("maybe")).withColumns({"status": F.lit(MISSING), "long_url": F.lit(None).cast("string")})
+    return resolve(probed.filter("maybe"), links).unionByName(certain).drop("maybe")
+
+
 def status_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("status").agg(F.count(F.lit(1)).alias("requests"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.operators import bloom, charts, clicks as C, limiter, links as L, metrics as M, reports as R
 from clickloom.operators import registration, resolve as V
 from clickloom.session import materialize, scratch_path
-from clickloom.sources import queue, registry as stored, tables, testdata as D
+from clickloom.sources import filters, queue, registry as stored, tables, testdata as D
 from clickloom.streaming import ingest, limiter as stream_limiter, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ HOT_CHUNK = 100
 INGEST_FILES = 3
 STREAM_FILES = 4
 SMALL_BLOOM = 4_000
+FIRST_LAYER, FILTER_RATE = 20, 0.02
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600
 
@@ -366,6 +367,16 @@ def bloom_fpr(spark: SparkSession, sf: str) -> DataFrame:
     return bloom.false_positives(probed, links)
 
 
+def resolve_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests resolved behind a stored filter that four batches of links have outgrown, one of them run twice."""
+    path, links = scratch_path(spark, "filter"), D.links(spark, sf)
+    for batch_id in (0, 1, 1, 2, 3):
+        filters.add_tokens(spark, path, batch_id, links.filter(F.col("id") % 4 == batch_id), FIRST_LAYER, FILTER_RATE)
+    filters.compact_filter(spark, path, 2)
+    stored = materialize(filters.read_filter(spark, path), "filter")
+    return V.resolve_known(filters.probe_layers(D.requests(spark, sf), stored), links).select("request_id", "short_token", "status", "long_url")
+
+
 def bloom_merge(spark: SparkSession, sf: str) -> DataFrame:
     links = D.links(spark, sf)
     stored = materialize(bloom.build(links.filter(F.col("id") % 2 == 0)), "bloom")
@@ -433,6 +444,7 @@ def queries() -> dict[str, Query]:
         "bloom_probe": bloom_probe,
         "bloom_fpr": bloom_fpr,
         "bloom_merge": bloom_merge,
+        "resolve_filtered": resolve_filtered,
         "links_merge": links_merge,
         # reports
         "total_links": _links(R.total_links),

@@ -364,6 +364,7 @@ def oracle_sql() -> dict[str, str]:
         "link_report_one": f"WITH {NESTED} SELECT * FROM nested WHERE short_token = '{Q.ONE_TOKEN}'",
         "click_constraint_violations": f"{ingested} SELECT event_id, short_token, reason FROM checked WHERE reason IS NOT NULL",
         "resolve_requests": f"WITH {RESOLVED} SELECT request_id, short_token, status, long_url FROM resolved",
+        "resolve_filtered": f"WITH {RESOLVED} SELECT request_id, short_token, status, long_url FROM resolved",
         "resolve_status_counts": f"WITH {RESOLVED} SELECT status, count(*) AS requests FROM resolved GROUP BY 1",
         "link_report_all": f"""WITH {LINKS}, {CLICKS}, per_link AS (
               SELECT short_token, count(*) AS total, count(*) FILTER (WHERE {RECENT}) AS recent,

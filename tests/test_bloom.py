@@ -4,6 +4,8 @@ import pytest
 
 from clickloom.operators import bloom
 from clickloom.schemas import BLOOM_SALTS
+from clickloom.session import scratch_path
+from clickloom.sources import filters
 
 
 def offsets(value, bits):
@@ -59,3 +61,36 @@ def test_size_for_a_rate():
     assert bloom.bits_for(1) == bloom.BUCKET_BITS
     bits = bloom.bits_for(100_000, 0.01)
     assert abs((1 - 2.718281828 ** (-3 * 100_000 / bits)) ** 3 - 0.01) < 0.0005
+
+
+def test_stored_filter_grows_and_survives_replays(spark):
+    """Ten times the planned tokens, each batch run twice: none is lost, and the rate of false positives holds."""
+    path, capacity, rate = scratch_path(spark, "filter"), 200, 0.02
+    tokens = lambda lo, hi: spark.range(lo, hi).selectExpr("concat('t', id) as short_token")
+    edges = [0, 150, 200, 201, 700, 2_000]
+    for batch_id, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        for _ in range(2):
+            more = tokens(lo, hi).union(tokens(0, 50)).union(spark.createDataFrame([(None,)], "short_token string"))
+            filters.add_tokens(spark, path, batch_id, more, capacity, rate)
+    before = sorted(map(str, filters.read_filter(spark, path).collect()))
+    assert len({r.layer for r in filters.read_filter(spark, path).select("layer").collect()}) > 2
+    for upto in (1, 1, 3):
+        filters.compact_filter(spark, path, upto)
+        assert sorted(map(str, filters.read_filter(spark, path).collect())) == before
+    with pytest.raises(ValueError):
+        filters.add_tokens(spark, path, 2, tokens(0, 1), capacity, rate)
+    probed = filters.probe_layers(tokens(0, 12_000).union(spark.createDataFrame([(None,)], "short_token string")), filters.read_filter(spark, path)).collect()
+    assert len(probed) == 12_001
+    maybe = {r.short_token: r.maybe for r in probed}
+    assert all(maybe[f"t{i}"] for i in range(2_000)) and not maybe[None]
+    assert sum(maybe[f"t{i}"] for i in range(2_000, 12_000)) <= 1.3 * rate * 10_000
+
+
+def test_empty_stored_filter(spark):
+    path = scratch_path(spark, "filter")
+    nothing = spark.createDataFrame([], "short_token string")
+    filters.add_tokens(spark, path, 0, nothing, 10)
+    one = spark.createDataFrame([("a",)], "short_token string")
+    assert [r.maybe for r in filters.probe_layers(one, filters.read_filter(spark, path)).collect()] == [False]
+    with pytest.raises(ValueError):
+        filters.add_tokens(spark, path, 3, one, 10)
