@@ -37,7 +37,7 @@ def read_filter(spark: SparkSession, path: str, before: int | None = None) -> Da
 
 def probe_layers(tokens: DataFrame, stored: DataFrame, token_col: str = "short_token") -> DataFrame:
     """Add ``maybe``: False means the token was certainly never added. NULL tokens never were."""
-    layers = sorted(row[0] for row in stored.select("layer").distinct().collect())  # log-many
+    layers = stored.agg(F.sort_array(F.collect_set("layer"))).first()[0]  # log-many
     found, names = tokens, [f"_maybe_{layer}" for layer in layers]
     for layer, name in zip(layers, names):
         found = bloom.probe(found, stored.filter(F.col("layer") == layer).drop("layer"), token_col).withColumnRenamed("maybe", name)

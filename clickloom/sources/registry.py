@@ -44,8 +44,9 @@ def read_link(spark: SparkSession, path: str, token: str, buckets: int = BUCKETS
 
 def append_links(spark: SparkSession, path: str, batch_id: int, incoming: DataFrame, buckets: int = BUCKETS) -> None:
     """Add the incoming links whose tokens are new, as batch ``batch_id``; a repeated run replaces it."""
-    hit = [row[0] for row in incoming.select(bucket_of(F.col("short_token"), buckets).alias("b")).distinct().collect()]  # at most ``buckets``
-    known = read_registry(spark, path, batch_id).filter(F.col("bucket").isin([b for b in hit if b is not None]))
+    token = F.when(F.col("short_token").isNotNull(), bucket_of(F.col("short_token"), buckets))
+    hit = incoming.agg(F.collect_set(token)).first()[0]  # at most ``buckets`` numbers
+    known = read_registry(spark, path, batch_id).filter(F.col("bucket").isin(hit))
     fresh = new_links(known.select("short_token"), incoming)
     _write(fresh.withColumn("bucket", bucket_of(F.col("short_token"), buckets)), path, batch_id)
 
