@@ -66,9 +66,11 @@ _BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), '
 _BASE32 = f"""array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + list_sum(list_transform(range(5), lambda j: CAST(substr({_BITS}, CAST(i * 5 + j + 1 AS INT), 1) AS INT) << CAST(4 - j AS INT)))::INT, 1)), '')"""
 OP5 = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages WHERE page_id IS NOT NULL)
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS k FROM pages)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
-  CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM p
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to FROM p
 """
 
 _ESCAPED = "text"

@@ -75,21 +75,37 @@ def _pages():
 def test_warc_round_trip(spark, least):
     pages = spark.createDataFrame(_pages(), "page_id bigint, url string, html string").selectExpr("*", "1 as payload", "2 as digest", "3 as size", "4 as first")
     path = scratch_path(spark, "warc")
-    found = {r["page_id"]: r for r in warc.archive(pages, path, least).collect()}
     import base64
     import hashlib
-
-    expected = {p: (h or "").encode() for p, _, h in _pages() if p is not None}
-    assert set(found) == set(expected)
-    for p, raw in expected.items():
-        first = min(q for q, other in expected.items() if other == raw)
-        revisit = len(raw) >= least and first != p
-        row = found[p]
-        assert (row["payload_bytes"], row["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-        assert (row["record_type"], row["refers_to"]) == (("revisit", first) if revisit else ("response", None))
-    restored = {r["page_id"]: (bytes(r["header"]), bytes(r["payload"])) for r in warc.restore(warc.read(spark, path)).collect()}
-    assert {p: raw for p, (_, raw) in restored.items()} == expected
-    assert all(head.startswith(b"WARC/1.1\r\nWARC-Type: ") for head, _ in restored.values())
+    from collections import Counter
+
+    found = warc.archive(pages, path, least).collect()
+    raw = [(p, (h or "").encode()) for p, _, h in _pages()]
+    firsts = {}
+    for p, body in raw:
+        firsts[body] = min((q for q, other in raw if other == body and q is not None), default=None)
+    expected, opened = Counter(), set()
+    for p, body in sorted(raw, key=lambda r: (r[0] is None, r[0] or 0)):
+        kind, first = "response", None
+        if len(body) >= least and body in opened:
+            kind, first = "revisit", firsts[body]
+        opened.add(body)
+        expected[p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), kind, first] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected
+    restored = warc.restore(warc.read(spark, path)).collect()
+    assert Counter((r.page_id, bytes(r.payload)) for r in restored) == Counter(raw)
+    assert all(bytes(r.header).startswith(b"WARC/1.1\r\nWARC-Type: ") for r in restored)
+    assert len({bytes(r.header).split(b"\r\n")[2] for r in restored}) == len(raw)
+
+
+def test_warc_stores_a_repeated_payload_once(spark):
+    """A row that is a third of the table, and as many rows without id, add headers only."""
+    pages = spark.range(600).selectExpr("if(id % 3 = 0, 1, if(id % 3 = 1, null, id)) as page_id", "if(id % 3 = 1, null, 'u') as url", "if(id % 3 = 2, concat('x', id), repeat('y', 20000)) as html")
+    path = scratch_path(spark, "warc")
+    kinds = warc.archive(pages, path).filter("payload_bytes > 100").groupBy("record_type").count().collect()
+    assert dict(map(tuple, kinds)) == {"response": 1, "revisit": 399}
+    stored = warc.read(spark, path).filter("payload is not null").selectExpr("sum(length(payload)) as n").first().n
+    assert stored < 20_000 + 200 * 10
 
 
 def test_warc_finds_damage(spark):
