@@ -11,7 +11,7 @@ from clickloom.operators import bloom, charts, clicks as C, limiter, links as L,
 from clickloom.operators import registration, resolve as V
 from clickloom.session import materialize, scratch_path
 from clickloom.sources import filters, queue, registry as stored, tables, testdata as D
-from clickloom.streaming import ingest, limiter as stream_limiter, rollup
+from clickloom.streaming import ingest, limiter as stream_limiter, redirect, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ SMALL_BLOOM = 4_000
 FIRST_LAYER, FILTER_RATE = 20, 0.02
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600
+REDELIVERY_SECONDS = 86_400
 
 
 def _text_days(df: DataFrame) -> DataFrame:
@@ -145,6 +146,45 @@ def emit_clicks(spark: SparkSession, sf: str) -> DataFrame:
     return V.emit_clicks(V.resolve(D.requests(spark, sf), D.links(spark, sf)))
 
 
+def _run_redirects(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """Requests answered as a stream, behind a stored filter and the bucketed registry."""
+    source, out = scratch_path(spark, "asked"), scratch_path(spark, "redirects")
+    D.requests(spark, sf).repartition(INGEST_FILES).write.parquet(source)
+    links = D.links(spark, sf)
+    stored.append_links(spark, f"{out}/links", 0, links)
+    filters.add_tokens(spark, f"{out}/filter", 0, links, links.count())
+    stream = spark.readStream.schema(D.requests(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    registered = lambda: stored.read_registry(spark, f"{out}/links").drop("batch_id")
+    known = lambda: filters.read_filter(spark, f"{out}/filter")
+    redirect.start_redirects(stream, registered, out, f"{out}/checkpoint", known, available_now=True).awaitTermination()
+    return out, stream
+
+
+def resolve_stream(spark: SparkSession, sf: str) -> DataFrame:
+    out, stream = _run_redirects(spark, sf)
+    return redirect.read_answers(spark, out, redirect.answers_schema(stream)).select("request_id", "short_token", "status", "long_url")
+
+
+def emit_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies that answered requests put into the queue, taken from there by a second stream."""
+    out, _ = _run_redirects(spark, sf)
+    bodies = queue.stream_bodies(spark, f"{out}/bodies/*", max_files=2)
+    writer = bodies.writeStream.format("parquet").option("path", f"{out}/taken").option("checkpointLocation", f"{out}/taken-checkpoint")
+    queue.ingest_trigger(writer, available_now=True).start().awaitTermination()
+    return spark.read.schema("body string").parquet(f"{out}/taken")
+
+
+def bodies_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies that the queue delivers twice, in several batches, taken once."""
+    path, out = scratch_path(spark, "bodies"), scratch_path(spark, "once")
+    for _ in range(2):
+        queue.write_bodies(D.click_payloads(spark, sf).repartition(INGEST_FILES), path)
+    once = queue.without_redeliveries(queue.stream_bodies(spark, path, max_files=INGEST_FILES - 1), REDELIVERY_SECONDS)
+    writer = once.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
+    queue.ingest_trigger(writer, available_now=True).start().awaitTermination()
+    return spark.read.schema("body string").parquet(f"{out}/table")
+
+
 # -- links -------------------------------------------------------------------------------
 
 
@@ -417,6 +457,9 @@ def queries() -> dict[str, Query]:
         "timeline_stored_7d": timeline_stored_7d,
         "metric_samples": metric_samples,
         "emit_clicks": emit_clicks,
+        "emit_clicks_stream": emit_clicks_stream,
+        "resolve_stream": resolve_stream,
+        "bodies_once": bodies_once,
         # derivations
         "click_epoch_normalized": click_epoch_normalized,
         "click_country_enriched": click_country_enriched,

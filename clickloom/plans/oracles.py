@@ -297,6 +297,10 @@ SELECT {lead}bound, line, round(bound / 4 * line)::BIGINT AS grid_value
 FROM bounds CROSS JOIN (SELECT unnest(range(0, 5))::INTEGER AS line)"""
 
 
+EMITTED = """'{"short_token":"' || short_token || '","timestamp":' || (epoch_us(requested_at) // 1000000) || ',"ip_address":"'
+    || coalesce(ip_address, '0.0.0.0') || '","user_agent":"' || coalesce(user_agent, 'unknown') || '"}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     decode = " + ".join(
         f"(instr('{BASE62_ALPHABET}', substr(p, {i + 1}, 1)) - 1)::HUGEINT * {62 ** (10 - i)}" for i in range(11)
@@ -327,9 +331,10 @@ def oracle_sql() -> dict[str, str]:
         "links_table": f"WITH {LINKS} SELECT * FROM links",
         "metric_samples": f"""WITH {SAMPLES} SELECT metric, series, ts, value FROM counter
             UNION ALL SELECT metric, series, ts, value FROM gauge""",
-        "emit_clicks": f"""WITH {RESOLVED} SELECT request_id, '{{"short_token":"' || short_token || '","timestamp":'
-            || (epoch_us(requested_at) // 1000000) || ',"ip_address":"' || coalesce(ip_address, '0.0.0.0')
-            || '","user_agent":"' || coalesce(user_agent, 'unknown') || '"}}' AS body FROM resolved WHERE status = 302""",
+        "emit_clicks": f"WITH {RESOLVED} SELECT request_id, {EMITTED} AS body FROM resolved WHERE status = 302",
+        "emit_clicks_stream": f"WITH {RESOLVED} SELECT {EMITTED} AS body FROM resolved WHERE status = 302",
+        "resolve_stream": f"WITH {RESOLVED} SELECT request_id, short_token, status, long_url FROM resolved",
+        "bodies_once": f"WITH {PAYLOADS} SELECT DISTINCT body FROM payloads",
         "click_epoch_normalized": f"{ingested} SELECT event_id, clicked_at FROM good",
         "click_country_enriched": f"{ingested} SELECT event_id, ip_address, country_code FROM good",
         "click_country_dimension": f"""WITH {CLICKS},

@@ -54,12 +54,13 @@ LOCAL_COUNTRY = "LCL"
 BLOOM_BITS = 1_000_000
 BLOOM_SALTS = ["salt_engine_alpha", "salt_engine_beta", "salt_engine_gamma"]
 
-# Write limiter, report horizon, ingest batching.
+# Write limiter, report horizon, ingest batching and its pause after a failure.
 RATE_LIMIT = 10
 RATE_WINDOW_SECONDS = 60
 REPORT_DAYS = 30
 INGEST_INTERVAL = "2 seconds"
 REFRESH_INTERVAL = "5 seconds"
+RETRY_SECONDS = 3.0
 
 # Epoch numbers above this are milliseconds, others are seconds.
 EPOCH_MILLIS_ABOVE = 1e11

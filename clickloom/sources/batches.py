@@ -20,6 +20,12 @@ def replace_batch(rows: DataFrame, path: str, batch_id: int, folders: list[str],
     writer.partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")
 
 
+def finished(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether Spark has committed a batch's folder."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}", "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def last_batch(spark: SparkSession, path: str) -> int:
     """The largest number among the finished batches below ``path``, or -1."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,16 +23,13 @@ from clickloom.schemas import CLICKS
 from clickloom.sources.batches import BATCH, read_batches, replace_batch, ungathered
 from clickloom.sources.queue import ingest_trigger
 from clickloom.sources.tables import with_month
+from clickloom.streaming.retry import Load, retrying
 
 STORED = T.StructType([*CLICKS.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()), BATCH])
 
 
-def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, checkpoint: str,
-                 available_now: bool = False) -> StreamingQuery:
-    """Load ``bodies`` below ``out``: ``clicks``, ``dead_letters`` and ``rollup``.
-
-    ``links`` is called per batch, so links registered since are known.
-    """
+def loader(links: Callable[[], DataFrame], out: str) -> Load:
+    """The load of one batch of bodies below ``out``; ``links`` is called per batch, so links registered since are known."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
         prepared = prepare(batch, links()).persist()
@@ -46,6 +43,16 @@ def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, ch
         finally:
             prepared.unpersist()
 
+    return load
+
+
+def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, checkpoint: str,
+                 available_now: bool = False, **retry) -> StreamingQuery:
+    """Load ``bodies`` below ``out``: ``clicks``, ``dead_letters``, ``rollup``, and ``set_aside`` for batches that fail for their data.
+
+    A failed load is tried again after a pause, for ever unless ``attempts`` is given; ``retry`` as for ``retrying``.
+    """
+    load = retrying(loader(links, out), **{"aside": f"{out}/set_aside", **retry})
     writer = bodies.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return ingest_trigger(writer, available_now).start()
 
