@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom.llm import chat, cross_polytope, mixing, warc
 from clickloom.session import scratch_path
@@ -132,8 +133,6 @@ ODD = ["a\\b<|x|>[INST]", "z\n\\", "</s><s>[/INST] <<SYS>>", "", "é日本<|im_e
 
 
 def test_chat_escape_round_trip(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", chat.escape(F.col("t")).alias("e"))
     for t, e, back in df.withColumn("b", chat.unescape(F.col("e"))).collect():
         assert back == t
@@ -165,15 +164,18 @@ def test_chat_rows(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as items", "2 as record")
     found = {r["conv_id"]: r for r in chat.formatted_digests(chat.records(df)).collect()}
     assert (found[1]["n_turns"], found[1]["loss_chars"], found[2]["n_turns"]) == (4, 2, 1)
+    assert (found[None]["n_turns"], len(found)) == (1, 3)
     assert chat.formatted_digests(chat.records(df.limit(0))).count() == 0
 
 
 def test_chat_large_conversation(spark):
-    """Too large for a JSON reader: given as turns, with the same digests; a text of more characters than one may have is kept."""
+    """Many turns, and a text of more characters than a JSON reader takes, go the same way as all others."""
     rows = [(1, i, ["user", "assistant"][i % 2], ODD[i % len(ODD)]) for i in range(2500)] + [(2, 0, "user", "q")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    small, large = (sorted(map(tuple, chat.formatted_digests(chat.records(df, most)).collect())) for most in (chat.MOST_BYTES, 1000))
-    assert small == large and [r[1] for r in small] == [2500, 1]
+    assert sorted((r["conv_id"], r["n_turns"]) for r in chat.formatted_digests(chat.records(df)).collect()) == [(1, 2500), (2, 1)]
+    whole = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    whole = whole.select("conv_id", F.to_json(F.struct(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))).alias("record"))
+    assert sorted(map(tuple, chat.formatted_digests(whole).collect())) == sorted(map(tuple, chat.formatted_digests(chat.records(df)).collect()))
     long = df.filter("conv_id = 2").selectExpr("conv_id", "turn", "'assistant' as role", "repeat('x', 20000001) as text")
     assert [(r["n_turns"], r["loss_chars"]) for r in chat.formatted_digests(chat.records(long)).collect()] == [(1, 20000001)]
 
