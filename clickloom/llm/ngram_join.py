@@ -389,14 +389,17 @@ class _Join:
         degree = links.select(F.col("a").alias("set_id")).union(links.select(F.col("b").alias("set_id"))).groupBy("set_id").agg(F.count("*").alias("n_links"))
         known = self.named.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
         known = known.withColumn("component", F.coalesce("component", "set_id"))
-        least = known.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
-        known = known.join(least, "component").join(degree, "set_id", "left").select("set_id", "component_id", "n_links", "copies")
+        least = known.groupBy("component").agg(F.min("rep").alias("least"))
+        known = known.join(least, "component").join(degree, "set_id", "left")
+        known = known.select("set_id", F.col("least.doc_id").alias("component_id"), F.col("least.text_id").alias("least_text"), "n_links", "copies")
         out = self.sets.join(known, "set_id", "left")
         alone = F.col("n_shingles") == 0
+        first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_id") == F.col("least_text"))
         return out.select(
-            "doc_id", "n_shingles",
+            "doc_id", "text_id", "n_shingles",
             F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(alone, 1).otherwise(F.coalesce("copies", F.lit(1))).alias("n_copies"),
+            (alone | F.col("doc_id").isNull() | first).alias("first"),
         )
 
 
@@ -406,10 +409,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
 
     Reads ``doc_id`` and ``text``; other columns play no part. A document's set
     holds its distinct runs of ``words`` words (blanks between, A-Z lowered),
-    all words as one if there are fewer. Per row: doc_id, n_shingles,
+    all words as one if there are fewer. Per row: doc_id, text_id (a hash of the text), n_shingles,
     component_id (the smallest doc_id reachable by links, its own included),
-    n_links (links of its set that were verified on the way) and n_copies
-    (documents with the same set). A null, empty or blank text has no set and
+    n_links (links of its set that were verified on the way), n_copies
+    (documents with the same set) and first (whether it is its class's document
+    with the smallest doc_id, or text_id among those of that id). A null, empty or blank text has no set and
     is linked with nothing. A row without id gets no component and links
     nothing. Rows with one id are documents of their own, with equal classes
     if their texts are linked. An empty table gives none.
@@ -419,3 +423,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     ``block`` members.
     """
     return _Join(docs, words, num, den, chunk_bytes, part_bytes, block).run()
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class, one row of its first document.
+
+    Rows are told apart by doc_id and text, so a row whose id another row has
+    too goes only for its own text; of rows that are equal in both one stays.
+    Rows without id, and with texts that have no word, all stay. ``options`` as for ``near_duplicates``.
+    """
+    rows = near_duplicates(docs, **options).groupBy("doc_id", "text_id").agg(
+        F.every(F.col("first")).alias("_first"), (F.count("*") > 1).alias("_repeated"), F.max("n_shingles").alias("_n"))
+    marked = rows.filter("doc_id is not null and _n > 0 and (not _first or _repeated)")
+    marked = materialize(marked.select(F.col("doc_id").alias("_marked_id"), F.col("text_id").alias("_marked_text"), "_first"), "marked")
+    same = (F.col("doc_id") == F.col("_marked_id")) & (F.xxhash64("text") == F.col("_marked_text"))
+    repeated = docs.join(marked.filter("_first").drop("_first"), same).dropDuplicates(["_marked_id", "_marked_text"])
+    return docs.join(marked.drop("_first"), same, "left_anti").union(repeated.select(docs.columns))

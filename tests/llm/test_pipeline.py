@@ -64,3 +64,15 @@ def test_stages_match_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     clean = {r["doc_id"] for r in stages["decontaminate"](spark, docs, SF).collect()}
     assert clean == {r[0] for r in hits(rows, items, 13) if not r[5]}
+
+
+def test_near_duplicates_go_row_by_row(spark):
+    """Rows that share an id go for their own text; repeated rows leave one; rows without id or words stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " end", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (2, near), (2, other), (3, other), (4, "alone"), (4, "alone"), (None, text), (None, text), (5, ""), (5, ""), (6, None), (7, "kept here"), (7, "and there")]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, source string").selectExpr("*", "1 as first", "2 as _first", "3 as text_id")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(1, text), (2, other), (4, "alone"), (None, text), (None, text), (5, ""), (5, ""), (6, None), (7, "kept here"), (7, "and there")], key=str)
