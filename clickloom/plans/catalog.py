@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickloom.operators import bloom, charts, clicks as C, limiter, links as L, metrics as M, reports as R
 from clickloom.operators import registration, resolve as V
 from clickloom.session import materialize, scratch_path
-from clickloom.sources import filters, queue, registry as stored, tables, testdata as D
-from clickloom.streaming import ingest, limiter as stream_limiter, redirect, rollup
+from clickloom.sources import filters, queue, registry as stored, tables, testdata as D, versions
+from clickloom.streaming import backlog, ingest, limiter as stream_limiter, redirect, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,7 @@ FIRST_LAYER, FILTER_RATE = 20, 0.02
 QUANTILES = [0.95, 0.99]
 GAUGE_SECONDS = 3_600
 REDELIVERY_SECONDS = 86_400
+DEPTH_EVENTS = 300
 
 
 def _text_days(df: DataFrame) -> DataFrame:
@@ -104,6 +105,17 @@ def ingest_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_dead_letters(spark, _run_ingest(spark, sf)).drop("batch_id")
 
 
+def queue_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue's depth after each batch of a run that takes one file at a time, oldest first."""
+    bodies, out, links = scratch_path(spark, "bodies"), scratch_path(spark, "ingest"), D.links(spark, sf)
+    payloads = D.click_payloads(spark, sf)
+    for part in range(INGEST_FILES):
+        queue.write_bodies(payloads.filter(F.least(F.call_function("div", F.col("event_id"), F.lit(DEPTH_EVENTS)), F.lit(INGEST_FILES - 1)) == part).coalesce(1), bodies)
+    stream = queue.stream_bodies(spark, bodies, max_files=1)
+    ingest.start_ingest(stream, lambda: links, out, f"{out}/checkpoint", available_now=True, queue=bodies).awaitTermination()
+    return backlog.read_samples(spark, f"{out}/samples").select("batch_id", "metric", M.series_key(F.col("labels")).alias("series"), "value")
+
+
 def partition_manifest(spark: SparkSession, sf: str) -> DataFrame:
     manifest = C.partition_manifest(D.clicks_over_months(spark, sf))
     return manifest.withColumns(
@@ -185,6 +197,16 @@ def bodies_once(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("body string").parquet(f"{out}/table")
 
 
+def clicks_purged(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table over several months, after two purges of which one was run twice."""
+    path, links = scratch_path(spark, "clicks"), D.links(spark, sf)
+    versions.create(D.clicks_over_months(spark, sf), path)
+    removed = _month_removed(links)
+    for version, odd in ((1, 0), (1, 0), (2, 1)):
+        versions.purge(spark, path, version, removed.filter(F.col("id") % 2 == odd))
+    return versions.read_version(spark, path).drop("generation")
+
+
 # -- links -------------------------------------------------------------------------------
 
 
@@ -460,6 +482,8 @@ def queries() -> dict[str, Query]:
         "emit_clicks_stream": emit_clicks_stream,
         "resolve_stream": resolve_stream,
         "bodies_once": bodies_once,
+        "queue_depth": queue_depth,
+        "clicks_purged": clicks_purged,
         # derivations
         "click_epoch_normalized": click_epoch_normalized,
         "click_country_enriched": click_country_enriched,

@@ -334,6 +334,13 @@ def oracle_sql() -> dict[str, str]:
         "emit_clicks": f"WITH {RESOLVED} SELECT request_id, {EMITTED} AS body FROM resolved WHERE status = 302",
         "emit_clicks_stream": f"WITH {RESOLVED} SELECT {EMITTED} AS body FROM resolved WHERE status = 302",
         "resolve_stream": f"WITH {RESOLVED} SELECT request_id, short_token, status, long_url FROM resolved",
+        "clicks_purged": f"""WITH {LINKS}, {CLICKS}, spread AS (SELECT * REPLACE ({SPREAD} AS clicked_at) FROM clicks)
+            SELECT short_token, clicked_at, ip_address, user_agent, country_code, year(clicked_at)::INTEGER AS year, month(clicked_at)::INTEGER AS month
+            FROM spread WHERE short_token NOT IN (SELECT short_token FROM links WHERE expires_at < timestamp '2024-01-15')""",
+        "queue_depth": f"""WITH {PAYLOADS}, parts AS (
+              SELECT part::BIGINT AS batch_id, (SELECT count(*) FROM payloads WHERE least(event_id // {Q.DEPTH_EVENTS}, {Q.INGEST_FILES - 1}) > part)::DOUBLE AS value
+              FROM range({Q.INGEST_FILES}) t(part))
+            SELECT batch_id, 'queue_depth' AS metric, '{{"queue":"link-clicks"}}' AS series, value FROM parts""",
         "bodies_once": f"WITH {PAYLOADS} SELECT DISTINCT body FROM payloads",
         "click_epoch_normalized": f"{ingested} SELECT event_id, clicked_at FROM good",
         "click_country_enriched": f"{ingested} SELECT event_id, ip_address, country_code FROM good",

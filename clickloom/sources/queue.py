@@ -10,8 +10,8 @@ from clickloom.schemas import INGEST_INTERVAL
 TOPIC = "link-clicks"
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """All bodies below ``path``, one per line: column ``body``."""
+def read_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All bodies below ``path``, or in some files, one per line: column ``body``."""
     return spark.read.text(path).select(F.col("value").alias("body"))
 
 

@@ -21,8 +21,9 @@ from clickloom.operators.clicks import loadable, prepare
 from clickloom.operators.reports import rollup_daily
 from clickloom.schemas import CLICKS
 from clickloom.sources.batches import BATCH, read_batches, replace_batch, ungathered
-from clickloom.sources.queue import ingest_trigger
+from clickloom.sources.queue import TOPIC, ingest_trigger
 from clickloom.sources.tables import with_month
+from clickloom.streaming.backlog import sampled
 from clickloom.streaming.retry import Load, retrying
 
 STORED = T.StructType([*CLICKS.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()), BATCH])
@@ -47,12 +48,16 @@ def loader(links: Callable[[], DataFrame], out: str) -> Load:
 
 
 def start_ingest(bodies: DataFrame, links: Callable[[], DataFrame], out: str, checkpoint: str,
-                 available_now: bool = False, **retry) -> StreamingQuery:
+                 available_now: bool = False, queue: str | None = None, **retry) -> StreamingQuery:
     """Load ``bodies`` below ``out``: ``clicks``, ``dead_letters``, ``rollup``, and ``set_aside`` for batches that fail for their data.
 
-    A failed load is tried again after a pause, for ever unless ``attempts`` is given; ``retry`` as for ``retrying``.
+    With ``queue``, the folder that the bodies come from, the number of bodies
+    still waiting there is sampled after each batch, to ``samples``. A failed load is tried again after a pause, for ever unless ``attempts`` is given; ``retry`` as for ``retrying``.
     """
-    load = retrying(loader(links, out), **{"aside": f"{out}/set_aside", **retry})
+    load = loader(links, out)
+    if queue:
+        load = sampled(load, queue, checkpoint, f"{out}/samples", TOPIC)
+    load = retrying(load, **{"aside": f"{out}/set_aside", **retry})
     writer = bodies.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return ingest_trigger(writer, available_now).start()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import clicks as C, resolve as V
 from clickloom.session import scratch_path
 from clickloom.sources import queue, testdata as D
-from clickloom.streaming import ingest, redirect, retry
+from clickloom.streaming import backlog, ingest, redirect, retry
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +111,22 @@ def test_bodies_that_come_twice(spark):
 
     assert run(["a", "a", "b", ""]) == ["", "a", "b"]
     assert run(["b", "c", "A", "a "]) == ["", "A", "a", "a ", "b", "c"]
+
+
+def test_depth_of_the_queue(spark):
+    """All bodies wait before a stream has begun; a stream that died in a batch has taken its files, and a new file waits."""
+    path, out = scratch_path(spark, "bodies"), scratch_path(spark, "out")
+    put = lambda rows: queue.write_bodies(spark.createDataFrame([(b,) for b in rows], "body string").coalesce(1), path)
+    put(["a", "b"])
+    assert backlog.queue_depth(spark, path, f"{out}/checkpoint") == 2
+
+    def failing():
+        raise ConnectionError("the registry is away")
+
+    with pytest.raises(StreamingQueryException):
+        _ingest(spark, path, failing, out, attempts=1).awaitTermination()
+    assert backlog.queue_depth(spark, path, f"{out}/checkpoint") == 0
+    put(["c"])
+    assert backlog.queue_depth(spark, path, f"{out}/checkpoint") == 1
+    _ingest(spark, path, lambda: D.links(spark, SF), out, queue=path).awaitTermination()
+    assert {r.batch_id: r.value for r in backlog.read_samples(spark, f"{out}/samples").collect()}[1] == 0.0
