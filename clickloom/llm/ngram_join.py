@@ -11,9 +11,10 @@ Every member of a bucket is compared with the bucket's first. Buckets whose
 members are not all connected by then get an R-tree over coarse count vectors,
 in which each member looks for partners of other components. A pair counts as
 candidate only while the sum of the smaller counts allows enough overlap, and
-as link when the sets themselves, built from the whole texts, say so. The
-likeliest candidates are looked at first; rounds go on until none is left
-between sets that are not connected.
+as link when the sets themselves, built from the whole texts, say so; this is
+verified where the candidates are found, the likeliest first, and only links
+that connect something leave the block. At first a set asks in one bucket, then
+what is still not connected asks in all.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ from clickloom.session import materialize
 WORDS, NUM, DEN = 5, 4, 5
 #: Coordinates of the count vectors under the trees: a power of two about as large as the set, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
-#: Candidates of a set in other components that each block names in the first round, as a set needs one link only to be
-#: connected; those of the few sets that had more are then all compared where they are found.
-FIRST_TRIES = 16
 #: Members of a bucket, or of a star around its first, that one task takes.
 BLOCK = 1024
+#: N-grams of the members of a block of a bucket, if these are long; a longer set is a block of its own or shares one.
+BLOCK_GRAMS = 1 << 20
+#: Bytes of hashes that a group of blocks gets on average.
+GROUP_BYTES = 8 << 20
+#: Candidates of a set that are verified in one step, the likeliest first.
+AT_ONCE = 32
 
 U64 = np.uint64
 
@@ -194,60 +198,31 @@ def _verify(words: int, num: int, den: int):
     return check
 
 
-def _vectors(words: int, whole: bool):
-    """The count vector of each set; with ``whole``, its hashes too."""
+def _vectors(words: int):
+    """The count vector and the hashes of each set."""
 
     def read(batches):
         for batch in batches:
-            data, offsets = buffers(batch["text"])
-            hashes, at = SPACED.hashes(data, offsets)
-            found = [shingle_set(hashes[at[i] : at[i + 1]], words) for i in range(len(batch))]
-            columns = [batch["set_id"], batch["n_shingles"], pa.array([_point(f) for f in found], pa.binary())]
-            names = ["set_id", "n_shingles", "point"]
-            yield pa.RecordBatch.from_arrays([*columns, X.blobs(found)] if whole else columns, names=[*names, "shingles"] if whole else names)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                data, offsets = buffers(part["text"])
+                hashes, at = SPACED.hashes(data, offsets)
+                found = [shingle_set(hashes[at[i] : at[i + 1]], words) for i in range(len(part))]
+                yield pa.RecordBatch.from_arrays([part["set_id"], pa.array([_point(f) for f in found], pa.binary()), X.blobs(found)], names=["set_id", "point", "shingles"])
 
     return read
 
 
-def _tree_search(num: int, den: int, most: int):
-    def search(table: pa.Table) -> pa.Table:
-        """For each block's askers the ``most`` likeliest members of other components, by the bound.
-
-        ``more`` says that an asker has further candidates.
-        """
-        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
-        block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
-        edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
-        role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
-        point = table["point"].to_pylist()
-        pairs: dict[tuple[int, int], bool] = {}  # (asker, other): whether the asker has more
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
-            ask = lo + int(np.searchsorted(role[lo:hi], 1))
-            if lo < ask < hi:
-                points = _points(point[lo:hi])
-                tree = CountTree(points[: ask - lo], sizes[lo:ask])
-                for k in range(ask, hi):
-                    hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
-                    hit, bound = hit[comps[lo + hit] != comps[k]] + lo, bound[comps[lo + hit] != comps[k]]
-                    hit = hit[np.lexsort((names[hit], -bound))]
-                    more = len(hit) > most
-                    for other in names[hit[:most]].tolist():
-                        key = (int(names[k]), other)
-                        pairs[key] = pairs.get(key, False) or more
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"asker": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "more": pa.array(list(pairs.values()), pa.bool_())})
-
-    return search
-
-
 def _tree_links(num: int, den: int):
     def search(table: pa.Table) -> pa.Table:
         """Links (a, b) that connect each block's askers with members of other components as far as any does: a forest."""
-        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending")])
+        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending"), ("set_id", "ascending")])
         block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
         edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
-        role, names, sizes, comps = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component"))
-        point, sets = table["point"].to_pylist(), table["shingles"]
+        role, names, sizes, comps, asks = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component", "asks"))
+        point = table["point"].to_pylist()
+        data, offsets = buffers(table["shingles"])
+        flat, at = np.ascontiguousarray(data).view(U64), offsets // 8
         above: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -263,17 +238,26 @@ def _tree_links(num: int, den: int):
                 continue
             points = _points(point[lo:hi])
             tree = CountTree(points[: ask - lo], sizes[lo:ask])
+            root = np.array([top(c) for c in comps[lo:hi].tolist()])
             for k in range(ask, hi):
                 hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
-                own = X.unblob(sets[k], U64)
-                for other in (hit + lo)[np.lexsort((names[lo + hit], -bound))].tolist():
-                    a, b = top(int(comps[k])), top(int(comps[other]))
-                    if a != b:
-                        need = -(-num * int(sizes[k] + sizes[other]) // (num + den))
-                        if len(np.intersect1d(own, X.unblob(sets[other], U64), assume_unique=True)) >= need:
+                once = ~asks[lo + hit] | (names[lo + hit] < names[k])  # of two askers one compares
+                hit, bound = hit[once], bound[once]
+                hit = hit[np.lexsort((names[lo + hit], -bound))]
+                own = flat[at[k] : at[k + 1]]
+                while len(hit := hit[root[hit] != root[k - lo]]):
+                    some, hit = hit[:AT_ONCE], hit[AT_ONCE:]
+                    theirs = [flat[at[lo + o] : at[lo + o + 1]] for o in some.tolist()]
+                    both = np.concatenate(theirs)
+                    same = own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both
+                    shared = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *map(len, theirs[:-1])]))
+                    for o in some[(num + den) * shared >= num * (sizes[lo + some] + sizes[k])].tolist():
+                        a, b = int(root[k - lo]), int(root[o])
+                        if a != b:
                             above[max(a, b)] = min(a, b)
+                            root[root == max(a, b)] = min(a, b)
                             linked[0].append(int(names[k]))
-                            linked[1].append(int(names[other]))
+                            linked[1].append(int(names[lo + o]))
         return pa.table({"a": pa.array(linked[0], pa.int64()), "b": pa.array(linked[1], pa.int64())})
 
     return search
@@ -326,41 +310,42 @@ class _Join:
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
         return materialize(nodes.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
 
-    def rest(self, members: DataFrame, labels: DataFrame, most: int, askers: DataFrame | None) -> DataFrame:
-        """Sets that share a bucket, are not connected yet and pass the bound.
+    def rest(self, members: DataFrame, labels: DataFrame, once: bool) -> DataFrame:
+        """Links (a, b) between sets that share a bucket and are not connected yet: as many as connect those that any do.
 
-        At first all ask that are not in their bucket's largest component, and (asker, other, more) names ``most`` each.
-        Then ``askers``, those that had more, compare theirs in place, and the links (a, b) that connect them are returned.
+        All ask that are not in their bucket's largest component; with ``once``, each in the largest such bucket only.
         """
         known = labels.select(F.col("node").alias("set_id"), "component")
-        if askers is not None:
-            members = members.join(members.join(askers, "set_id", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
         member = members.join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        if askers is not None:
-            member = member.join(askers.withColumn("asks", F.lit(True)), "set_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        member = materialize(member, "members")
+        member = materialize(member.join(self.named.select("set_id", "n_shingles"), "set_id"), "members")
         split = member.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         split = split.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
-        split = split.filter("parts > 1").withColumn("blocks", F.ceil(F.col("n") / self.block)).drop("parts", "n")
-        some = member.join(split, "bucket")
-        if askers is None:
-            some = some.withColumn("asks", F.col("component") != F.col("main"))
-        names = some.select("set_id").distinct()
-        points = self.texts(names).select("set_id", "n_shingles", "text").mapInArrow(
-            _vectors(self.words, askers is not None), "set_id bigint, n_shingles bigint, point binary" + (", shingles binary" if askers is not None else ""))
+        some = member.join(split.filter("parts > 1").drop("parts"), "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
+        if once:
+            own = some.filter("asks").groupBy("set_id").agg(F.max_by("bucket", F.struct("n", "bucket")).alias("own"))
+            some = some.join(own, "set_id", "left").withColumn("asks", F.col("asks") & (F.col("own") == F.col("bucket"))).drop("own")
+        some = materialize(some.drop("n"), "open")
+
+        def blocks(rows: str):
+            held = F.sum(F.when(F.expr(rows), F.col("n_shingles")))
+            return F.ceil(F.greatest(F.count_if(F.expr(rows)) / self.block, held / BLOCK_GRAMS, F.lit(1)))
+
+        bounds = some.groupBy("bucket").agg(
+            blocks("true").alias("blocks"), blocks("asks").alias("ask_blocks"),
+            F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("asks"), F.col("n_shingles")).otherwise(0)).alias("asking")).filter("asking > 0")
+        bounds = materialize(bounds, "bounds")
+        moved = bounds.agg(F.sum(F.expr("all * ask_blocks + asking * blocks"))).first()[0] or 0
+        groups = max(8, math.ceil(8 * moved / GROUP_BYTES))
+        some = some.join(bounds.select("bucket", "blocks", "ask_blocks"), "bucket")
+        points = self.texts(some.select("set_id").distinct()).select("set_id", "text").mapInArrow(_vectors(self.words), "set_id bigint, point binary, shingles binary")
         some = materialize(some.join(points, "set_id"), "points")
-        block = F.pmod(F.xxhash64("set_id"), "blocks")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        inside = some.withColumn("i", block).withColumn("j", every).withColumn("role", F.lit(0))
-        asking = some.filter("asks").withColumn("j", block).withColumn("i", every).withColumn("role", F.lit(1))
-        asked = some.filter("asks").select("bucket", block.alias("j")).distinct()
-        columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "point"] + ["shingles"] * (askers is not None)
-        both = inside.join(asked, ["bucket", "j"], "left_semi").select(columns).union(asking.select(columns))
-        both = both.withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(4 * self.parts)))
-        if askers is not None:
-            return materialize(both.groupBy("grp").applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint"), "links")
-        found = both.groupBy("grp").applyInArrow(_tree_search(self.num, self.den, most), "asker bigint, other bigint, more boolean")
-        return materialize(found.groupBy("asker", "other").agg(F.max("more").alias("more")), "rest")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = lambda n: F.pmod(F.xxhash64("set_id"), n)
+        inside = some.withColumn("i", dealt("blocks")).withColumn("j", every("ask_blocks")).withColumn("role", F.lit(0))
+        asking = some.filter("asks").withColumn("j", dealt("ask_blocks")).withColumn("i", every("blocks")).withColumn("role", F.lit(1))
+        columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "asks", "point", "shingles"]
+        both = inside.select(columns).union(asking.select(columns)).withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+        return both.groupBy("grp").applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
         dealt = X.chunked(self.docs.filter("doc_id is not null"), self.chunks)  # the sets of ``named`` and no others
@@ -372,16 +357,10 @@ class _Join:
         buckets = stars.filter("bucket <> 0")
         members = buckets.select("bucket", F.col("member").alias("set_id")).union(buckets.select("bucket", F.col("first").alias("set_id")))
         members = materialize(members.distinct(), "members")
-        found = self.rest(members, labels, FIRST_TRIES, None)
-        pairs = found.select(F.least("asker", "other").alias("a"), F.greatest("asker", "other").alias("b")).distinct()
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        askers = found.filter("more").select(F.col("asker").alias("set_id")).distinct()
-        for more in (lambda: self.links(fresh), lambda: self.rest(members, labels, FIRST_TRIES, askers)):
-            new = materialize(more(), "links")
+        for once in (True, False):  # a set needs one link only to be connected; few are left to ask everywhere
+            new = materialize(self.rest(members, labels, once), "links")
             if not new.isEmpty():
                 links, labels = links.union(new), self.labels(new, labels)
-            if askers.isEmpty():  # all candidates have been looked at
-                break
         return self.describe(links, labels)
 
     def describe(self, links: DataFrame, labels: DataFrame) -> DataFrame:

@@ -154,8 +154,10 @@ def test_ngram_join(spark, words, num, den, block):
 
 
 def test_ngram_join_in_many_rounds(spark, monkeypatch):
-    """A large group of near copies, of which few pairs are links, looked at one candidate a round."""
-    monkeypatch.setattr(ngram_join, "FIRST_TRIES", 1)
+    """A large group of near copies, of which few pairs are links, verified one by one, in small blocks."""
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 600)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", 2000)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -170,6 +172,31 @@ def test_ngram_join_in_many_rounds(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == expected
 
 
+def test_tree_links_are_a_forest():
+    """Each set of a large group asks; no more links leave the block than connect it."""
+    rng = np.random.default_rng(4)
+    grams = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    sets = [np.unique(np.append(grams[:200][rng.random(200) < 0.93], grams[rng.integers(200, 5000, 3)])) if i % 5 else np.unique(rng.choice(grams, 200)) for i in range(150)]
+    names = list(range(150))
+    rows = [(r, n) for n in names for r in (0, 1)]
+    table = pa.table({
+        "bucket": [1] * 300, "i": [0] * 300, "j": [0] * 300, "role": [r for r, _ in rows], "set_id": [n for _, n in rows], "n_shingles": [len(sets[n]) for _, n in rows],
+        "component": [n for _, n in rows], "asks": pa.array([True] * 300), "point": [ngram_join._point(sets[n]) for _, n in rows], "shingles": [sets[n].tobytes() for _, n in rows]})
+    found = ngram_join._tree_links(4, 5)(table).to_pylist()
+    alike = lambda a, b: 5 * len(both := set(a.tolist()) & set(b.tolist())) >= 4 * (len(a) + len(b) - len(both))
+    assert all(alike(sets[r["a"]], sets[r["b"]]) for r in found)
+    up = {n: n for n in names}
+
+    def top(n):
+        return n if up[n] == n else top(up[n])
+
+    for r in found:
+        assert top(r["a"]) != top(r["b"])  # none closes a circle
+        up[top(r["a"])] = top(r["b"])
+    assert len(found) > 20
+    assert not any(top(a) != top(b) and alike(sets[a], sets[b]) for a in names for b in names[:a])
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A b\tc d e"), (5, None), (6, ""), (7, "z")]
     found = ngram_join.near_duplicates(frame(spark, rows), 4, 85, 100).collect()
