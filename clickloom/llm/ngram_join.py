@@ -11,10 +11,11 @@ Every member of a bucket is compared with the bucket's first. Buckets whose
 members are not all connected by then get an R-tree over coarse count vectors,
 in which each member looks for partners of other components. A pair counts as
 candidate only while the sum of the smaller counts allows enough overlap, and
-as link when the sets themselves, built from the whole texts, say so; this is
-verified where the candidates are found, the likeliest first, and only links
-that connect something leave the block. At first a set asks in one bucket, then
-what is still not connected asks in all.
+as link when the sets themselves, built from the whole texts, say so; sets
+with a candidate in a block meet there once more with their hashes, the
+likeliest pairs are verified first, and only links that connect something leave
+the block. At first a set asks in one bucket, then what is still not connected
+asks in all.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ LEAST_GROUPS, MOST_GROUPS = 64, 8192
 BLOCK = 1024
 #: N-grams of the members of a block of a bucket, if these are long; a longer set is a block of its own or shares one.
 BLOCK_GRAMS = 1 << 20
-#: Bytes of hashes that a group of blocks gets on average.
+#: Bytes of counts or hashes that a group of blocks gets on average.
 GROUP_BYTES = 8 << 20
 #: Candidates of a set that are verified in one step, the likeliest first.
 AT_ONCE = 32
@@ -198,8 +199,8 @@ def _verify(words: int, num: int, den: int):
     return check
 
 
-def _vectors(words: int):
-    """The count vector and the hashes of each set."""
+def _vectors(words: int, whole: bool):
+    """The count vector of each set; with ``whole``, its hashes too."""
 
     def read(batches):
         for batch in batches:
@@ -208,19 +209,65 @@ def _vectors(words: int):
                 data, offsets = buffers(part["text"])
                 hashes, at = SPACED.hashes(data, offsets)
                 found = [shingle_set(hashes[at[i] : at[i + 1]], words) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([part["set_id"], pa.array([_point(f) for f in found], pa.binary()), X.blobs(found)], names=["set_id", "point", "shingles"])
+                columns, names = [part["set_id"], pa.array([_point(f) for f in found], pa.binary())], ["set_id", "point"]
+                yield pa.RecordBatch.from_arrays([*columns, X.blobs(found)] if whole else columns, names=[*names, "shingles"] if whole else names)
 
     return read
 
 
+PLACE = ["bucket", "i", "j", "role", "set_id"]
+
+
+def _blocks(table: pa.Table, num: int, den: int):
+    """The table by blocks; of each block with askers where it starts and a search: row -> candidates in the block, by the bound.
+
+    Of two askers only the one with the larger name finds the other.
+    """
+    table = table.sort_by([(c, "ascending") for c in PLACE])
+    block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
+    edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
+    role, names, sizes, asks = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "asks"))
+    point = table["point"].to_pylist()
+
+    def each():
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
+            ask = lo + int(np.searchsorted(role[lo:hi], 1))
+            if lo < ask < hi:
+                points = _points(point[lo:hi])
+                tree = CountTree(points[: ask - lo], sizes[lo:ask])
+
+                def search(k: int, lo=lo, points=points, tree=tree) -> np.ndarray:
+                    hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
+                    once = ~asks[lo + hit] | (names[lo + hit] < names[k])
+                    hit, bound = hit[once], bound[once]
+                    return hit[np.lexsort((names[lo + hit], -bound))]
+
+                yield lo, ask, hi, search
+
+    return table, each()
+
+
+def _tree_near(num: int, den: int):
+    def near(table: pa.Table) -> pa.Table:
+        """The rows whose set has a candidate of another component in its block, or is one."""
+        table, blocks = _blocks(table, num, den)
+        comps, kept = table["component"].to_numpy(), np.zeros(len(table), bool)
+        for lo, ask, hi, search in blocks:
+            for k in range(ask, hi):
+                hit = search(k) + lo
+                hit = hit[comps[hit] != comps[k]]
+                kept[hit] = True
+                kept[k] = len(hit) > 0
+        return table.filter(pa.array(kept)).select([*PLACE, "n_shingles", "component", "asks"])
+
+    return near
+
+
 def _tree_links(num: int, den: int):
     def search(table: pa.Table) -> pa.Table:
         """Links (a, b) that connect each block's askers with members of other components as far as any does: a forest."""
-        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("role", "ascending"), ("set_id", "ascending")])
-        block = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], 1)
-        edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1)))
-        role, names, sizes, comps, asks = (table[c].to_numpy() for c in ("role", "set_id", "n_shingles", "component", "asks"))
-        point = table["point"].to_pylist()
+        table, blocks = _blocks(table, num, den)
+        names, sizes, comps = (table[c].to_numpy() for c in ("set_id", "n_shingles", "component"))
         data, offsets = buffers(table["shingles"])
         flat, at = np.ascontiguousarray(data).view(U64), offsets // 8
         above: dict[int, int] = {}
@@ -232,18 +279,10 @@ def _tree_links(num: int, den: int):
             return c
 
         linked = ([], [])
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(table)]):
-            ask = lo + int(np.searchsorted(role[lo:hi], 1))
-            if not lo < ask < hi:
-                continue
-            points = _points(point[lo:hi])
-            tree = CountTree(points[: ask - lo], sizes[lo:ask])
+        for lo, ask, hi, search in blocks:
             root = np.array([top(c) for c in comps[lo:hi].tolist()])
             for k in range(ask, hi):
-                hit, bound = tree.search(points[k - lo], int(sizes[k]), num, den)
-                once = ~asks[lo + hit] | (names[lo + hit] < names[k])  # of two askers one compares
-                hit, bound = hit[once], bound[once]
-                hit = hit[np.lexsort((names[lo + hit], -bound))]
+                hit = search(k)
                 own = flat[at[k] : at[k + 1]]
                 while len(hit := hit[root[hit] != root[k - lo]]):
                     some, hit = hit[:AT_ONCE], hit[AT_ONCE:]
@@ -335,17 +374,22 @@ class _Join:
             F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("asks"), F.col("n_shingles")).otherwise(0)).alias("asking")).filter("asking > 0")
         bounds = materialize(bounds, "bounds")
         moved = bounds.agg(F.sum(F.expr("all * ask_blocks + asking * blocks"))).first()[0] or 0
-        groups = max(8, math.ceil(8 * moved / GROUP_BYTES))
         some = some.join(bounds.select("bucket", "blocks", "ask_blocks"), "bucket")
-        points = self.texts(some.select("set_id").distinct()).select("set_id", "text").mapInArrow(_vectors(self.words), "set_id bigint, point binary, shingles binary")
+        points = self.texts(some.select("set_id").distinct()).select("set_id", "text").mapInArrow(_vectors(self.words, False), "set_id bigint, point binary")
         some = materialize(some.join(points, "set_id"), "points")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = lambda n: F.pmod(F.xxhash64("set_id"), n)
         inside = some.withColumn("i", dealt("blocks")).withColumn("j", every("ask_blocks")).withColumn("role", F.lit(0))
         asking = some.filter("asks").withColumn("j", dealt("ask_blocks")).withColumn("i", every("blocks")).withColumn("role", F.lit(1))
-        columns = ["bucket", "i", "j", "role", "set_id", "n_shingles", "component", "asks", "point", "shingles"]
-        both = inside.select(columns).union(asking.select(columns)).withColumn("grp", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
-        return both.groupBy("grp").applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint")
+        columns = [*PLACE, "n_shingles", "component", "asks", "point"]
+        both = inside.select(columns).union(asking.select(columns))
+        grouped = lambda rows, moved: rows.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(8, math.ceil(moved / GROUP_BYTES)))))
+        near = grouped(both, 2 * moved).applyInArrow(_tree_near(self.num, self.den), "bucket bigint, i bigint, j bigint, role int, set_id bigint, n_shingles bigint, component bigint, asks boolean")
+        near = materialize(near, "near")
+        moved = 8 * (near.agg(F.sum("n_shingles")).first()[0] or 0)
+        whole = self.texts(near.select("set_id").distinct()).select("set_id", "text").mapInArrow(
+            _vectors(self.words, True), "set_id bigint, point binary, shingles binary")
+        return grouped(near.join(whole, "set_id"), moved).applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
         dealt = X.chunked(self.docs.filter("doc_id is not null"), self.chunks)  # the sets of ``named`` and no others
