@@ -64,12 +64,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _shape(record: Column) -> Column:
+    """A JSON record with "" for every string value: as small as its structure, and with the same fields and types."""
+    # An escaped quote or backslash becomes a delete character, so that quotes only stand at the ends of strings.
+    plain = F.regexp_replace(record, r'\\[\\"]', "\x7f")
+    return F.regexp_replace(plain, r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+
+
 def fingerprint(record: Column, strict: bool = False) -> Column:
     """The hash of a JSON record's nested field paths, lists as ``[]``; null if it is no object.
 
-    A record that cannot be read, or is too large to be, gives null as well, or an error if ``strict``.
+    A record that cannot be read gives null as well, or an error if ``strict``.
+    Its texts play no part and may be of any length.
     """
-    value = F.parse_json(record) if strict else F.try_parse_json(record)
+    value = F.parse_json(_shape(record)) if strict else F.try_parse_json(_shape(record))
     top = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
 
     def below(entry: Column) -> Column:
@@ -92,40 +100,38 @@ def canonical(records: DataFrame, layouts: list[Layout] = LAYOUTS, strict: bool
     """(conv_id, layout, turns) of JSON records (conv_id, record); turns are (role, text).
 
     A record whose fingerprint no layout has gets a null layout and null turns,
-    as does one that cannot be read, unless ``strict`` makes it an error. Records
-    that come with ``messages`` (role, text) show their fields in ``record``, and
-    the mapping of a layout of messages takes its turns from these.
+    as does one that cannot be read, unless ``strict`` makes it an error. The
+    texts of a record may be of any length.
     """
-    given = "messages" in records.columns
-    known = records.select("conv_id", "record", fingerprint(F.col("record"), strict).alias("fingerprint"), *(["messages"] if given else []))
-    value = F.parse_json(F.col("record"))
+    known = records.select("conv_id", "record", fingerprint(F.col("record"), strict).alias("fingerprint"))
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxStringLen": str(2**31 - 1)}
 
     def turn(role: Column, text: Column) -> Column:
         return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    def message(layout: Layout, role_field: str, text_field: str):
+    def message(layout: Layout):
         def found(m: Column) -> Column:
-            role = m[role_field]
+            role = m[layout.role]
             for name, stands_for in layout.roles:
-                role = F.when(m[role_field] == name, stands_for).otherwise(role)
-            return turn(role, m[text_field])
+                role = F.when(m[layout.role] == name, stands_for).otherwise(role)
+            return turn(role, m[layout.text])
 
         return found
 
     name = turns = None
     for layout in layouts:
-        if layout.messages and given:
-            found = F.transform("messages", message(layout, "role", "text"))
-        elif layout.messages:
-            items = F.variant_get(value, layout.messages, f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>")
-            found = F.transform(items, message(layout, layout.role, layout.text))
+        if layout.messages:
+            field = layout.messages.removeprefix("$.")
+            value = F.from_json("record", f"`{field}` array<struct<`{layout.role}`: string, `{layout.text}`: string>>", options)
+            found = F.transform(value[field], message(layout))
         else:
-            single = [turn(F.lit(role), F.variant_get(value, f"$.{field}", "string")) for role, field in layout.fields]
-            found = F.array(*single)
+            value = F.from_json("record", ", ".join([*(f"`{field}` string" for _, field in layout.fields), "_bad string"]), options)
+            found = F.when(value["_bad"].isNull(), F.array(*[turn(F.lit(role), value[field]) for role, field in layout.fields]))
         mine = F.col("fingerprint") == layout.fingerprint
         name = F.when(mine, layout.name) if name is None else name.when(mine, layout.name)
         turns = F.when(mine, found) if turns is None else turns.when(mine, found)
-    return known.select("conv_id", name.alias("layout"), turns.alias("turns"))
+    found = known.select("conv_id", name.alias("layout"), turns.alias("turns"))
+    return found.withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -175,20 +181,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record, messages): the rows (conv_id, turn, role, text) of each conversation, by turn, as (role, text).
-
-    ``record`` shows the fields of such a record in JSON, its first message
-    without role and text, so that conversations of any size go one way: JSON readers
-    refuse strings and records that are very long. Text and role that are null
-    are empty. A conversation is one row, so its rows meet in one task; rows with
-    equal turns are ordered by role and text. Rows without conv_id are one
-    conversation without id.
+    """(conv_id, record): the rows (conv_id, turn, role, text) of each conversation, by turn, as one JSON record of messages.
+
+    Text and role that are null are empty. A conversation is one row, so its
+    rows meet in one task; rows with equal turns are ordered by role and text.
+    Rows without conv_id are one conversation without id.
     """
-    item = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    item = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     listed = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    first = F.transform(F.slice("items", 1, 1), lambda _: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    messages = F.transform("items", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
-    return listed.select("conv_id", F.to_json(F.struct(first.alias("messages"))).alias("record"), messages.alias("messages"))
+    messages = F.transform("items", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return listed.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
 def formatted_digests(raw: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
@@ -197,7 +199,7 @@ def formatted_digests(raw: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFr
     Per record: conv_id, n_turns, turns_sha256 (of role, line end, text, line
     end of each turn), loss_chars and loss_sha256 (of all text under the mask,
     unescaped) and formatted_chars. A null record or one of no known layout has
-    nulls for all but conv_id; one that is no JSON or too large to be read is an
+    nulls for all but conv_id; one that is no JSON is an
     error. An empty list of messages has no fields and so no known layout. An
     empty table gives none.
     """

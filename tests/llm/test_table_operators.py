@@ -180,6 +180,24 @@ def test_chat_large_conversation(spark):
     assert [(r["n_turns"], r["loss_chars"]) for r in chat.formatted_digests(chat.records(long)).collect()] == [(1, 20000001)]
 
 
+def test_chat_turns_come_from_the_record(spark):
+    """What formatting gives follows from the records alone, however their texts look and however long they are."""
+    texts = [*ODD, '", "role": "x', '{"messages": [{"role": "a", "content": "b"}]}', 'a": "b', "\\\\\"", "\\u0041\x01\t", '"' * 3, ' : "']
+    df = spark.createDataFrame([(1, i, 'us"er:', t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string")
+    records = chat.records(df)
+    assert records.columns == ["conv_id", "record"]
+    found = chat.canonical(records, strict=True).first()
+    assert (found["layout"], [tuple(t) for t in found["turns"]]) == ("messages", [('us"er:', t) for t in texts])
+    assert json.loads(records.first()["record"])["messages"][9]["content"] == texts[9]
+    other = records.withColumn("record", F.replace("record", F.lit('"content"'), F.lit('"text"')))
+    assert chat.canonical(other).first()["layout"] is None
+    unread = spark.createDataFrame([(1, '{"prompt": "a\x01", "completion": "b"}')], "conv_id bigint, record string")
+    assert tuple(chat.canonical(unread).first()) == (1, None, None)
+    long = spark.range(1).selectExpr("1 as conv_id", "0 as turn", "'assistant' as role", "concat(repeat('x', 20000001), '\\\\\"') as text")
+    changed = chat.records(long).withColumn("record", F.replace("record", F.lit("assistant"), F.lit("user")))
+    assert [r["loss_chars"] for r in chat.formatted_digests(chat.records(long)).union(chat.formatted_digests(changed)).collect()] == [20_000_003, 0]
+
+
 def test_chat_unknown_layouts_are_kept(spark):
     raw = [(1, json.dumps({"prompt": "p", "completion": "c"})), (7, json.dumps({"foo": {"bar": 1}})), (8, None), (10, "[]"), (11, json.dumps({"messages": []}))]
     found = {r["conv_id"]: tuple(r)[1:] for r in chat.formatted_digests(spark.createDataFrame(raw, "conv_id bigint, record string")).collect()}
