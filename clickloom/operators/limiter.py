@@ -16,10 +16,10 @@ All clients go one way, whatever their size:
    because the step "next instant at or after a + window, and after the last
    accepted" is monotone; so the tables answer for every possible log;
 3. neighbouring tables are composed into one, ``fan`` at a time, round by round,
-   until a client has no more than ``fan`` (``_compose``). The real log is then
+   until a client has no more than ``fan`` (``_extend``). The real log is then
    found from the top down: at the start of each composed table, then at the
-   start of each table that it is made of (``_walk``). No task sees more than
-   ``fan`` tables of one client;
+   start of each table that it is made of (``_walk``). A task goes through no
+   more than ``fan`` tables of one client, and holds the composed one and the next;
 4. each chunk is decided on its own from that log, and the answers are joined
    back to the requests. Only clients, instants and answers pass through Python.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +47,8 @@ UNKNOWN_CLIENT = "unknown_client"
 CHUNK_ROWS = 4_000_000
 #: Tables of one client that a task takes at once.
 FAN = 64
+#: Entries of a table that are advanced, or handed to Spark, at once.
+ENTRIES = 10_000
 #: A client that was silent for so long is forgotten between batches.
 IDLE_SECONDS = 86_400
 
@@ -122,14 +125,22 @@ def _transfer_table(before: np.ndarray, own: np.ndarray, limit: int, window: int
     Runs of entries with equal outcome give one row.
     """
     line = np.concatenate([before, own])
-    n = len(line)
+    n, entries = len(line), len(before) + 1
     free_at = np.append(np.searchsorted(line, line + window), n)
     line = np.append(line, 0)
-    at = np.arange(len(before) + 1)
+    steps = np.full(entries, -1)
+    tails = np.full((entries, keep), -1, dtype=np.int64)
+    for lo in range(0, entries, ENTRIES):
+        at = np.arange(lo, min(lo + ENTRIES, entries))
+        _follow(at, line, free_at, limit, steps[lo : lo + ENTRIES], tails[lo : lo + ENTRIES])
+    return _rows(line[:entries], steps, tails)
+
+
+def _follow(at: np.ndarray, line: np.ndarray, free_at: np.ndarray, limit: int, steps: np.ndarray, tails: np.ndarray) -> None:
+    """Fill ``steps`` and ``tails`` for entries at these positions of ``line``."""
+    n, keep = len(line) - 1, tails.shape[1]
     ring = np.full((keep, len(at)), n)
     ring[0] = at
-    steps = np.full(len(at), -1)
-    tails = np.full((len(at), keep), -1, dtype=np.int64)
     step = 0
     while (steps < 0).any():
         step += 1
@@ -143,7 +154,6 @@ def _transfer_table(before: np.ndarray, own: np.ndarray, limit: int, window: int
             order = np.arange(step - have, step) % keep
             tails[ended, keep - have:] = line[ring[order][:, ended]].T
         ring[step % keep] = at
-    return _rows(line[: len(at)], steps, tails)
 
 
 def _rows(entries: np.ndarray, steps: np.ndarray, tails: np.ndarray) -> Table:
@@ -187,21 +197,31 @@ def _leave(table: Table, log: np.ndarray, limit: int) -> np.ndarray:
     return out[out >= 0]
 
 
+def _extend(whole: Table | None, table: Table, start: int, limit: int, window: int, keep: int) -> Table:
+    """A table with the one after it, which begins at ``start``: the entries of the first, their outcome at the end of the second."""
+    if whole is None:
+        return Table(table.entry, table.steps, table.tail[:, -keep:])
+    entries, steps, tails = whole
+    more, out = np.empty(len(entries), dtype=np.int64), np.empty((len(entries), keep), dtype=np.int64)
+    for lo in range(0, len(entries), ENTRIES):
+        some = slice(lo, lo + ENTRIES)
+        logs = np.where(tails[some, -limit:] > start - window, tails[some, -limit:], -1)
+        more[some], out[some] = _advance(table, logs, keep)
+    # Instants that have left the log are still among the last ones.
+    for back in range(1, keep):
+        short = np.flatnonzero(more == back)
+        out[short, : keep - back] = tails[short, back:]
+    none = more == 0
+    out[none] = tails[none]
+    return Table(entries, steps + more, out)
+
+
 def _compose(tables: list[Table], starts: list[int], limit: int, window: int, keep: int) -> Table:
-    """One table for neighbouring ones: the entries of the first, their outcome at the end of the last."""
-    entries, steps, tails = tables[0]
-    tails = tails[:, -keep:]
-    for table, start in zip(tables[1:], starts[1:]):
-        logs = np.where(tails[:, -limit:] > start - window, tails[:, -limit:], -1)
-        more, out = _advance(table, logs, keep)
-        # Instants that have left the log are still among the last ones.
-        for back in range(1, keep):
-            short = np.flatnonzero(more == back)
-            out[short, : keep - back] = tails[short, back:]
-        none = more == 0
-        out[none] = tails[none]
-        steps, tails = steps + more, out
-    return _rows(entries, steps, tails)
+    """One table for neighbouring ones."""
+    whole = None
+    for table, start in zip(tables, starts):
+        whole = _extend(whole, table, start, limit, window, keep)
+    return _rows(*whole)
 
 
 # -- frames ------------------------------------------------------------------------------
@@ -259,67 +279,92 @@ def _as_frame(clients: list[str], chunks: list[int], tables: list[Table], starts
     )
 
 
-def _read_tables(part: pd.DataFrame) -> tuple[list[int], list[Table], list[int]]:
-    """Numbers, tables and starts of the chunks in sorted rows."""
-    if part.empty:
-        return [], [], []
-    chunk, start, entry, steps = (part[c].to_numpy() for c in ("_chunk", "start", "entry", "steps"))
-    tail = np.stack(part["tail"].to_numpy())
-    edges = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
-    rows = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
-    return [int(chunk[r.start]) for r in rows], [Table(entry[r], steps[r], tail[r]) for r in rows], [int(start[r.start]) for r in rows]
+def _as_frames(found: Iterator[tuple[str, int, Table, int]]) -> Iterator[pd.DataFrame]:
+    """The rows of tables (client, number, table, start), about ``ENTRIES`` in a frame."""
+    held, rows = [], 0
+    for client, chunk, table, start in found:
+        for lo in range(0, len(table.entry), ENTRIES):
+            part = Table(*(column[lo : lo + ENTRIES] for column in table))
+            held.append((client, chunk, part, start))
+            rows += len(part.entry)
+            if rows >= ENTRIES:
+                yield _as_frame(*map(list, zip(*held)))
+                held, rows = [], 0
+    if held:
+        yield _as_frame(*map(list, zip(*held)))
+
+
+def _tables(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, int, Table, int, np.ndarray]]:
+    """Client, group, number, table, start and known log of each chunk in sorted rows, one at a time.
+
+    Rows that are ``_known`` belong to no table; they are the log at the start
+    of their group, whose tables come after them.
+    """
+    held, place, known_of, known = [], None, None, []
+
+    def whole():
+        log = np.concatenate(known) if known and known_of == place[:2] else np.empty(0, dtype=np.int64)
+        return *place[:3], Table(*(np.concatenate(c) for c in zip(*held))), place[3], log
+
+    for frame in frames:
+        if frame.empty:
+            continue
+        names, group, chunk, start, entry, steps = (frame[c].to_numpy() for c in ("client_key", "_group", "_chunk", "start", "entry", "steps"))
+        tails = frame["tail"].to_numpy()
+        given = frame["_known"].to_numpy() if "_known" in frame else np.zeros(len(frame), dtype=bool)
+        for rows in _groups(frame, ["client_key", "_group", "_chunk"]):
+            at = names[rows.start], int(group[rows.start]), int(chunk[rows.start]), int(start[rows.start])
+            if held and place != at:
+                yield whole()
+                held = []
+            if given[rows.start]:
+                known_of, known = at[:2], [*(known if known_of == at[:2] else []), entry[rows]]
+            else:
+                place = at
+                held.append((entry[rows], steps[rows], np.stack(tails[rows])))
+    if held:
+        yield whole()
 
 
 def _tabulate(limit: int, window: int, keep: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Table, int]]:
         for frame in _whole_groups(frames, ["client_key", "_chunk"]):
-            found = []
             for row, before, own in _chunks(frame):
                 start = int(own[0]) // window * window
                 table = _transfer_table(before[(before > start - window) & (before < own[0])], own, limit, window, keep)
-                found.append((frame["client_key"].iat[row], frame["_chunk"].iat[row], table, start))
-            yield _as_frame(*map(list, zip(*found)))
+                yield frame["client_key"].iat[row], frame["_chunk"].iat[row], table, start
 
-    return run
+    return lambda frames: _as_frames(each(frames))
 
 
 def _compose_groups(limit: int, window: int, keep: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["client_key", "_group"]
-        for frame in _whole_groups(frames, keys):
-            found = []
-            for rows in _groups(frame, keys):
-                _, tables, starts = _read_tables(frame.iloc[rows])
-                table = _compose(tables, starts, limit, window, keep)
-                found.append((frame["client_key"].iat[rows.start], frame["_group"].iat[rows.start], table, starts[0]))
-            yield _as_frame(*map(list, zip(*found)))
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Table, int]]:
+        for (client, group), tables in groupby(_tables(frames), key=lambda t: t[:2]):
+            whole = first = None
+            for _, _, _, table, start, _ in tables:
+                first = start if whole is None else first
+                whole = _extend(whole, table, start, limit, window, keep)
+            yield client, group, _rows(*whole), first
 
-    return run
+    return lambda frames: _as_frames(each(frames))
 
 
 def _walk(limit: int, window: int):
     """The log at each table's start, from that at the start of its group (``_known`` rows, which come first)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["client_key", "_group"]
-        for frame in _whole_groups(frames, keys):
-            found = []
-            for rows in _groups(frame, keys):
-                part = frame.iloc[rows]
-                given = part["_known"].to_numpy()
-                log = part["entry"].to_numpy()[given][-limit:]
-                for chunk, table, start in zip(*_read_tables(part[~given])):
-                    log = log[log > start - window]
-                    found.append((part["client_key"].iat[0], chunk, log))
-                    # A table's last entry is its first own instant, which an earlier batch may have recorded.
-                    log = _leave(table, log[log < table.entry[-1]], limit)
-            sizes = [len(log) for _, _, log in found]
-            if sum(sizes):
-                clients, chunks, logs = zip(*found)
-                yield pd.DataFrame({
-                    "client_key": np.repeat(np.array(clients, dtype=object), sizes), "_chunk": np.repeat(np.array(chunks, dtype=np.int64), sizes),
-                    "_us": np.concatenate(logs),
-                })
+        for (client, _), tables in groupby(_tables(frames), key=lambda t: t[:2]):
+            chunks, logs, log = [], [], None
+            for _, _, chunk, table, start, known in tables:
+                log = known[-limit:] if log is None else log
+                log = log[log > start - window]
+                chunks.append(chunk)
+                logs.append(log)
+                # A table's last entry is its first own instant, which an earlier batch may have recorded.
+                log = _leave(table, log[log < table.entry[-1]], limit)
+            yield pd.DataFrame({
+                "client_key": client, "_chunk": np.repeat(np.array(chunks, dtype=np.int64), [len(x) for x in logs]), "_us": np.concatenate(logs),
+            })
 
     return run
 
@@ -503,8 +548,9 @@ def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: flo
     occurs twice is two requests. A request without time cannot be placed and
     gets a NULL ``allowed``; it uses no quota. ``chunk_rows`` and ``fan`` change
     how the work is split and no decision. Memory: a task holds one chunk's
-    instants and, for a client with several chunks, some ``4 * limit`` numbers
-    for each instant of one window, ``limit`` more for each round of composing.
+    instants and, for a client with several chunks, two tables: some ``4 * limit``
+    numbers for each instant of one window, ``limit`` more for each round of
+    composing. Their number does not count, as they are read one after the other.
     """
     if limit < 1:
         return _none_allowed(requests)

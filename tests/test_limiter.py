@@ -182,3 +182,30 @@ def test_repeated_ids_and_null_times(spark, chunk_rows):
     requests = spark.createDataFrame(rows, "request_id bigint, client_key string, requested_at timestamp_ntz")
     out = sorted(((r.request_id, r.allowed) for r in M.rate_limit(requests, 2, 100 / 1e6, chunk_rows=chunk_rows).collect()), key=str)
     assert out == sorted([(1, True)] * 3 + [(2, True), (2, False), (3, False), (4, False), (5, True), (6, None), (7, None)], key=str)
+
+
+def test_tables_are_read_one_by_one(monkeypatch):
+    """However many tables a client has, no more rows are read than those of one and the start of the next."""
+    monkeypatch.setattr(M, "ENTRIES", 3)  # tables are advanced and written in pieces
+    rng, limit, window, keep = random.Random(3), 2, 50, 6
+    instants = np.unique([rng.randrange(1_000) for _ in range(300)])
+    found = []
+    for start in range(0, 1_000, window):
+        before = instants[(instants > start - window) & (instants < start)]
+        own = instants[(instants >= start) & (instants < start + window)]
+        found.append(("c", start // window, M._transfer_table(before, own, limit, window, keep), start))
+    frames = [f.assign(_group=f["_chunk"] // 64) for f in M._as_frames(iter(found))]
+    assert max(map(len, frames)) < 6
+    taken = []
+    tables = M._tables(taken.append(i) or f for i, f in enumerate(frames))
+    for client, number, table, start in found:
+        c, group, chunk, got, at, log = next(tables)
+        assert (c, group, chunk, at, len(log)) == (client, 0, number, start, 0)
+        assert all((a == b).all() for a, b in zip(got, table))
+        assert sum(len(f) for f in frames[: len(taken)]) <= sum(len(t.entry) for _, _, t, _ in found[: number + 2])
+    whole = list(M._compose_groups(limit, window, limit * 2)(iter(frames)))
+    wanted = M._compose([t for _, _, t, _ in found], [s for _, _, _, s in found], limit, window, limit * 2)
+    assert [x for f in whole for x in f["steps"]] == wanted.steps.tolist()
+    log = M._leave(wanted, np.empty(0, dtype=np.int64), limit)
+    allowed = replay([(int(us), "c", int(us)) for us in instants], limit, window)
+    assert log.tolist() == sorted(allowed)[-limit:]
