@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -24,6 +25,8 @@ HOT_LIMIT, HOT_WINDOW = 10, 6 * 3_600
 HOT_CHUNK = 100
 INGEST_FILES = 3
 STREAM_FILES = 4
+#: Rows of a file that a stream takes, about: batches keep their number, and their files grow with the input.
+FILE_ROWS = 250_000
 SMALL_BLOOM = 4_000
 FIRST_LAYER, FILTER_RATE = 20, 0.02
 QUANTILES = [0.95, 0.99]
@@ -79,6 +82,11 @@ def click_constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
     return checked.filter(F.col("reason").isNotNull()).select("event_id", "short_token", "reason")
 
 
+def _files(rows: DataFrame, batches: int) -> int:
+    """How many files each of so many equal batches of the rows gets."""
+    return max(1, math.ceil(rows.count() / (batches * FILE_ROWS)))
+
+
 def _run_ingest(spark: SparkSession, sf: str) -> str:
     bodies, out = scratch_path(spark, "bodies"), scratch_path(spark, "ingest")
     queue.write_bodies(D.click_payloads(spark, sf).repartition(INGEST_FILES), bodies)
@@ -289,12 +297,15 @@ def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
     source, out = scratch_path(spark, "asked"), scratch_path(spark, "decided")
     requests = D.limiter_requests(spark, sf)
     cuts = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
-    at = F.col("requested_at")
+    at, parts = F.col("requested_at"), []
     for low, high in zip([None, *cuts], [*cuts, None]):
         some = requests if low is None else requests.filter(at >= F.lit(low).cast("timestamp_ntz"))
-        some = some if high is None else some.filter(at < F.lit(high).cast("timestamp_ntz"))
-        some.repartition(STREAM_FILES).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(source)
+        parts.append(some if high is None else some.filter(at < F.lit(high).cast("timestamp_ntz")))
+    # A batch takes the files of one part, so all parts have equally many, and the smallest enough rows for each.
+    files = max(STREAM_FILES, min(_files(some, 1) for some in parts))
+    for some in parts:
+        some.repartition(files).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files).parquet(source)
     decided = stream_limiter.stream_rate_limit(stream, SPARSE_LIMIT, SPARSE_WINDOW)
     stream_limiter.start_rate_limit(decided, f"{out}/table", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema(decided.schema).parquet(f"{out}/table").select("request_id", "client_key", "allowed")

@@ -3,6 +3,7 @@ import time
 from datetime import datetime, timedelta
 
 from clickloom.operators import clicks as C, reports as R
+from clickloom.plans import catalog
 from clickloom.session import scratch_path
 from clickloom.sources import queue, testdata as D
 from clickloom.streaming import ingest
@@ -124,3 +125,33 @@ def test_stream_limiter_drops_idle_clients(spark):
     ask(spark, source, [(4, "busy", 500)])
     answer(spark, source, out, idle=1)
     assert {r.key.client_key for r in kept().select("key").collect()} == {"busy"}
+
+
+def test_stream_limiter_keeps_ids_as_they_are(spark):
+    """A request without id leaves the ids beside it whole numbers, however large."""
+    source, out = scratch_path(spark, "asked"), scratch_path(spark, "decided")
+    ask(spark, source, [(2**53 + 1, "a", 1), (None, "a", 1), (None, None, None), (7, "a", 2)])
+    answer(spark, source, out)
+    got = sorted((str(r.request_id), r.client_key, r.allowed) for r in spark.read.parquet(out).collect())
+    assert got == [("7", "a", True), (str(2**53 + 1), "a", True), ("None", "a", True), ("None", "unknown_client", None)]
+
+
+def files_of(monkeypatch, name):
+    """The folders that queries make under this name; few rows count as a file's."""
+    made = []
+
+    def path(spark, asked):
+        found = scratch_path(spark, asked)
+        made.extend([found] if asked == name else [])
+        return found
+
+    monkeypatch.setattr(catalog, "scratch_path", path)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 60)
+    return lambda spark: [len(spark.read.parquet(p).inputFiles()) for p in made]
+
+
+def test_limiter_stream_has_more_files_of_more_rows(spark, monkeypatch):
+    files = files_of(monkeypatch, "asked")
+    got, want = catalog.rate_limit_stream(spark, SF), catalog.rate_limit_decisions(spark, SF)
+    assert canon(got) == canon(want)
+    assert files(spark)[0] > 3 * catalog.STREAM_FILES
