@@ -89,10 +89,12 @@ def _files(rows: DataFrame, batches: int) -> int:
 
 def _run_ingest(spark: SparkSession, sf: str) -> str:
     bodies, out = scratch_path(spark, "bodies"), scratch_path(spark, "ingest")
-    queue.write_bodies(D.click_payloads(spark, sf).repartition(INGEST_FILES), bodies)
+    payloads = D.click_payloads(spark, sf)
+    files = _files(payloads, INGEST_FILES)
+    queue.write_bodies(payloads.repartition(INGEST_FILES * files), bodies)
     links = D.links(spark, sf)
     query = ingest.start_ingest(
-        queue.stream_bodies(spark, bodies, max_files=1), lambda: links, out, f"{out}/checkpoint", available_now=True
+        queue.stream_bodies(spark, bodies, max_files=files), lambda: links, out, f"{out}/checkpoint", available_now=True
     )
     query.awaitTermination()
     return out
@@ -169,11 +171,13 @@ def emit_clicks(spark: SparkSession, sf: str) -> DataFrame:
 def _run_redirects(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """Requests answered as a stream, behind a stored filter and the bucketed registry."""
     source, out = scratch_path(spark, "asked"), scratch_path(spark, "redirects")
-    D.requests(spark, sf).repartition(INGEST_FILES).write.parquet(source)
+    requests = D.requests(spark, sf)
+    files = _files(requests, INGEST_FILES)
+    requests.repartition(INGEST_FILES * files).write.parquet(source)
     links = D.links(spark, sf)
     stored.append_links(spark, f"{out}/links", 0, links)
     filters.add_tokens(spark, f"{out}/filter", 0, links, links.count())
-    stream = spark.readStream.schema(D.requests(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files).parquet(source)
     registered = lambda: stored.read_registry(spark, f"{out}/links").drop("batch_id")
     known = lambda: filters.read_filter(spark, f"{out}/filter")
     redirect.start_redirects(stream, registered, out, f"{out}/checkpoint", known, available_now=True).awaitTermination()
@@ -197,9 +201,11 @@ def emit_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
 def bodies_once(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies that the queue delivers twice, in several batches, taken once."""
     path, out = scratch_path(spark, "bodies"), scratch_path(spark, "once")
+    payloads = D.click_payloads(spark, sf)
+    files = _files(payloads, INGEST_FILES)
     for _ in range(2):
-        queue.write_bodies(D.click_payloads(spark, sf).repartition(INGEST_FILES), path)
-    once = queue.without_redeliveries(queue.stream_bodies(spark, path, max_files=INGEST_FILES - 1), REDELIVERY_SECONDS)
+        queue.write_bodies(payloads.repartition(INGEST_FILES * files), path)
+    once = queue.without_redeliveries(queue.stream_bodies(spark, path, max_files=(INGEST_FILES - 1) * files), REDELIVERY_SECONDS)
     writer = once.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
     queue.ingest_trigger(writer, available_now=True).start().awaitTermination()
     return spark.read.schema("body string").parquet(f"{out}/table")

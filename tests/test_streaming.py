@@ -155,3 +155,11 @@ def test_limiter_stream_has_more_files_of_more_rows(spark, monkeypatch):
     got, want = catalog.rate_limit_stream(spark, SF), catalog.rate_limit_decisions(spark, SF)
     assert canon(got) == canon(want)
     assert files(spark)[0] > 3 * catalog.STREAM_FILES
+
+
+def test_redirect_stream_has_more_files_of_more_rows(spark, monkeypatch):
+    files = files_of(monkeypatch, "asked")
+    got = catalog.resolve_stream(spark, SF)
+    assert {f.split("batch_id=")[1].split("/")[0] for f in got.inputFiles()} == {"0", "1", "2"}
+    assert canon(got) == canon(catalog.queries()["resolve_requests"](spark, SF))
+    assert files(spark) == [3 * 6]
