@@ -192,7 +192,8 @@ def resolve_stream(spark: SparkSession, sf: str) -> DataFrame:
 def emit_clicks_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The bodies that answered requests put into the queue, taken from there by a second stream."""
     out, _ = _run_redirects(spark, sf)
-    bodies = queue.stream_bodies(spark, f"{out}/bodies/*", max_files=2)
+    files = len(queue.read_bodies(spark, f"{out}/bodies/*").inputFiles())
+    bodies = queue.stream_bodies(spark, f"{out}/bodies/*", max_files=max(2, math.ceil(files / 2)))
     writer = bodies.writeStream.format("parquet").option("path", f"{out}/taken").option("checkpointLocation", f"{out}/taken-checkpoint")
     queue.ingest_trigger(writer, available_now=True).start().awaitTermination()
     return spark.read.schema("body string").parquet(f"{out}/taken")

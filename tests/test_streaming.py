@@ -163,3 +163,13 @@ def test_redirect_stream_has_more_files_of_more_rows(spark, monkeypatch):
     assert {f.split("batch_id=")[1].split("/")[0] for f in got.inputFiles()} == {"0", "1", "2"}
     assert canon(got) == canon(catalog.queries()["resolve_requests"](spark, SF))
     assert files(spark) == [3 * 6]
+
+
+def test_bodies_are_taken_in_few_batches(spark, monkeypatch):
+    """However many files the bodies are in, the second stream has as many batches."""
+    monkeypatch.setattr(catalog, "_run_redirects", lambda s, sf: (out, None))
+    out = scratch_path(spark, "redirects")
+    spark.range(60).selectExpr("cast(id as string) as value").repartition(30).write.text(f"{out}/bodies/batch_id=0")
+    got = catalog.emit_clicks_stream(spark, SF)
+    assert sorted(int(r.body) for r in got.collect()) == list(range(60))
+    assert spark.read.text(f"{out}/taken-checkpoint/commits/*").select("_metadata.file_name").distinct().count() <= 3
