@@ -52,7 +52,7 @@ def without_redeliveries(bodies: DataFrame, seconds: int) -> DataFrame:
     on one link in one second have equal bodies and count once. NULL bodies all stay.
     """
     key = F.coalesce(F.sha2("body", 256), F.expr("uuid()"))
-    arrived = bodies.withColumns({"_body": key, "_arrived": F.current_timestamp()}).withWatermark("_arrived", f"{seconds} seconds")
+    arrived = bodies.withColumns({"_body": key, "_arrived": F.expr("current_timestamp")}).withWatermark("_arrived", f"{seconds} seconds")
     return arrived.dropDuplicatesWithinWatermark(["_body"]).drop("_body", "_arrived")
 
 

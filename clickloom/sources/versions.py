@@ -43,7 +43,7 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     """The clicks, with year, month and generation; by default the newest version. The driver holds the file names, as for each scan."""
     # A file's name in the metadata is escaped as in a URI.
     name = F.try_url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
-    names = [r.name for r in live_files(spark, path, version).select(name.alias("name")).collect()]
+    names = live_files(spark, path, version).agg(F.collect_list(name)).first()[0]
     if not names:
         return spark.createDataFrame([], STORED)
     return spark.read.schema(STORED).option("basePath", path).parquet(*names)

@@ -8,8 +8,11 @@ folder of its own, so a batch that is run again leaves one.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from clickloom.functions.timeutil import instant
 from clickloom.schemas import METRIC_SAMPLES
 from clickloom.sources.batches import BATCH, replace_batch
 from clickloom.sources.queue import read_bodies
@@ -42,7 +45,7 @@ def waiting_files(spark: SparkSession, queue: str, checkpoint: str) -> DataFrame
 
 def queue_depth(spark: SparkSession, queue: str, checkpoint: str) -> int:
     """Bodies that are waiting. The driver holds the names of the waiting files, as each reader of files does."""
-    paths = [r.path for r in waiting_files(spark, queue, checkpoint).select("path").collect()]
+    paths = waiting_files(spark, queue, checkpoint).agg(F.collect_list("path")).first()[0]
     return read_bodies(spark, paths).count() if paths else 0
 
 
@@ -54,7 +57,7 @@ def sampled(load: Load, queue: str, checkpoint: str, samples: str, name: str) ->
         spark = batch.sparkSession
         row = spark.range(1).select(
             F.lit(QUEUE_DEPTH).alias("metric"), F.create_map(F.lit("queue"), F.lit(name)).alias("labels"),
-            F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz").alias("ts"),
+            instant(datetime.now(timezone.utc)).alias("ts"),
             F.lit(float(queue_depth(spark, queue, checkpoint))).alias("value"))
         replace_batch(row, samples, batch_id, [])
 
