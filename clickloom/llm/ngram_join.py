@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from clickloom.llm import exchange as X
 from clickloom.llm.components import components
 from clickloom.llm.count_rtree import CountTree
+from clickloom.llm.sift import maybe_among
 from clickloom.llm.textbytes import SPACED, buffers, mix, shingle_set
 from clickloom.session import materialize
 
@@ -120,25 +121,35 @@ def _sets(words: int):
     return read
 
 
-def _buckets(words: int, num: int, den: int, parts: int):
-    def ask(table: pa.Table) -> pa.Table:
-        """Per part the listed groups of the chunk's distinct sets."""
-        data, offsets = buffers(table["text"])
-        hashes, at = SPACED.hashes(data, offsets)
-        sets = {}
-        for i in range(len(table)):
-            found = shingle_set(hashes[at[i] : at[i + 1]], words)
-            if len(found) and (name := set_id(found)) not in sets:
-                sets[name] = listed_groups(found, num, den)
+def _buckets(words: int, num: int, den: int, parts: int, chunk_bytes: int):
+    def message(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         keys = np.concatenate([*sets.values(), np.zeros(0, U64)])
         names = np.repeat(np.array([*sets], np.int64), [len(k) for k in sets.values()])
         by = np.argsort(keys)
         keys, names = keys[by], names[by]
         pieces = X.split(keys, parts)
-        return pa.table({
-            "part": pa.array([p for p, _ in pieces], pa.int32()),
-            "keys": X.blobs([keys[s] for _, s in pieces]), "sets": X.blobs([names[s] for _, s in pieces]),
-        })
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in pieces], pa.int32()), X.blobs([keys[s] for _, s in pieces]), X.blobs([names[s] for _, s in pieces])],
+            names=["part", "keys", "sets"])
+
+    def ask(batches):
+        """Per part the listed groups of the distinct sets, after every few megabytes of text."""
+        sets, held = {}, 0
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                data, offsets = buffers(part["text"])
+                hashes, at = SPACED.hashes(data, offsets)
+                for i in range(len(part)):
+                    found = shingle_set(hashes[at[i] : at[i + 1]], words)
+                    if len(found) and (name := set_id(found)) not in sets:
+                        sets[name] = listed_groups(found, num, den)
+                held += int(offsets[-1])
+                if held >= chunk_bytes:
+                    yield message(sets)
+                    sets, held = {}, 0
+        if sets:
+            yield message(sets)
 
     return ask
 
@@ -249,15 +260,21 @@ def _blocks(table: pa.Table, num: int, den: int):
 
 def _tree_near(num: int, den: int):
     def near(table: pa.Table) -> pa.Table:
-        """The rows whose set has a candidate of another component in its block, or is one."""
+        """The rows whose set has a candidate of another component in its block, or is one; blocks with the same rows get one name."""
         table, blocks = _blocks(table, num, den)
-        comps, kept = table["component"].to_numpy(), np.zeros(len(table), bool)
+        comps, kept, names = table["component"].to_numpy(), np.zeros(len(table), bool), np.zeros(len(table), U64)
+        row = mix(table["set_id"].to_numpy().view(U64) ^ mix(table["role"].to_numpy().astype(U64) * U64(2) + table["asks"].to_numpy().astype(U64)))
         for lo, ask, hi, search in blocks:
             for k in range(ask, hi):
                 hit = search(k) + lo
                 hit = hit[comps[hit] != comps[k]]
                 kept[hit] = True
                 kept[k] = len(hit) > 0
+            own = row[lo:hi][kept[lo:hi]]
+            names[lo:hi] = mix(own.sum(keepdims=True) + U64(len(own)))
+        none = pa.array(np.zeros(len(table), np.int64))
+        for c, value in (("bucket", pa.array(names.view(np.int64))), ("i", none), ("j", none)):
+            table = table.set_column(table.schema.get_field_index(c), c, value)
         return table.filter(pa.array(kept)).select([*PLACE, "n_shingles", "component", "asks"])
 
     return near
@@ -306,32 +323,42 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, chunk_bytes: int, part_bytes: int, block: int) -> None:
         self.words, self.num, self.den, self.block = words, num, den, block
         self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
-        self.total = X.text_bytes(docs)
-        self.chunks, self.parts = X.counts(self.total, chunk_bytes, part_bytes)
+        self.total, self.chunk_bytes = X.text_bytes(docs), chunk_bytes
+        self.parts = X.counts(self.total, chunk_bytes, part_bytes)[1]
         sets = self.docs.mapInArrow(_sets(words), "doc_id bigint, text_id bigint, n_shingles bigint, set_id bigint")
         self.sets = materialize(sets, "sets")
         self.named = materialize(
             self.sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(
                 F.min(F.struct("doc_id", "text_id")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "named")
 
+    def reps(self, names: DataFrame) -> DataFrame:
+        """(set_id, doc_id, text_id) of the named sets: the document that stands for each."""
+        return materialize(names.join(self.named, "set_id").select("set_id", "rep.*"), "reps")
+
+    def found(self, reps: DataFrame) -> DataFrame:
+        """(doc_id, text_id, text) of these documents, one row each, and of a few others; the rest of the documents is not moved."""
+        key = F.xxhash64(F.col("doc_id").cast("bigint"), "text_id")
+        return maybe_among(self.docs, key, reps, key, "_marked_maybe").filter("_marked_maybe").drop("_marked_maybe").dropDuplicates(["doc_id", "text_id"])
+
     def texts(self, names: DataFrame) -> DataFrame:
-        """(set_id, n_shingles, text) of the named sets, one text each."""
-        wanted = names.join(self.named, "set_id").select("rep.*", "set_id", "n_shingles")
-        found = self.docs.join(wanted, ["doc_id", "text_id"]).select("set_id", "n_shingles", "text")
-        return found.dropDuplicates(["set_id"])  # a row may occur more than once
+        """(set_id, text) of the named sets, one text each."""
+        reps = self.reps(names)
+        return self.found(reps).join(reps, ["doc_id", "text_id"]).select("set_id", "text")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links, by their texts; a star around one set is split among tasks."""
         names = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-        texts = materialize(self.texts(names), "texts")
+        reps = self.reps(names)
+        found = self.found(reps)
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.block).alias("slots"))
         groups = max(8, math.ceil(2 * self.total / X.PART_BYTES))
         slotted = pairs.join(many, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots"))
         slotted = slotted.withColumn("grp", F.pmod(F.xxhash64("a", "slot"), F.lit(groups))).select("grp", "a", "b")
         slotted = materialize(slotted, "slotted")  # read twice below
-        left = slotted.join(texts.select(F.col("set_id").alias("b"), "text"), "b").select("grp", "a", "b", "text")
-        right = slotted.select("grp", "a").distinct().join(texts.select(F.col("set_id").alias("a"), "text"), "a")
-        right = right.select(F.col("grp").alias("first_grp"), F.col("a").alias("set_id"), F.col("text").alias("first_text"))
+        left = slotted.join(reps.withColumnRenamed("set_id", "b"), "b")
+        left = found.join(left, ["doc_id", "text_id"]).select("grp", "a", "b", "text")
+        right = slotted.select("grp", "a").distinct().join(reps.withColumnRenamed("set_id", "a"), "a")
+        right = found.join(right, ["doc_id", "text_id"]).select(F.col("grp").alias("first_grp"), F.col("a").alias("set_id"), F.col("text").alias("first_text"))
         return left.groupBy("grp").cogroup(right.groupBy("first_grp")).applyInArrow(
             _verify(self.words, self.num, self.den), "a bigint, b bigint")
 
@@ -375,7 +402,7 @@ class _Join:
         bounds = materialize(bounds, "bounds")
         moved = bounds.agg(F.sum(F.expr("all * ask_blocks + asking * blocks"))).first()[0] or 0
         some = some.join(bounds.select("bucket", "blocks", "ask_blocks"), "bucket")
-        points = self.texts(some.select("set_id").distinct()).select("set_id", "text").mapInArrow(_vectors(self.words, False), "set_id bigint, point binary")
+        points = self.texts(some.select("set_id").distinct()).mapInArrow(_vectors(self.words, False), "set_id bigint, point binary")
         some = materialize(some.join(points, "set_id"), "points")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = lambda n: F.pmod(F.xxhash64("set_id"), n)
@@ -385,15 +412,15 @@ class _Join:
         both = inside.select(columns).union(asking.select(columns))
         grouped = lambda rows, moved: rows.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(max(8, math.ceil(moved / GROUP_BYTES)))))
         near = grouped(both, 2 * moved).applyInArrow(_tree_near(self.num, self.den), "bucket bigint, i bigint, j bigint, role int, set_id bigint, n_shingles bigint, component bigint, asks boolean")
-        near = materialize(near, "near")
+        near = materialize(near.distinct(), "near")  # two sets may meet in many buckets
         moved = 8 * (near.agg(F.sum("n_shingles")).first()[0] or 0)
-        whole = self.texts(near.select("set_id").distinct()).select("set_id", "text").mapInArrow(
+        whole = self.texts(near.select("set_id").distinct()).mapInArrow(
             _vectors(self.words, True), "set_id bigint, point binary, shingles binary")
         return grouped(near.join(whole, "set_id"), moved).applyInArrow(_tree_links(self.num, self.den), "a bigint, b bigint")
 
     def run(self) -> DataFrame:
-        dealt = X.chunked(self.docs.filter("doc_id is not null"), self.chunks)  # the sets of ``named`` and no others
-        asked = dealt.groupBy("chunk").applyInArrow(_buckets(self.words, self.num, self.den, self.parts), "part int, keys binary, sets binary")
+        known = self.docs.filter("doc_id is not null").select("text")  # the sets of ``named`` and no others
+        asked = known.mapInArrow(_buckets(self.words, self.num, self.den, self.parts, self.chunk_bytes), "part int, keys binary, sets binary")
         stars = materialize(asked.groupBy("part").applyInArrow(_stars, "bucket bigint, first bigint, member bigint"), "stars")
         tried = materialize(stars.select(F.least("first", "member").alias("a"), F.greatest("first", "member").alias("b")).distinct(), "pairs")
         links = materialize(self.links(tried), "links")
@@ -459,6 +486,10 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
         F.every(F.col("first")).alias("_first"), (F.count("*") > 1).alias("_repeated"), F.max("n_shingles").alias("_n"))
     marked = rows.filter("doc_id is not null and _n > 0 and (not _first or _repeated)")
     marked = materialize(marked.select(F.col("doc_id").alias("_marked_id"), F.col("text_id").alias("_marked_text"), "_first"), "marked")
+    rows_key, marked_key = F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")), F.xxhash64("_marked_id", "_marked_text")
+    found = maybe_among(docs, rows_key, marked, marked_key, "_marked_maybe")  # the others stay without being moved
     same = (F.col("doc_id") == F.col("_marked_id")) & (F.xxhash64("text") == F.col("_marked_text"))
-    repeated = docs.join(marked.filter("_first").drop("_first"), same).dropDuplicates(["_marked_id", "_marked_text"])
-    return docs.join(marked.drop("_first"), same, "left_anti").union(repeated.select(docs.columns))
+    some = found.filter("_marked_maybe")
+    repeated = some.join(marked.filter("_first").drop("_first"), same).dropDuplicates(["_marked_id", "_marked_text"])
+    kept = found.filter("not _marked_maybe").union(some.join(marked.drop("_first"), same, "left_anti"))
+    return kept.select(docs.columns).union(repeated.select(docs.columns))

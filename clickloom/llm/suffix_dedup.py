@@ -30,6 +30,8 @@ SORT_BYTES = 1 << 19
 
 U64 = np.uint64
 _PLACE = U64((1 << 22) - 1)
+#: The bits of an anchor's hash that are kept. Anchors whose hashes agree go together, which costs a piece sent in vain; fewer bits are fewer bytes.
+_KEPT = ~U64((1 << 16) - 1)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
@@ -66,7 +68,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
             run, stop = run[whole[run]], stop[whole[run]]
             base = lo - offsets[of[run]]
             # Anchors are small hashes; scrambled once more they spread evenly.
-            found.append((mix(key[at[run]] + U64(GRAM)), of[run], run + base, stop + base))
+            found.append((mix(key[at[run]] + U64(GRAM)) & _KEPT, of[run], run + base, stop + base))
             if hi == end:
                 break
             lo += BLOCK
